@@ -29,6 +29,30 @@ WITH RECURSIVE sized AS (
 SELECT doc_id, size, source_size, target, CAST(size * (((upto + o) >> 24) - ((upto - e + o) >> 24)) AS BIGINT) AS taken FROM summed
 """
 
+OP10 = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/'
+  END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches('.' || host, '\.(ads|adult|casino|cheap|free|spam)-') OR contains('.' || host, '.ads.') THEN 'block'
+    WHEN starts_with(path, '/ads/') OR regexp_matches(path, '^/.*/ads/', 's') OR regexp_matches(path, '^/.*\.(exe|zip)$', 's') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1}
+    return {"op1_mix_sources": OP1, "op10_url_filter": OP10}

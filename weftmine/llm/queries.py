@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmine.llm import mixing
+from weftmine.llm import licenses, mixing, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -14,7 +14,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = [op1_mix_sources]
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = [op1_mix_sources, op2_license_scan, op10_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
