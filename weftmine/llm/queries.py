@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmine.llm import licenses, mixing, urlfilter
+from weftmine.llm import gif, licenses, mixing, packing, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -18,11 +18,25 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store(table(spark, sf_dir, "documents")))
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op10_url_filter]
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op5_best_two_fit, op10_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
