@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmine.llm import gif, licenses, mixing, packing, urlfilter
+from weftmine.llm import gif, licenses, mixing, neardup, packing, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -22,6 +22,10 @@ def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.store(table(spark, sf_dir, "documents")))
 
 
+def op4_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op5_best_two_fit, op10_url_filter]
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op10_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
