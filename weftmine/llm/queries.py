@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmine.llm import gif, licenses, mixing, neardup, packing, urlfilter
+from weftmine.llm import gif, licenses, mixing, neardup, packing, suffixdedup, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -36,11 +36,15 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op10_url_filter]
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op10_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
