@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftmine.llm import gif, licenses, mixing, neardup, packing, suffixdedup, urlfilter
+from weftmine.llm import gif, htmltext, licenses, mixing, neardup, packing, quality, suffixdedup, topk, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -40,11 +41,30 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op10_url_filter]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op7_html_blocks, op8_attention_quality, op9_segment_search, op10_url_filter, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
