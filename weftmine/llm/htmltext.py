@@ -134,38 +134,43 @@ def blocks(html: str) -> list[Block]:
 
 
 def features(found: Sequence[Block]) -> np.ndarray:
-    """A row for each block: words and link density of it, of the one before and of the one after; then whether it is shunned, in an article, in a page with one, a heading."""
-    n = len(found)
+    """A row for each block: whether it is shunned; its place (1 in an article, -1 beside one, 0 in a page without); whether it is a heading; words and link density of it, of the one before and of the one after."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    flags = np.array([(b.shunned, b.article, b.heading) for b in found], float).reshape(n, 3)
-    page = np.full(n, float(any(b.article for b in found)))
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags[:, 0], flags[:, 1], page, flags[:, 2]])
+    page = any(b.article for b in found)
+    flags = np.array([(b.shunned, 1 if b.article else -page, b.heading) for b in found], float).reshape(len(found), 3)
+    return np.column_stack([flags, words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
 
 
 #: A small labelled table: a block's features as above, and whether it is main text.
 LABELLED = [
     # Pages with an article: what stands in it, long or short, plain or linked.
-    (120, 0.00, 8, 0.00, 80, 0.00, 0, 1, 1, 0, 1), (1, 0.00, 60, 0.00, 45, 0.00, 0, 1, 1, 0, 1), (2, 0.00, 0, 0.00, 1, 0.00, 0, 1, 1, 0, 1),
-    (7, 0.00, 5, 0.00, 90, 0.00, 0, 1, 1, 1, 1), (9, 1.00, 40, 0.00, 35, 0.00, 0, 1, 1, 0, 1), (30, 0.40, 25, 0.10, 3, 1.00, 0, 1, 1, 0, 1),
-    (4, 0.00, 1, 1.00, 60, 0.00, 0, 1, 1, 1, 1), (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 1, 0, 1), (600, 0.02, 1, 0.00, 11, 0.00, 0, 1, 1, 0, 1),
-    # What stands outside it.
-    (6, 0.00, 1, 1.00, 8, 0.00, 0, 0, 1, 0, 0), (45, 0.00, 60, 0.00, 9, 0.00, 0, 0, 1, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 1, 0, 0),
-    (90, 0.10, 3, 0.00, 10, 0.00, 0, 0, 1, 0, 0), (5, 0.00, 0, 0.00, 70, 0.00, 0, 0, 1, 1, 0),
+    (0, 1, 0, 120, 0.00, 8, 0.00, 80, 0.00, 1), (0, 1, 0, 1, 0.00, 60, 0.00, 45, 0.00, 1), (0, 1, 0, 2, 0.00, 0, 0.00, 1, 0.00, 1),
+    (0, 1, 1, 7, 0.00, 5, 0.00, 90, 0.00, 1), (0, 1, 0, 9, 1.00, 40, 0.00, 35, 0.00, 1), (0, 1, 0, 30, 0.40, 25, 0.10, 3, 1.00, 1),
+    (0, 1, 1, 4, 0.00, 1, 1.00, 60, 0.00, 1), (0, 1, 0, 1, 1.00, 1, 1.00, 1, 1.00, 1), (0, 1, 0, 600, 0.02, 1, 0.00, 11, 0.00, 1),
+    (0, 1, 0, 3, 0.00, 1, 1.00, 8, 0.00, 1), (0, 1, 0, 2, 1.00, 70, 0.00, 2, 1.00, 1), (0, 1, 0, 15, 0.90, 0, 0.00, 9, 0.00, 1),
+    # What stands beside it.
+    (0, -1, 0, 6, 0.00, 1, 1.00, 8, 0.00, 0), (0, -1, 0, 45, 0.00, 60, 0.00, 9, 0.00, 0), (0, -1, 0, 1, 1.00, 1, 1.00, 1, 1.00, 0),
+    (0, -1, 0, 90, 0.10, 3, 0.00, 10, 0.00, 0), (0, -1, 1, 5, 0.00, 0, 0.00, 70, 0.00, 0), (0, -1, 0, 30, 0.00, 40, 0.00, 50, 0.00, 0),
+    (0, -1, 0, 3, 0.00, 80, 0.00, 0, 0.00, 0), (0, -1, 1, 4, 0.00, 50, 0.00, 60, 0.00, 0), (0, -1, 0, 200, 0.00, 20, 0.00, 30, 0.00, 0),
     # Menus, notices, adverts, forms, sidebars, comments, footers.
-    (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 1, 0, 0), (12, 0.00, 1, 1.00, 9, 0.00, 1, 0, 1, 0, 0), (60, 0.00, 50, 0.00, 40, 0.00, 1, 0, 1, 0, 0),
-    (150, 0.00, 12, 0.00, 0, 0.00, 1, 0, 0, 0, 0), (14, 0.30, 300, 0.00, 0, 0.00, 1, 0, 0, 0, 0), (4, 0.00, 20, 0.00, 30, 0.00, 1, 0, 0, 1, 0),
-    (35, 0.05, 35, 0.00, 25, 0.00, 1, 1, 1, 0, 0), (3, 0.00, 80, 0.00, 90, 0.00, 1, 1, 1, 0, 0),
+    (1, -1, 0, 1, 1.00, 0, 0.00, 1, 1.00, 0), (1, -1, 0, 12, 0.00, 1, 1.00, 9, 0.00, 0), (1, -1, 0, 60, 0.00, 50, 0.00, 40, 0.00, 0),
+    (1, 0, 0, 150, 0.00, 12, 0.00, 0, 0.00, 0), (1, 0, 0, 14, 0.30, 300, 0.00, 0, 0.00, 0), (1, 0, 1, 4, 0.00, 20, 0.00, 30, 0.00, 0),
+    (1, 0, 0, 40, 0.00, 2, 1.00, 0, 0.00, 0), (1, 0, 0, 45, 0.00, 30, 0.00, 60, 0.00, 0), (1, 0, 0, 18, 0.00, 55, 0.00, 45, 0.00, 0),
+    (1, 0, 0, 24, 0.10, 1, 1.00, 1, 1.00, 0), (1, 0, 0, 80, 0.00, 70, 0.00, 90, 0.00, 0), (1, 0, 1, 5, 0.00, 40, 0.00, 50, 0.00, 0),
+    (1, 1, 0, 35, 0.05, 35, 0.00, 25, 0.00, 0), (1, 1, 0, 3, 0.00, 80, 0.00, 90, 0.00, 0), (1, 1, 1, 2, 0.00, 30, 0.00, 40, 0.00, 0),
     # Pages without an article: prose.
-    (80, 0.02, 60, 0.00, 90, 0.05, 0, 0, 0, 0, 1), (40, 0.00, 6, 0.00, 35, 0.00, 0, 0, 0, 0, 1), (18, 0.00, 50, 0.00, 45, 0.00, 0, 0, 0, 0, 1),
-    (25, 0.20, 70, 0.00, 4, 1.00, 0, 0, 0, 0, 1), (12, 0.00, 30, 0.00, 28, 0.00, 0, 0, 0, 0, 1), (3, 0.00, 45, 0.00, 60, 0.00, 0, 0, 0, 0, 1),
-    (6, 0.00, 1, 1.00, 75, 0.00, 0, 0, 0, 1, 1), (4, 0.00, 55, 0.00, 40, 0.00, 0, 0, 0, 1, 1), (200, 0.05, 2, 1.00, 5, 0.80, 0, 0, 0, 0, 1),
-    (22, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 1), (16, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1), (2, 0.00, 38, 0.00, 22, 0.00, 0, 0, 0, 0, 1),
+    (0, 0, 0, 80, 0.02, 60, 0.00, 90, 0.05, 1), (0, 0, 0, 40, 0.00, 6, 0.00, 35, 0.00, 1), (0, 0, 0, 18, 0.00, 50, 0.00, 45, 0.00, 1),
+    (0, 0, 0, 25, 0.20, 70, 0.00, 4, 1.00, 1), (0, 0, 0, 12, 0.00, 30, 0.00, 28, 0.00, 1), (0, 0, 0, 3, 0.00, 45, 0.00, 60, 0.00, 1),
+    (0, 0, 1, 6, 0.00, 1, 1.00, 75, 0.00, 1), (0, 0, 1, 4, 0.00, 55, 0.00, 40, 0.00, 1), (0, 0, 0, 200, 0.05, 2, 1.00, 5, 0.80, 1),
+    (0, 0, 0, 22, 0.00, 1, 1.00, 1, 1.00, 1), (0, 0, 0, 16, 0.00, 0, 0.00, 0, 0.00, 1), (0, 0, 0, 2, 0.00, 38, 0.00, 22, 0.00, 1),
+    (0, 0, 0, 1, 0.00, 20, 0.00, 12, 0.00, 1), (0, 0, 1, 3, 0.00, 0, 0.00, 40, 0.00, 1), (0, 0, 0, 35, 0.30, 40, 0.10, 30, 0.00, 1),
     # Pages without an article: link lists and scraps.
-    (2, 1.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0), (8, 0.90, 40, 0.00, 6, 1.00, 0, 0, 0, 0, 0),
-    (5, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0, 0, 0), (3, 0.00, 1, 1.00, 2, 1.00, 0, 0, 0, 1, 0), (6, 0.60, 5, 1.00, 0, 0.00, 0, 0, 0, 0, 0),
-    (30, 0.80, 25, 0.90, 12, 0.70, 0, 0, 0, 0, 0), (4, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0, 0, 0), (10, 1.00, 60, 0.00, 50, 0.00, 0, 0, 0, 0, 0),
-    (15, 0.55, 1, 1.00, 14, 0.60, 0, 0, 0, 0, 0), (2, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0),
+    (0, 0, 0, 2, 1.00, 2, 1.00, 3, 1.00, 0), (0, 0, 0, 1, 1.00, 0, 0.00, 1, 1.00, 0), (0, 0, 0, 8, 0.90, 40, 0.00, 6, 1.00, 0),
+    (0, 0, 0, 5, 0.00, 2, 1.00, 1, 1.00, 0), (0, 0, 1, 3, 0.00, 1, 1.00, 2, 1.00, 0), (0, 0, 0, 6, 0.60, 5, 1.00, 0, 0.00, 0),
+    (0, 0, 0, 30, 0.80, 25, 0.90, 12, 0.70, 0), (0, 0, 0, 4, 0.00, 3, 1.00, 0, 0.00, 0), (0, 0, 0, 10, 1.00, 60, 0.00, 50, 0.00, 0),
+    (0, 0, 0, 15, 0.55, 1, 1.00, 14, 0.60, 0), (0, 0, 0, 2, 0.00, 0, 0.00, 1, 1.00, 0), (0, 0, 0, 2, 1.00, 2, 1.00, 70, 0.00, 0),
+    (0, 0, 0, 2, 1.00, 55, 0.00, 2, 1.00, 0), (0, 0, 0, 1, 1.00, 1, 1.00, 6, 0.00, 0), (0, 0, 0, 3, 1.00, 30, 0.00, 45, 0.00, 0),
 ]
 
 
