@@ -12,11 +12,19 @@ from weftmine.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_word_by_word_ids_are_those_of_whole_texts():
-    odd = ["", " ", "a  b\n\nc", "Don't DO it's", "x<|endoftext|>y <|startoftext|>", "é ́a ΑΣ ΑΣ Σ", "tab\there\x1c\x85 z", "12 345,6 !!*** 日本語 한국", "가 ᅡ"]
+def test_word_by_word_ids_are_those_of_whole_texts(monkeypatch):
+    odd = ["", " ", "a  b\n\nc", "Don't DO it's", "é ́a ΑΣ ΑΣ Σ", "tab\there\x1c\x85 z", "12 345,6 !!*** 日本語 한국", "가 ᅡ", "x…! y!… ..,. &&& It's, 'quoted' a.b. c-d- İstanbul, ß", "<|Startoftext|> <|endoftext"]
+    special = ["x<|endoftext|>y <|startoftext|>", "Plain Text, too."]
     t = Tokenizer.from_file(PATH)
-    for text, got in zip(odd + [x or "" for x in texts()], packing.WordIds(PATH).encode(odd + [x or "" for x in texts()]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    ids = packing.WordIds(PATH)
+    rows = odd + [x or "" for x in texts()]
+    for limit in (10**6, 50):
+        monkeypatch.setattr(packing, "KNOWN", limit)
+        for batch in (rows, rows[::-1], odd[:3], odd[4:8], special, odd, [""]):
+            data = "".join(batch).encode()
+            got, at = ids.encode(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x.encode()) for x in batch)]))
+            for i, text in enumerate(batch):
+                assert got[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def test_plan_uses_each_piece_once_and_fills_well():

@@ -15,17 +15,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmine.llm.arrow import slices
+from weftmine.llm.arrow import slices, utf8
+from weftmine.llm.shingles import words
 from weftmine.operators.prefix import prefix_sums
 from weftmine.session import cut
 
 LENGTH, END = 4096, 1
 #: Words whose ids a worker keeps.
-KNOWN = 300_000
+KNOWN = 2_000_000
+_BLANK = np.isin(np.arange(256), (0x20, 0x0A))
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class WordIds:
-    """Ids of whole texts. The tokenizer never joins what spaces or line ends part, so that a word's ids are found once and kept."""
+    """Ids of whole texts. The tokenizer never joins what spaces or line ends part, so that a word's ids are found once and kept, under the word's hash."""
 
     def __init__(self, path: str):
         import os
@@ -34,19 +37,81 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _plain(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and how many each has. Letters with punctuation after them are two runs at most for the tokenizer, so that many such words are encoded as one text and parted at the ends of runs."""
+        simple, runs, odd = [], np.zeros(len(words), np.int64), []
+        for i, word in enumerate(words):
+            core = word.rstrip(_PUNCTUATION)
+            if core == word and core.isalpha():
+                simple.append(word)
+                runs[i] = 1
+            elif not core or core.isalpha():
+                simple += [core, word[len(core) :]] if core else [word]
+                runs[i] = 2 if core else bool(word)
+            else:
+                odd.append(i)
+        ids = self._plain(" ".join(simple))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != runs.sum():  # letters that become something else in lower case
+            each = [self._plain(w) for w in words]
+            return np.concatenate([ids[:0], *each]), np.array([*map(len, each)], np.int64)
+        n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(runs)])])
+        if odd:
+            each = {i: np.array(e.ids, np.uint32) for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True)}
+            parts, at = [], 0
+            for i, got in each.items():
+                upto = int(n[:i].sum()) if not at else int(upto + n[last:i].sum())
+                parts += [ids[at:upto], got]
+                at, last = upto, i
+            ids = np.concatenate([*parts, ids[at:]])
+            n[odd] = [*map(len, each.values())]
+        return ids, n
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            ids, n = self._of_words(words[i : i + 20_000])
+            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+            self.n = np.concatenate([self.n, n])
+            self.pool = np.concatenate([self.pool, ids])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.at, self.n = self.hashes[order], self.at[order], self.n[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin and the last's end."""
+        whole = data.tobytes()
+        if len(offsets) > 1 and any(s in whole.lower() for s in self.special):
+            texts = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            each = [self._plain(t.decode()) if any(s in t.lower() for s in self.special) else self.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+            return np.concatenate([self.pool[:0], *each]), np.cumsum([0, *map(len, each)])
+        lower, begins, ends, hashes, starts = words(data, offsets, _BLANK)
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(kinds) > KNOWN:
+            self._forget()
+        at = np.searchsorted(self.hashes, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != kinds[inside]
+        if new.any():
+            text = lower.tobytes()
+            self._learn(kinds[new], [text[a:b].decode() for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, kinds)
+        n = self.n[at][which]
+        upto = np.cumsum(n)
+        ids = self.pool[np.arange(upto[-1] if len(n) else 0) + np.repeat(self.at[at][which] - (upto - n), n)]
+        return ids, np.concatenate([[0], upto])[starts]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -67,8 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
         last = np.array([end], "<u4").tobytes()
         for batch in slices(batches, "text"):
             out = []
-            for doc_id, all_ids in zip(batch.column("doc_id").to_pylist(), ids.encode(batch.column("text").fill_null("").to_pylist()), strict=True):
-                all_ids += last
+            all_texts, at = ids.encode(*utf8(batch.column("text")))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                all_ids = all_texts[a:b].astype("<u4").tobytes() + last
                 for piece, at in enumerate(range(0, len(all_ids), 4 * length)):
                     part = all_ids[at : at + 4 * length]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -32,27 +32,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words (runs without ASCII white space, A-Z in lower case), and where each text's begin."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
+    """Of all texts' words (runs of bytes that aren't space): the texts with A-Z in lower case, where each word begins and ends, its hash, and the number of words before each text."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, none.view(np.uint64), np.zeros(len(offsets), np.int64)
     data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~space[data]
     begin, end = word.copy(), word.copy()
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin[1:] &= ~word[:-1] | edge[1:-1]
     end[:-1] &= ~word[1:] | edge[1:-1]
-    begins, ends = np.flatnonzero(begin), np.flatnonzero(end)
-    sums = np.cumsum(_BYTES[data] * powers(_BASE, n))
-    hashes = (sums[ends] - np.where(begins > 0, sums[begins - 1], np.uint64(0))) * powers(_UNBASE, n)[begins]
-    return mixed(hashes), np.searchsorted(begins, offsets)
+    begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * powers(_BASE, n), out=sums[1:])
+    hashes = mixed((sums[ends] - sums[begins]) * powers(_UNBASE, n)[begins])
+    return data, begins, ends, hashes, np.searchsorted(begins, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Of each text its distinct k-word shingles, sorted; of a shorter one, its whole sequence of words as one shingle."""
-    hashes, starts = words(data, offsets)
+    *_, hashes, starts = words(data, offsets)
     m = len(hashes) - k + 1
     grams = np.zeros(max(m, 0), np.uint64)
     for i in range(k if m > 0 else 0):
