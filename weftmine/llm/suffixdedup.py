@@ -17,7 +17,6 @@ empty table gives no rows; repeated rows are copies of each other; other columns
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,11 @@ from pyspark.sql import functions as F
 
 from weftmine.llm.arrow import slices, utf8
 from weftmine.llm.shingles import mixed, powers
-from weftmine.session import cut, shared_dir
+from weftmine.session import drop, partitions, release, stored
 
 LENGTH, GRAM, BATCHES = 200, 100, 2
+#: Kinds of blocks around a gram from which on their strings are dealt out singly; bytes of blocks that meet in a task.
+CROWD, TOGETHER = 1000, 2 << 20
 _RANDOM = np.random.default_rng(77)
 _BYTES = _RANDOM.integers(1, 2**63, (2, 256), np.uint64)
 _BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
@@ -98,7 +99,7 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """key, span (first start << 8 | further starts), gram, block of each block of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             data, offsets = utf8(batch.column("text"))
             text, first, last, grams, whole = blocks(data, offsets, length, gram)
             keys = batch.column("key").to_numpy()[text]
@@ -115,15 +116,6 @@ class Family:
     def __init__(self, spark: SparkSession):
         self.spark, self.levels = spark, []
 
-    def _stored(self, run: DataFrame) -> tuple[str, DataFrame]:
-        path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("gram").write.parquet(path)
-        return path, self.spark.read.parquet(path)
-
-    def _drop(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         both = runs[0]
         for run in runs[1:]:
@@ -133,67 +125,107 @@ class Family:
     def add(self, batch: DataFrame) -> None:
         """Add a batch of suffixes (gram, block); levels of equal size merge."""
         run = batch.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
-        size, (path, run) = 1, self._stored(run)
+        size, run = 1, stored(run.sortWithinPartitions("gram"))
         while self.levels and self.levels[-1][0] == size:
-            _, old, other = self.levels.pop()
-            new = self._stored(self._merged([other, run]))
-            self._drop(old)
-            self._drop(path)
-            size, (path, run) = 2 * size, new
-        self.levels.append((size, path, run))
+            _, other = self.levels.pop()
+            both = stored(self._merged([other, run]).sortWithinPartitions("gram"))
+            for old in (other, run):
+                drop(old)
+            size, run = 2 * size, both
+        self.levels.append((size, run))
+        release(self.spark)
 
     def repeated(self) -> DataFrame:
         """Grams that occur more than once in all levels together, and whether all their blocks are the same."""
-        runs = [run for _, _, run in self.levels]
+        runs = [run for _, run in self.levels]
         found = (self._merged(runs) if len(runs) > 1 else runs[0]).filter("n > 1")
         return found.select("gram", (F.col("low") == F.col("high")).alias("same"))
 
     def clear(self) -> None:
-        for _, path, _ in self.levels:
-            self._drop(path)
+        for _, run in self.levels:
+            drop(run)
         self.levels = []
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def _repeats(keys: np.ndarray, first: np.ndarray, last: np.ndarray, data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks (each one's bytes begin at ``begins`` in data): key and span of the strings that more than one block holds, or one more than once."""
+    block, start, h1, h2 = strings(data, begins, begins + (last - first), length)
+    order = np.lexsort((h2, h1))
+    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    more = np.zeros(len(block), bool)
+    more[order[1:][same]] = more[order[:-1][same]] = True
+    its = block[more]
+    return keys[its], first[its] + start[more] - begins[its] << 8
+
+
+def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, crowd: int = CROWD) -> DataFrame:
     """key, spans: of each document that has any, the starts of strings that occur more than once (first << 8 | further starts)."""
     spark = docs.sparkSession
     family = Family(spark)
     for i in range(batches):
         part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == i)
         family.add(suffixes(part, length, gram).select("gram", "block"))
-    met = cut(suffixes(docs, length, gram).join(family.repeated(), "gram"))
+    met = stored(suffixes(docs, length, gram).join(family.repeated(), "gram"))
     family.clear()
+    release(spark)
 
-    mixed_ = met.filter("NOT same")
-    counts = cut(mixed_.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min("key").alias("one")))
-    judged = mixed_.join(counts, ["gram", "block"])
+    # Of blocks that differ around a gram, one document shows each kind of block.
+    unlike = met.filter("NOT same")
+    kinds = stored(unlike.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min("key").alias("one")))
+    crowds = kinds.groupBy("gram").agg((F.count("*") > crowd).alias("crowded"))
+    judged = stored(unlike.join(kinds.join(crowds, "gram"), ["gram", "block"]).select("key", "span", "gram", "n", "crowded", (F.col("key") == F.col("one")).alias("shows")))
     known = met.filter("same").select("key", "span").union(judged.filter("n > 1").select("key", "span"))
-    looked = cut(judged.filter("n = 1 OR key = one").groupBy("key").agg(F.collect_set("span").alias("spans"), F.max(F.col("n") == 1).alias("open")))
+    looked = judged.filter("n = 1 OR shows").groupBy("key").agg(F.collect_list(F.struct("span", "gram", "crowded")).alias("looked"))
+
+    schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bytes", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             data, offsets = utf8(batch.column("text"))
-            lists = batch.column("spans")
-            spans = lists.flatten().to_numpy()
+            lists = batch.column("looked")
+            flat = lists.flatten()
+            spans, grams, crowded = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             text = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            first = offsets[text] + (spans >> 8)
-            step = 20_000
-            for i in range(0, len(first), step):
-                block, start, h1, h2 = strings(data, first[i : i + step], first[i : i + step] + (spans[i : i + step] & 255), length)
-                its = text[i : i + step][block]
-                columns = (batch.column("key").to_numpy()[its], start - offsets[its], h1.view(np.int64), h2.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "start", "h1", "h2"])
-
-    texts = docs.select(key().alias("key"), "text").join(looked, "key").dropDuplicates(["key"]).select("key", "text", "spans")
-    each = texts.mapInArrow(rows, "key long, start long, h1 long, h2 long")
-    place = F.struct("key", "start")
-    pairs = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("n > 1")
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("p")).select("p.key", "p.start")
-    more = pairs.filter("n > 2").select("h1", "h2")
-    rest = each.join(more, ["h1", "h2"]).select("key", "start") if not more.isEmpty() else ends.limit(0)
-    found = ends.union(rest).select("key", F.shiftleft("start", 8).alias("span"))
-    return cut(known.union(found).groupBy("key").agg(F.collect_set("span").alias("spans")))
+            keys = batch.column("key").to_numpy()[text]
+            first, more = offsets[text] + (spans >> 8), spans & 255
+            calm = np.flatnonzero(~crowded)
+            whole = data.tobytes()
+            content = [whole[a:b] for a, b in zip(first[calm].tolist(), (first + more + length)[calm].tolist(), strict=True)]
+            nothing = pa.nulls(len(calm), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[calm]), pa.array(spans[calm]), pa.array(grams[calm]), nothing, pa.array(content, pa.binary())], schema=schema)
+            busy = np.flatnonzero(crowded)
+            for i in range(0, len(busy), 20_000):
+                part = busy[i : i + 20_000]
+                block, start, h1, h2 = strings(data, first[part], first[part] + more[part], length)
+                its = part[block]
+                columns = (keys[its], (start - offsets[text[its]]) << 8, h1.view(np.int64), h2.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(its), pa.binary())], schema=schema)
+
+    texts = docs.select(key().alias("key"), "text").join(looked, "key").dropDuplicates(["key"]).select("key", "text", "looked")
+    each = stored(texts.mapInArrow(rows, "key long, span long, h1 long, h2 long, bytes binary"))
+    release(spark)
+
+    # The blocks of a gram that few kinds share meet in one task, and many such grams with them.
+    calm = each.filter("bytes IS NOT NULL")
+    groups = max(partitions(spark), int((calm.agg(F.sum(F.length("bytes"))).first()[0] or 0) // TOGETHER))
+
+    def meet(table: pa.Table) -> pa.Table:
+        data, begins = utf8(table.column("bytes").combine_chunks())
+        keys, spans = (table.column(c).to_numpy() for c in ("key", "span"))
+        first = spans >> 8
+        found = _repeats(keys, first, first + (spans & 255), data, begins[:-1], length)
+        return pa.table(dict(zip(("key", "span"), map(pa.array, found), strict=True)))
+
+    dealt = calm.select("key", "span", "bytes", F.pmod(F.xxhash64("h1"), F.lit(groups)).alias("g"))
+    near = dealt.groupBy("g").applyInArrow(meet, "key long, span long")
+    # The strings of a gram that many share are dealt out one by one.
+    busy = each.filter("bytes IS NULL")
+    often = busy.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    far = busy.join(often, ["h1", "h2"]).select("key", "span")
+    out = stored(known.union(near).union(far).groupBy("key").agg(F.collect_set("span").alias("spans")))
+    drop(met, kinds, judged, each)
+    release(spark)
+    return out
 
 
 def covered(spans: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
