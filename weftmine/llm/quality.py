@@ -101,11 +101,14 @@ def train(x: np.ndarray, begins: np.ndarray, y: np.ndarray, *, width: int = 24,
     n, d = len(y), x.shape[1]
     normal = lambda *shape: (r.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
     weights = [normal(d + 1, width), normal(width, gate), normal(width, gate), normal(gate), normal(width), np.zeros(1, np.float32)]
+    if not n:
+        weights[4][:] = 0
+        return Model(np.zeros(d, np.float32), np.ones(d, np.float32), *weights)
     fixed = (x.mean(0), x.std(0) + 0.01 * max(float(x.std()), 1e-3))
-    if not n or len(np.unique(y)) < 2:
+    if len(np.unique(y)) < 2:
         weights[4][:] = 0
-        weights[5][0] = 0.0 if not n else np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-        return Model(*(np.nan_to_num(f) if n else np.full(d, v, np.float32) for f, v in zip(fixed, (0, 1), strict=True)), *weights)
+        weights[5][0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+        return Model(*fixed, *weights)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     step = 0
     for epoch in range(epochs):
