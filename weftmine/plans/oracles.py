@@ -82,7 +82,22 @@ def sql(body: str) -> str:
     return ("WITH " + ",\n".join(f"{n} AS ({SHARED[n]})" for n in names) + "\n" if names else "") + body
 
 
+SHARED |= {
+    "hh": "SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM h a JOIN h b ON a.item = b.item GROUP BY ALL",
+    "g0": "SELECT pid, k, 5 * v AS v FROM gx",
+    "xh": "SELECT pid, k, sum(v) AS v FROM x JOIN h USING (item) GROUP BY ALL",
+    "gd": "SELECT pid, l AS k, sum(g0.v * hh.v) AS v FROM g0 JOIN hh ON g0.k = hh.k GROUP BY ALL",
+    "g1": "SELECT g0.pid, g0.k, g0.v * xh.v / (gd.v + 1e-10) AS v FROM g0 JOIN xh ON g0.pid = xh.pid AND g0.k = xh.k JOIN gd ON g0.pid = gd.pid AND g0.k = gd.k",
+    "g1g1": "SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM g1 a JOIN g1 b ON a.pid = b.pid GROUP BY ALL",
+    "theta": "SELECT pid, k, v / sum(v) OVER (PARTITION BY pid) AS t FROM (SELECT p.pid, t.k, coalesce(gx.v, 0) + 0.1 AS v FROM (SELECT DISTINCT pid FROM gx) p CROSS JOIN (SELECT DISTINCT k FROM h) t LEFT JOIN gx ON gx.pid = p.pid AND gx.k = t.k)",
+    "tp": "SELECT x.pid, x.item, theta.k, t * h.v AS tv, sum(t * h.v) OVER (PARTITION BY x.pid, x.item) AS q FROM x JOIN theta ON x.pid = theta.pid JOIN h ON h.item = x.item AND h.k = theta.k",
+}
+
 _BODIES = {
+    "mur_step_once": """SELECT h.item, h.k, round(h.v * u.v / (d.v + 1e-10), 6) AS v, round(s.v, 4) AS g_sum FROM h JOIN (SELECT item, k, sum(v) AS v FROM x JOIN g1 ON x.pid = g1.pid GROUP BY ALL) u ON h.item = u.item AND h.k = u.k
+        JOIN (SELECT item, l AS k, sum(h.v * g1g1.v) AS v FROM h JOIN g1g1 ON h.k = g1g1.k GROUP BY ALL) d ON h.item = d.item AND h.k = d.k JOIN (SELECT k, sum(v) AS v FROM g1 GROUP BY k) s ON s.k = h.k""",
+    "pgd_step_once": "SELECT g0.pid, g0.k, round(greatest(g0.v - 0.05 * (2 * (gd.v - coalesce(xh.v, 0)) + 0.1), 0), 6) AS v FROM g0 JOIN gd ON g0.pid = gd.pid AND g0.k = gd.k LEFT JOIN xh ON g0.pid = xh.pid AND g0.k = xh.k",
+    "em_step_once": "SELECT item, k, round(r / sum(r) OVER (PARTITION BY k), 6) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM tp WHERE q > 1e-10 GROUP BY ALL)",
     "presence_long": "SELECT pid, item, 1.0::DOUBLE AS val FROM x",
     "doc_freq": "SELECT item, df FROM df",
     "tfidf_weights": "SELECT pid, item, round(val, 6) AS val FROM w",

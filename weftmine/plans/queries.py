@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, graph, hypergraph, infer, linalg, metrics, mining, split, stats, weighting
+from weftmine.operators import constraints, factorize, graph, hypergraph, infer, linalg, metrics, mining, split, stats, weighting
 from weftmine.session import prepare, table
 from weftmine.sources import files, star
 
@@ -611,3 +611,93 @@ def id_mismatch(spark, d):
     """Orders without lines: ids that only one of two views has."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"))
     return spark.range(1).select(F.lit(files.same_entities(o, _x(spark, d))).cast("long").alias("mismatches"))
+
+
+# Factorisation
+
+
+def _indexed(spark, d):
+    """Views with items numbered from 0, and how many there are: brands (ph), nations (ps), quantities (pd)."""
+    nodes = _nodes(spark, d).withColumn("no", (F.row_number().over(Window.orderBy("item")) - 1).cast("int"))
+    n = nodes.count()
+    ph = _x(spark, d).join(nodes, "item").select("pid", F.col("no").alias("item"), F.lit(1.0).alias("val"))
+    ps = star.nations(spark, d).select("pid", F.col("item").cast("int").alias("item"), F.lit(1.0).alias("val"))
+    pd = weighting.scaled_doses(star.doses(spark, d)).join(nodes, "item").select("pid", F.col("no").alias("item"), F.col("scaled").alias("val"))
+    return {"ph": ph, "ps": ps, "pd": pd}, {"ph": n, "ps": 25, "pd": n}
+
+
+@query
+def mur_step_once(spark, d):
+    h, _ = star.loadings(spark, d)
+    g, new = factorize.multiplicative_step(_values(_x(spark, d)), _g(spark, d, h), h)
+    sums = g.groupBy("k").agg(F.sum("v").alias("g_sum"))
+    return new.join(sums, "k").select("item", "k", r("v"), r("g_sum", 4))
+
+
+@query
+def pgd_step_once(spark, d):
+    h, _ = star.loadings(spark, d)
+    return factorize.gradient_step(_values(_x(spark, d)), _g(spark, d, h), h, 0.05, 0.1).select("pid", "k", r("v"))
+
+
+@query
+def em_step_once(spark, d):
+    h, _ = star.loadings(spark, d)
+    theta = infer.smoothed(infer.by_dot(_values(_x(spark, d)), h), h, 0.1)
+    return factorize.em_step(_values(_x(spark, d)), theta, h).select("item", "k", r("v"))
+
+
+@query
+def em_fit(spark, d):
+    h, s = star.loadings(spark, d)
+    theta = infer.smoothed(infer.infer(_values(star.nations(spark, d)), s), s, 0.1)
+    return factorize.em_fit(_values(_x(spark, d)), theta, h, 3).select("item", "k", r("v"))
+
+
+def _fitted(spark, d, mode, terms=None, views=("ph", "ps"), iterations=5, rate=1e-5, k=4):
+    x, n = _indexed(spark, d)
+    x, n = {v: x[v] for v in views}, {v: n[v] for v in views}
+    state = factorize.start(factorize.rows_of(x, n), k)
+    found = factorize.fit(state, factorize.drawn(n, k), terms or factorize.Terms({v: 1.0 for v in views}), mode, iterations=iterations, rate=rate)
+    rows = [(v, i, j, float(m[i, j])) for v, m in found.factors.items() for i in range(m.shape[0]) for j in range(m.shape[1])]
+    return spark.createDataFrame(rows, "view string, item int, k int, v double").select("view", "item", "k", r("v", 4))
+
+
+@query
+def nmf_fit(spark, d):
+    return _fitted(spark, d, "mur")
+
+
+@query
+def pgd_fit(spark, d):
+    return _fitted(spark, d, "pgd")
+
+
+@query
+def hybrid_fit(spark, d):
+    """All kinds of terms: doses, graphs, groups, conflicts, sparsity, knowledge."""
+    import numpy as np
+
+    _, n = _indexed(spark, d)
+    names = [x.item for x in _nodes(spark, d).orderBy("item").collect()]
+    at = {x: i for i, x in enumerate(names)}
+    lap, foes = np.zeros((n["ph"], n["ph"])), np.zeros((n["ph"], n["ph"]))
+    for e in graph.laplacian(_graph(spark, d), _nodes(spark, d)).collect():
+        lap[at[e.i], at[e.j]] = e.v
+    for e in _conflicts(spark, d).collect():
+        foes[at[e.i], at[e.j]] = e.w
+    edges = np.zeros((0, n["ph"]))
+    for e in hypergraph.by_category(star.categories(spark, d), 2).collect():
+        edges = np.vstack([edges, np.isin(np.arange(n["ph"]), [at[m] for m in e.members])])
+    terms = factorize.Terms(
+        {"ph": 1.0, "ps": 0.5, "pd": 0.3}, laplacian={"ph": (0.1, lap)}, l1={"g": 0.01, "ph": 0.01, "ps": 0.01},
+        conflict=(0.05, foes), groups=(0.01, edges, np.ones(len(edges)), True), knowledge=(0.1, np.eye(n["ph"], n["ps"])), normalise=True,
+    )
+    return _fitted(spark, d, "hybrid", terms, ("ph", "ps", "pd"), iterations=4)
+
+
+@query
+def nndsvd_init(spark, d):
+    x, n = _indexed(spark, d)
+    h, _ = factorize.nndsvd(factorize.rows_of({"ph": x["ph"]}, n), "ph", n["ph"], 4)
+    return spark.createDataFrame([(i, j, float(h[i, j])) for i in range(h.shape[0]) for j in range(h.shape[1])], "item int, k int, v double").select("item", "k", r("v", 4))
