@@ -10,11 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a batch that goes to a Python worker. Texts are long: 10,000 of them would fill a worker's memory.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed.
+    """Let Python workers import this package where it isn't installed, and send them smaller batches.
 
     Workers take PYTHONPATH from the context's environment. On a cluster the package is
     installed or shipped with ``--py-files`` and the extra entry is harmless.
@@ -23,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark
 
 
