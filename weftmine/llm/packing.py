@@ -22,7 +22,7 @@ from weftmine.session import cut
 
 LENGTH, END = 4096, 1
 #: Words whose ids a worker keeps.
-KNOWN = 2_000_000
+KNOWN = 1_000_000
 _BLANK = np.isin(np.arange(256), (0x20, 0x0A))
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -43,7 +43,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _plain(self, word: str) -> np.ndarray:
@@ -82,8 +82,8 @@ class WordIds:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             ids, n = self._of_words(words[i : i + 20_000])
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
-            self.n = np.concatenate([self.n, n])
+            self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
+            self.n = np.concatenate([self.n, n.astype(np.int32)])
             self.pool = np.concatenate([self.pool, ids])
         self.hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(self.hashes, kind="stable")
@@ -108,7 +108,7 @@ class WordIds:
             text = lower.tobytes()
             self._learn(kinds[new], [text[a:b].decode() for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, kinds)
-        n = self.n[at][which]
+        n = self.n[at][which].astype(np.int64)
         upto = np.cumsum(n)
         ids = self.pool[np.arange(upto[-1] if len(n) else 0) + np.repeat(self.at[at][which] - (upto - n), n)]
         return ids, np.concatenate([[0], upto])[starts]

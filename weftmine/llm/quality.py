@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             scores = model.score(*passages(*utf8(batch.column("text")))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -175,15 +175,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of ``threshold`` or more, with their own columns."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        out = []
-        for i in range(0, len(texts), 256):
-            part = [(t or "").encode() for t in texts[i : i + 256]]
-            x, begins = passages(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
-            out.append(model.score(x, begins))
-        import pandas as pd
-
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            scores = model.score(*passages(*utf8(batch.column("text"))))
+            yield batch.filter(pa.array(scores.astype(np.float64) >= threshold))
 
-    return docs.filter(scored(F.coalesce("text", F.lit(""))) >= threshold)
+    return docs.mapInArrow(rows, docs.schema)
