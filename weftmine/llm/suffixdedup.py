@@ -169,13 +169,14 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     family.clear()
     release(spark)
 
-    # Of blocks that differ around a gram, one document shows each kind of block.
+    # Of blocks that differ around a gram, one place of each kind is looked at.
     unlike = met.filter("NOT same")
-    kinds = stored(unlike.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min("key").alias("one")))
-    crowds = kinds.groupBy("gram").agg((F.count("*") > crowd).alias("crowded"))
-    judged = stored(unlike.join(kinds.join(crowds, "gram"), ["gram", "block"]).select("key", "span", "gram", "n", "crowded", (F.col("key") == F.col("one")).alias("shows")))
-    known = met.filter("same").select("key", "span").union(judged.filter("n > 1").select("key", "span"))
-    looked = judged.filter("n = 1 OR shows").groupBy("key").agg(F.collect_list(F.struct("span", "gram", "crowded")).alias("looked"))
+    kinds = stored(unlike.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("key", "span")).alias("at")))
+    again = unlike.join(kinds.filter("n > 1").select("gram", "block"), ["gram", "block"])
+    known = met.filter("same").select("key", "span").union(again.select("key", "span"))
+    crowds = kinds.groupBy("gram").count().filter(F.col("count") > crowd).select("gram")
+    calm, busy = (kinds.join(crowds, "gram", how).select("at.key", "at.span", "gram", F.lit(how == "left_semi").alias("crowded")) for how in ("left_anti", "left_semi"))
+    looked = calm.union(busy).groupBy("key").agg(F.collect_list(F.struct("span", "gram", "crowded")).alias("looked"))
 
     schema = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bytes", pa.binary())])
 
@@ -205,7 +206,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     each = stored(texts.mapInArrow(rows, "key long, span long, h1 long, h2 long, bytes binary"))
     release(spark)
 
-    # The blocks of a gram that few kinds share meet in one task, and many such grams with them.
+    # The blocks of a gram that has few kinds meet in one task, and many such grams with them.
     calm = each.filter("bytes IS NOT NULL")
     groups = max(partitions(spark), int((calm.agg(F.sum(F.length("bytes"))).first()[0] or 0) // TOGETHER))
 
@@ -223,7 +224,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     often = busy.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     far = busy.join(often, ["h1", "h2"]).select("key", "span")
     out = stored(known.union(near).union(far).groupBy("key").agg(F.collect_set("span").alias("spans")))
-    drop(met, kinds, judged, each)
+    drop(met, kinds, each)
     release(spark)
     return out
 
@@ -270,13 +271,16 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents with what is left of their texts; bytes of a character cut in two go with it, and so do texts of which nothing is left. n_chars, where there is one, counts anew."""
     length = options.get("length", LENGTH)
 
-    @F.pandas_udf("string")
-    def rest(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None else _kept(t.encode(), s, length)[0].decode(errors="ignore"))
-
-    rows = _marked(docs, docs.columns, options)
     touched = F.col("__spans").isNotNull()
-    rows = rows.withColumn("text", F.when(touched, rest(F.coalesce("text", F.lit("")), "__spans")).otherwise(F.col("text")))
+    marked = _marked(docs, docs.columns, options)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            at = batch.schema.get_field_index("text")
+            texts = [t.as_py() if not s.is_valid else _kept((t.as_py() or "").encode(), s.values.to_numpy(), length)[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column("__spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    rows = marked.mapInArrow(rest, marked.schema)
     rows = rows.filter(~touched | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
