@@ -1,5 +1,11 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from __future__ import annotations
+
+import re
+
+from weftmine.llm.licenses import PHRASES, TEMPLATES, TRIGGERS
+
 OP1 = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -53,6 +59,25 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w
+), one AS (
+  SELECT s, min(doc_id) AS id, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s
+), parts AS (
+  SELECT id, n, unnest(s) AS g FROM one
+), linked AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS m FROM parts x JOIN parts y ON x.g = y.g AND x.id <> y.id GROUP BY ALL) WHERE 100 * m >= 85 * (na + nb - m)
+), reach AS (
+  SELECT id, id AS other FROM one UNION SELECT reach.id, b FROM reach JOIN linked ON other = a
+)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
+FROM sets LEFT JOIN (SELECT one.s, min(other) AS c FROM one JOIN reach USING (id) GROUP BY one.s) r ON list_sort(sets.s) = r.s AND len(sets.s) > 0
+"""
+
 OP9 = """
 WITH usable AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -67,5 +92,38 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+def op2() -> str:
+    """Phrases by list positions, templates as regular expressions over the words joined by spaces."""
+    places = [
+        (label, f"list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f'ws[i + {k}] = {w!r}' if k else f'ws[i] = {w!r}' for k, w in enumerate(phrase.split()))})")
+        for phrase, label in PHRASES.items()
+    ]
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN [{label!r}] ELSE [] END" for i, (label, _) in enumerate(places))
+    found, shares = [], ["CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0 END"]
+    for label, template in TEMPLATES.items():
+        items = re.findall(r"<<(opt|var) ([^>]*)>>|(\S+)", template)
+        n, seen, so_far = sum(bool(w) for *_, w in items), 0, " "
+        for kind, inside, word in items:
+            so_far += f"(?:[^ ]+ ){{0,{inside}}}" if kind == "var" else f"(?:{inside} )?" if kind else f"{word} "
+            if word:
+                seen += 1
+                shares.append(f"CASE WHEN trig AND regexp_matches(norm, '{so_far}') THEN {seen}::DOUBLE / {n}::DOUBLE ELSE 0 END")
+        found.append(f"CASE WHEN trig AND regexp_matches(norm, '{so_far}') THEN [{label!r}] ELSE [] END")
+    every = " || ".join(f"p{i}" for i in range(len(places)))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS low FROM documents)
+), n AS (
+  SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS norm, {" OR ".join(f"contains(low, '{t.decode()}')" for t in TRIGGERS)} AS trig, {", ".join(f"{sql} AS p{i}" for i, (_, sql) in enumerate(places))} FROM w
+), b AS (
+  SELECT *, len({every}) AS n_base, list_min({every}) AS lo, list_max({every}) AS hi, flatten([{base}]) AS bl, flatten([{", ".join(found)}]) AS tl FROM n
+)
+SELECT doc_id, len(ws) AS n_words, n_base, lo - 1 AS first_word, hi - 1 AS last_word, array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(bl || tl)), ',') AS labels, greatest({", ".join(shares)})::DOUBLE AS score
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op9_segment_search": OP9, "op10_url_filter": OP10}
+    return {"op1_mix_sources": OP1, "op2_license_scan": op2(), "op4_min_max_hash": OP4, "op9_segment_search": OP9, "op10_url_filter": OP10}
