@@ -70,7 +70,7 @@ def test_levels_of_a_family(spark):
         family.add(spark.createDataFrame([(i % 2, i), (100 + i, 7)], "gram long, block long"))
         sizes.append([n for n, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    assert sorted(map(tuple, family.repeated().collect())) == [(0, False), (1, False)]
+    assert sorted(map(tuple, family.repeated().collect())) == [(0, 0, 1, False), (0, 2, 1, False), (0, 4, 1, False), (1, 1, 1, False), (1, 3, 1, False)]
     family.clear()
 
 

@@ -111,7 +111,7 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class Family:
-    """Sorted runs of (gram, n, low, high): how often a gram occurs, and the smallest and largest of its blocks."""
+    """Sorted runs of (gram, block, n): how often a block occurs around a gram."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.levels = spark, []
@@ -120,11 +120,11 @@ class Family:
         both = runs[0]
         for run in runs[1:]:
             both = both.unionByName(run)
-        return both.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return both.groupBy("gram", "block").agg(F.sum("n").alias("n"))
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of suffixes (gram, block); levels of equal size merge."""
-        run = batch.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
+        run = batch.groupBy("gram", "block").agg(F.count("*").alias("n"))
         size, run = 1, stored(run.sortWithinPartitions("gram"))
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
@@ -136,10 +136,11 @@ class Family:
         release(self.spark)
 
     def repeated(self) -> DataFrame:
-        """Grams that occur more than once in all levels together, and whether all their blocks are the same."""
+        """gram, block, n, same: of grams that occur more than once in all levels together, their blocks, and whether there is only one kind of them."""
         runs = [run for _, run in self.levels]
-        found = (self._merged(runs) if len(runs) > 1 else runs[0]).filter("n > 1")
-        return found.select("gram", (F.col("low") == F.col("high")).alias("same"))
+        level = self._merged(runs) if len(runs) > 1 else runs[0]
+        grams = level.groupBy("gram").agg(F.sum("n").alias("total"), (F.count("*") == 1).alias("same")).filter("total > 1")
+        return level.join(grams.drop("total"), "gram")
 
     def clear(self) -> None:
         for _, run in self.levels:
@@ -165,15 +166,16 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     for i in range(batches):
         part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == i)
         family.add(suffixes(part, length, gram).select("gram", "block"))
-    met = stored(suffixes(docs, length, gram).join(family.repeated(), "gram"))
+    repeated = stored(family.repeated())
     family.clear()
     release(spark)
+    met = stored(suffixes(docs, length, gram).join(repeated, ["gram", "block"]))
+    drop(repeated)
+    release(spark)
 
     # Of blocks that differ around a gram, one place of each kind is looked at.
-    unlike = met.filter("NOT same")
-    kinds = stored(unlike.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("key", "span")).alias("at")))
-    again = unlike.join(kinds.filter("n > 1").select("gram", "block"), ["gram", "block"])
-    known = met.filter("same").select("key", "span").union(again.select("key", "span"))
+    known = met.filter("same OR n > 1").select("key", "span")
+    kinds = stored(met.filter("NOT same").groupBy("gram", "block").agg(F.min(F.struct("key", "span")).alias("at")))
     crowds = kinds.groupBy("gram").count().filter(F.col("count") > crowd).select("gram")
     calm, busy = (kinds.join(crowds, "gram", how).select("at.key", "at.span", "gram", F.lit(how == "left_semi").alias("crowded")) for how in ("left_anti", "left_semi"))
     looked = calm.union(busy).groupBy("key").agg(F.collect_list(F.struct("span", "gram", "crowded")).alias("looked"))
