@@ -149,8 +149,15 @@ class Family:
 
 
 def _repeats(keys: np.ndarray, first: np.ndarray, last: np.ndarray, data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of blocks (each one's bytes begin at ``begins`` in data): key and span of the strings that more than one block holds, or one more than once."""
-    block, start, h1, h2 = strings(data, begins, begins + (last - first), length)
+    """Of blocks (each one's bytes lie between two ``begins`` in data): key and span of the strings that more than one block holds, or one more than once."""
+    parts, i = [], 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + (1 << 18), side="right")) - 1)
+        low = begins[i]
+        block, start, h1, h2 = strings(data[low : begins[j]], begins[i:j] - low, begins[i:j] - low + (last - first)[i:j], length)
+        parts.append((block + i, start + low, h1, h2))
+        i = j
+    block, start, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((h2, h1))
     same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
     more = np.zeros(len(block), bool)
@@ -216,7 +223,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
         data, begins = utf8(table.column("bytes").combine_chunks())
         keys, spans = (table.column(c).to_numpy() for c in ("key", "span"))
         first = spans >> 8
-        found = _repeats(keys, first, first + (spans & 255), data, begins[:-1], length)
+        found = _repeats(keys, first, first + (spans & 255), data, begins, length)
         return pa.table(dict(zip(("key", "span"), map(pa.array, found), strict=True)))
 
     dealt = calm.select("key", "span", "bytes", F.pmod(F.xxhash64("h1"), F.lit(groups)).alias("g"))
