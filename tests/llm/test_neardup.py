@@ -66,6 +66,38 @@ def test_a_large_group_of_near_copies_in_many_blocks(spark, monkeypatch):
     assert found(neardup.near_duplicates(documents(spark, rows), k=3, percent=85)) == want
 
 
+def templates(n, seed):
+    """n texts that share two thirds of their words, every tenth with a near copy; chained by bands, not linked."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(500)}" for _ in range(80)]
+    out = []
+    for i in range(n):
+        words = base + [f"o{i}x{j}" for j in range(40)]
+        out.append(" ".join(words))
+        if i % 10 == 0:
+            out.append(" ".join([*words[:-2], "other", "end"]))
+    return out
+
+
+@pytest.mark.parametrize("rows", [templates(140, 4), copies(150, 3, 3)], ids=["templates", "near copies"])
+def test_tasks_of_a_hot_cluster_hold_bounded_texts(spark, monkeypatch, rows):
+    from pyspark.sql import functions as F
+
+    kind, dealt = type(spark.range(1).groupBy("id")), []
+    real = kind.applyInArrow
+
+    def seen(self, func, schema):
+        dealt.extend(r[1] for r in self._df.groupBy("g").agg(F.sum(F.length("text"))).collect())
+        return real(self, func, schema)
+
+    monkeypatch.setattr(kind, "applyInArrow", seen)
+    monkeypatch.setattr(neardup.links, "__defaults__", (3000,))
+    assert found(neardup.near_duplicates(documents(spark, rows), k=3, percent=80)) == groups(rows, 3, 80)
+    size = sum(map(len, rows))
+    assert size > 20 * 3000
+    assert max(dealt) < size / 2 and sum(dealt) < 8 * size
+
+
 def test_sets_of_odd_texts():
     rows = ["", " \t", "a", "A", "a b", "a b c", "a\x0bb\x0cc", "a b c", "É é", "a b c a b c a b c", "x" * 5000]
     data = "".join(rows).encode()

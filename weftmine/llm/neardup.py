@@ -4,7 +4,7 @@ Both the minimum and the maximum under each permutation are kept, so that one ev
 signature values. Bands of signature values find which documents to compare; full shingle sets decide.
 
 Texts with the same shingle set form a class, and one document stands for it. Classes that share a band's values are
-joined into clusters, and each cluster's classes are compared in blocks of bounded size. Only as many links as join a block's linked
+joined into clusters, and each cluster's classes are compared in blocks of bounded size, large clusters' after exact cuts. Only as many links as join a block's linked
 documents leave it, so that neither pairs of copies nor pairs within a large group are ever written out.
 
 Defined results: a text without words, empty or null has no shingles, no links and stays; equal texts are linked;
@@ -25,12 +25,14 @@ from weftmine.llm.arrow import slices, utf8
 from weftmine.llm.shingles import mixed, shingle_sets
 from weftmine.operators.components import components
 from weftmine.operators.prefix import prefix_sums
-from weftmine.session import cut
+from weftmine.session import cut, drop, stored
 
 #: Bands of three permutations' minima and maxima: a pair at similarity 0.8 shares none with a chance of 6e-6, one at 0.85 of 6e-9.
 BANDS, PERMUTATIONS = 40, 3
 #: Bytes of text in a block of classes.
 BLOCK = 2 << 20
+#: Blocks from which on a cluster is cut before its blocks meet.
+HOT = 8
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +134,50 @@ def forest_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
     return out
 
 
-def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join what is linked among classes (id, cluster, n_shingles, n_bytes), whose texts are in docs.
+def refined(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """Clusters (id, cluster, n_shingles, n_bytes) cut into smaller ones, so that all that is linked stays together.
 
-    A cluster's classes stand by set size, in blocks of about ``block`` bytes; two blocks meet unless their sizes rule links out.
+    A cluster's shingles stand by the number of its classes that hold them. Of two linked sets, each has a shingle in common with
+    the other among its first n - ceil(percent of n) + 1, so that classes joined by such shingles are enough. What no other class of the
+    cluster holds stands first and joins nothing; a class with so many of these that nothing else is among its first ones goes.
     """
-    placed = prefix_sums(clusters, ["cluster"], ["n_shingles", "id"], "n_bytes", "__before")
-    placed = cut(placed.withColumn("block", F.floor(F.col("__before") / block)).drop("__before"))
-    blocks = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.sum("n_bytes").alias("bytes"))
-    blocks = cut(blocks)
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 18):
+            sets = shingle_sets(*utf8(batch.column("text")), k)
+            sizes = np.array([*map(len, sets)], np.int64)
+            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cluster", "id", "row")]
+            columns += [np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["cluster", "id", "row", "size", "shingle"])
+
+    # Rows that share a doc_id may have several texts.
+    texts = clusters.select("id", "cluster").distinct().join(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("row")), "id")
+    shingles = stored(texts.select("cluster", "id", "row", "text").mapInArrow(rows, "cluster long, id long, row long, size long, shingle long"))
+    held = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = shingles.join(held, ["cluster", "shingle"]).groupBy("cluster", "id", "row", "size").agg(F.sort_array(F.collect_set(F.struct("n", "shingle"))).alias("shared"))
+    # n - ceil(percent of n) + 1 first ones, less those that no other class holds.
+    length = F.expr(f"greatest(0, (100 - {percent}) * size DIV 100 + 1 - (size - size(shared)))").cast("int")
+    keys = F.transform(F.slice("shared", F.lit(1), length), lambda x: F.xxhash64(F.col("cluster"), x.shingle))
+    finer = components(candidates(shared.select("id", keys.alias("keys")))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    out = cut(clusters.drop("cluster").join(finer, "id").select(clusters.columns))
+    drop(shingles)
+    return out
+
+
+def _placed(clusters: DataFrame, by: list[str], block: int) -> DataFrame:
+    placed = prefix_sums(clusters, by, ["n_shingles", "id"], "n_bytes", "__before")
+    return placed.withColumn("block", F.floor(F.col("__before") / block)).drop("__before")
+
+
+def _met(docs: DataFrame, placed: DataFrame, which: str, k: int, percent: int, block: int) -> DataFrame:
+    """Links of the blocks (of classes id, cluster, block, n_shingles, n_bytes) that meet by the condition ``which``, unless their sizes rule links out."""
+    blocks = cut(placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.sum("n_bytes").alias("bytes")))
+    other = blocks.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("block", "least", "most", "bytes")))
+    near = f"100 * most >= {percent} * least2 AND 100 * most2 >= {percent} * least"
+    meet = cut(blocks.join(other, "cluster").filter(f"block <= block2 AND ({which}) AND {near}").select("cluster", "block", "block2", "bytes", "bytes2"))
+    # Each block's texts are copied into each meeting, so that the meetings' bytes are what is dealt out.
+    total = meet.agg(F.sum(F.expr("bytes + IF(block = block2, 0, bytes2)"))).first()[0] or 0
     groups = max(1, int(total // block))
-    other = blocks.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("block", "least")))
-    meet = blocks.join(other, "cluster").filter(f"block <= block2 AND 100 * most >= {percent} * least2").select("cluster", "block", "block2")
     each = meet.select("*", F.explode(F.array_distinct(F.array("block", "block2"))).alias("__block"))
     sides = each.select("cluster", F.col("__block").alias("block"), F.struct(F.col("block").alias("b1"), F.col("block2").alias("b2")).alias("pair"))
     rows = placed.join(sides, ["cluster", "block"]).select("id", "cluster", "block", "pair")
@@ -171,6 +204,37 @@ def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int
     return rows.groupBy("g").applyInArrow(solve, "a long, b long")
 
 
+def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join what is linked among classes (id, cluster, n_shingles, n_bytes), whose texts are in docs.
+
+    A cluster's classes stand by set size, in blocks of about ``block`` bytes; two blocks meet unless their sizes rule links out.
+    A cluster of more than ``HOT`` blocks is cut by ``refined`` first. In what is as large after that, each block meets itself and
+    the next one, and what that joins to the cluster's largest group needs no more links within it: all others, in blocks of their own, meet
+    each other and the blocks of that group.
+    """
+
+    def hot(table: DataFrame) -> DataFrame:
+        return cut(table.groupBy("cluster").agg(F.sum("n_bytes").alias("n")).filter(F.col("n") > HOT * block).select("cluster"))
+
+    large = hot(clusters)
+    if large.isEmpty():
+        return _met(docs, cut(_placed(clusters, ["cluster"], block)), "true", k, percent, block)
+    clusters = cut(clusters.join(large, "cluster", "left_anti").unionByName(refined(docs, clusters.join(large, "cluster"), k, percent)))
+    large = hot(clusters)
+    out = _met(docs, cut(_placed(clusters.join(large, "cluster", "left_anti"), ["cluster"], block)), "true", k, percent, block)
+    if large.isEmpty():
+        return out
+    crowded = cut(clusters.join(large, "cluster"))
+    near = cut(_met(docs, cut(_placed(crowded, ["cluster"], block)), "block2 - block <= 1", k, percent, block))
+    groups = cut(crowded.join(components(near).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    sizes = groups.groupBy("cluster", "component").agg(F.sum("n_bytes").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("__most")).select("cluster", "__most.component", F.lit(True).alias("within"))
+    parts = groups.join(largest, ["cluster", "component"], "left").withColumn("within", F.coalesce("within", F.lit(False))).drop("component")
+    # The largest group's blocks are counted below zero.
+    placed = cut(_placed(parts, ["cluster", "within"], block).withColumn("block", F.when(F.col("within"), -1 - F.col("block")).otherwise(F.col("block"))))
+    return out.union(near).union(_met(docs, placed, "block2 >= 0", k, percent, block))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where their sets' similarity is ``percent`` of 100 or more."""
     signed = cut(signatures(docs, k))
