@@ -63,6 +63,28 @@ def test_strings_of_exactly_the_length(spark):
     assert found(suffixdedup.digests(documents(spark, rows))) == plain(rows, 200)
 
 
+def test_a_repeat_near_the_end_of_a_very_long_text(spark):
+    import numpy as np
+
+    letters = lambda n, seed: np.random.default_rng(seed).integers(97, 123, n, np.uint8).tobytes().decode()
+    passage = letters(250, 1)
+    rows = [letters((16 << 20) + 5000, 2) + "-" + passage + "-" + letters(300, 3), letters(400, 4) + "+" + passage + "+"]
+    got = found(suffixdedup.digests(documents(spark, rows, clash=False)))
+    want = [r.replace(passage, "") for r in rows]
+    assert got == [(len(r), 250, 1, hashlib.sha256(w.encode()).hexdigest()) for r, w in zip(rows, want, strict=True)]
+
+
+@pytest.mark.parametrize("piece", [1, 37, 500])
+def test_pieces_hold_all_strings(piece):
+    import numpy as np
+
+    texts = [t.encode() for t in odd_texts(5) if t]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    text, first, last, *_ = suffixdedup.blocks(data, offsets, 40, 20, piece)
+    starts = [(t, i) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1)]
+    assert sorted(starts) == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - 39)]
+
+
 def test_levels_of_a_family(spark):
     family = suffixdedup.Family(spark)
     sizes = []

@@ -31,6 +31,8 @@ from weftmine.session import drop, partitions, release, stored
 LENGTH, GRAM, BATCHES = 200, 100, 2
 #: Kinds of blocks around a gram from which on their strings are dealt out singly; bytes of blocks that meet in a task.
 CROWD, TOGETHER = 1000, 2 << 20
+#: Starts of strings that are looked at together; with the bytes of the last ones fewer than 2**24.
+PIECE = 1 << 20
 _RANDOM = np.random.default_rng(77)
 _BYTES = _RANDOM.integers(1, 2**63, (2, 256), np.uint64)
 _BASES = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
@@ -49,8 +51,21 @@ class Hashes:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of all texts' blocks: text number, first and last start of its strings in the text, gram hash, block hash."""
+def blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Of all texts' blocks: text number, first and last start of its strings in the text, gram hash, block hash.
+
+    Strings are looked at by pieces of ``piece`` starts, so that a long text needs no more memory than a short one; a block ends where a piece does.
+    """
+    found = []
+    for begin in range(0, max(1, len(data) - length + 1), piece):
+        part = data[begin : begin + piece + length - 1]
+        text, first, last, *hashes = _blocks(part, np.clip(offsets - begin, 0, len(part)), length, gram)
+        found.append((text, first + begin - offsets[text], last + begin - offsets[text], *hashes))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
+def _blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Like blocks, with starts counted from the first of all bytes, of which there are fewer than 2**24."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     sizes = np.diff(offsets)
@@ -79,7 +94,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     anchor, text = anchor[new], text[new]
     shape = ((anchor - first) << 32 | (last - first)).astype(np.uint64)
     whole = mixed(hashes.of(first, last + length) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return text, first - offsets[text], last - offsets[text], grams[anchor], whole
+    return text, first, last, grams[anchor], whole
 
 
 def strings(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -206,9 +221,12 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
             busy = np.flatnonzero(crowded)
             for i in range(0, len(busy), 20_000):
                 part = busy[i : i + 20_000]
-                block, start, h1, h2 = strings(data, first[part], first[part] + more[part], length)
+                ends = np.cumsum(more[part] + length)
+                begins = ends - (more[part] + length)
+                joined = np.frombuffer(b"".join([whole[a : a + n] for a, n in zip(first[part].tolist(), (more[part] + length).tolist(), strict=True)]), np.uint8)
+                block, start, h1, h2 = strings(joined, begins, begins + more[part], length)
                 its = part[block]
-                columns = (keys[its], (start - offsets[text[its]]) << 8, h1.view(np.int64), h2.view(np.int64))
+                columns = (keys[its], (start - begins[block] + first[its] - offsets[text[its]]) << 8, h1.view(np.int64), h2.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(its), pa.binary())], schema=schema)
 
     texts = docs.select(key().alias("key"), "text").join(looked, "key").dropDuplicates(["key"]).select("key", "text", "looked")
