@@ -32,6 +32,25 @@ def test_a_page_without_an_article():
     assert got == ["Heading", prose.strip(), prose.strip(), "Short one.", prose.strip()]
 
 
+PROSE = "This is a paragraph of prose with quite a few words in it, so that it looks like main text."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article><p>{0}</p></article></div>",
+        "<div class='sidebar-layout'><article><p>{0}</p></article></div>",
+        "<article class='post comments-open'><p>{0}</p></article>",
+        "<div class='no-header'><p>{0}</p></div>",
+        "<div class='page-widget'><p>{0}</p></div><div class='footer'>All the rest.</div>",
+        "<article><section id='related-work'><p>{0}</p></section></article><section class='comments'><article class='comment'><p>{0} {0}</p></article></section>",
+        "<article><section id='sharing-data'><p>{0}</p></section></article>",
+    ],
+)
+def test_names_that_only_tell_of_other_elements(page):
+    assert htmltext.main_text(page.format(PROSE), TREE) == PROSE
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "plain", "<article><p>a<b>b</p>c</i></article></div>", "<!-- open", "<script>x", "</p></p><nav>a", "<p>" * 5000 + "x", "<div>" * 3000, "&#xfffffff; &bad; &amp", "\0<p\0>x"])
 def test_damaged_pages(html):
     assert isinstance(htmltext.main_text(html, TREE), str)

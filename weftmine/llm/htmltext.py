@@ -27,6 +27,9 @@ SHUNNED_ROLES = frozenset("alert alertdialog banner complementary contentinfo di
 SHUNNED_WORDS = frozenset(
     "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Parts that make a class name or id tell of another element, or of whether there is one.
+LEADING = frozenset("has is no not show with without".split())
+TRAILING = frozenset("allowed closed disabled enabled off on open".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -39,6 +42,12 @@ class Block(NamedTuple):
     heading: bool
 
 
+def shuns(names: str) -> bool:
+    """Whether one of the class names or ids has a word that marks what is not main text."""
+    parts = [[w for w in re.split(r"[^a-z0-9]+", name) if w] for name in names.split()]
+    return any(not SHUNNED_WORDS.isdisjoint(p) and p[0] not in LEADING and p[-1] not in TRAILING for p in parts)
+
+
 class _Open(NamedTuple):
     tag: str
     silent: bool
@@ -46,6 +55,7 @@ class _Open(NamedTuple):
     article: bool
     link: bool
     heading: bool
+    named: tuple[int, ...] = ()  # the elements around that a class name or id shuns
 
 
 class _Reader(HTMLParser):
@@ -55,6 +65,8 @@ class _Reader(HTMLParser):
         self.parts: list[tuple[str, bool]] = []
         self.open = [_Open("", False, False, False, False, False)]
         self.state = self.open[0]
+        self.named: list[tuple[int, ...]] = []  # of each block
+        self.count, self.freed, self.main = 0, set(), False
 
     def flush(self) -> None:
         if not self.parts:
@@ -64,6 +76,7 @@ class _Reader(HTMLParser):
             linked = sum(len(t.split()) for t, link in self.parts if link)
             s = self.state
             self.blocks.append(Block(text, len(text.split()), linked, s.shunned, s.article, s.heading))
+            self.named.append(s.named)
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -80,13 +93,15 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         s = self.state
-        shunned, article = s.shunned, s.article
+        shunned, article, named = s.shunned, s.article, s.named
         if not shunned:
             shunned = tag in SHUNNED or tag == "header" and not article
             for name, value in attrs:
                 value = (value or "").lower()
                 if name in ("class", "id") and tag not in ("html", "body", "main"):
-                    shunned |= not SHUNNED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)) and not (article and tag in HEADINGS | {"header"})
+                    if shuns(value) and not (article and tag in HEADINGS | {"header"}) and not (name == "id" and tag in HEADINGS | {"section"}):
+                        self.count += 1
+                        named = (*named, self.count)
                 elif name == "role":
                     shunned |= value in SHUNNED_ROLES
                     article |= value == "main"
@@ -95,7 +110,11 @@ class _Reader(HTMLParser):
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     shunned = True
         article |= tag in ("article", "main")
-        self.state = _Open(tag, s.silent or tag in SILENT, shunned, article and not shunned, s.link or tag == "a", tag in HEADINGS or s.heading)
+        if article and not s.article and not shunned and named == s.named and not self.main:
+            # What holds the page's first article is not shunned for its name.
+            self.main = True
+            self.freed.update(named)
+        self.state = _Open(tag, s.silent or tag in SILENT, shunned, article and not shunned, s.link or tag == "a", tag in HEADINGS or s.heading, named)
         self.open.append(self.state)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -124,13 +143,28 @@ class _Reader(HTMLParser):
         if not self.state.silent:
             self.parts.append((data, self.state.link))
 
+    def judged(self) -> list[Block]:
+        """The blocks, those in elements shunned for their names among them, unless such an element holds the article or, on a page without, most words."""
+        if not self.main:
+            held: dict[int, int] = {}
+            for b, named in zip(self.blocks, self.named, strict=True):
+                for e in named:
+                    held[e] = held.get(e, 0) + b.words
+            total = sum(b.words for b in self.blocks)
+            self.freed.update(e for e, n in held.items() if 2 * n > total)
+        out = []
+        for b, named in zip(self.blocks, self.named, strict=True):
+            shunned = b.shunned or not self.freed.issuperset(named)
+            out.append(b._replace(shunned=shunned, article=b.article and not shunned))
+        return out
+
 
 def blocks(html: str) -> list[Block]:
     reader = _Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.blocks
+    return reader.judged()
 
 
 def features(found: Sequence[Block]) -> np.ndarray:
