@@ -113,7 +113,8 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a template is found, else the largest part of a template's mandatory words that stand in
-    place, 0.5 at least where a phrase is found.
+    place, 0.5 at least where a phrase is found. A text that has none of ``TRIGGERS`` in it can't have either, and its score is 0
+    whatever words of a template it holds.
     """
     split = {tuple(p.encode().split()): label for p, label in phrases.items()}
     if not all(any(t in b" ".join(p) for t in TRIGGERS) for p in split):
