@@ -63,7 +63,7 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """pearson, spearman, slope, intercept."""
+    """pearson, spearman, slope, intercept. All rows are ranked in one task: for summaries, of at most about a million rows."""
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     both = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumn("rx", rank("x")).withColumn("ry", rank("y"))
     return both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
