@@ -20,7 +20,7 @@ def outcomes(pairs: DataFrame) -> DataFrame:
 
 
 def signed_ranks(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Differences other than 0 with the average rank of their size."""
+    """Differences other than 0 with the average rank of their size. Without ``by`` all rows are ranked in one task."""
     by = by or []
     rows = pairs.filter("delta <> 0").withColumn("size", F.abs("delta"))
     order, same = Window.partitionBy(*by).orderBy("size"), Window.partitionBy(*by, "size")
@@ -35,7 +35,7 @@ def rank_biserial(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """tests with ``holm``: step-down adjusted p-values, 1 at most."""
+    """tests with ``holm``: step-down adjusted p-values, 1 at most. Without ``by`` all rows are ranked in one task."""
     by = by or []
     order = Window.partitionBy(*by).orderBy(p, *(c for c in tests.columns if c not in (p, *by)))
     rows = tests.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
@@ -63,7 +63,7 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """pearson, spearman, slope, intercept. All rows are ranked in one task: for summaries, of at most about a million rows."""
+    """pearson, spearman, slope, intercept. All rows are ranked in one task: for summaries that one task can hold."""
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     both = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumn("rx", rank("x")).withColumn("ry", rank("y"))
     return both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
