@@ -57,20 +57,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, for larger tables: as Parquet in the shared folder."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Like cut, for larger tables: as Parquet in the shared folder, in a folder for each value of ``by`` if given."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reopened(spark: SparkSession, path: str) -> DataFrame:
+    """A table that stored() wrote, perhaps in another session."""
+    return spark.read.parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what stored() wrote."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
