@@ -28,7 +28,7 @@ def found(df):
     return [tuple(r[1:]) for r in sorted(df.collect(), key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
+@pytest.mark.parametrize("batches", [1, 2, 3, 5])
 def test_removed_bytes_are_those_of_all_strings(spark, batches):
     assert found(suffixdedup.digests(documents(spark), batches=batches)) == plain(texts(), 200)
 
@@ -85,17 +85,51 @@ def test_pieces_hold_all_strings(piece):
     assert sorted(starts) == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - 39)]
 
 
-def test_levels_of_a_family(spark):
+def split(spark, rows, n):
+    docs = documents(spark, rows, clash=False)
+    return [docs.filter(docs.doc_id % n == i) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_batches_added_one_by_one(spark, n):
+    """After each batch, the spans told so far are those of equal blocks, and all blocks that differ around a gram are told of."""
+    rows = odd_texts(6)
+    family, sizes, known, kinds = suffixdedup.Family(spark), [], set(), set()
+    for part in split(spark, rows, n):
+        found = family.add(suffixdedup.suffixes(part, 40, 20)).collect()
+        known |= {(r.doc, r.span) for r in found if r.met & suffixdedup.KNOWN}
+        kinds |= {(r.gram, r.block) for r in found if r.met & suffixdedup.KIND}
+        sizes.append([k for k, _ in family.levels])
+        family = suffixdedup.Family(spark, family.paths)  # as another session would
+    assert sizes[-1] == {1: [1], 2: [2], 3: [2, 1], 5: [4, 1]}[n]
+    every = suffixdedup.suffixes(documents(spark, rows, clash=False), 40, 20).collect()
+    blocks, grams = Counter((r.gram, r.block) for r in every), Counter(g for g, _ in {(r.gram, r.block) for r in every})
+    assert known == {(r.doc, r.span) for r in every if blocks[r.gram, r.block] > 1}
+    assert kinds == {k for k in blocks if grams[k[0]] > 1}
+    family.clear()
+
+
+def test_levels_stand_in_the_order_of_letters(spark):
+    rows = [t for t in odd_texts(7) if t]
     family = suffixdedup.Family(spark)
-    sizes = []
-    for i in range(5):
-        family.add(spark.createDataFrame([(i % 2, i), (100 + i, 7)], "gram long, block long"))
-        sizes.append([n for n, _ in family.levels])
-    assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    assert sorted(map(tuple, family.repeated().collect())) == [(0, 0, 1, False), (0, 2, 1, False), (0, 4, 1, False), (1, 1, 1, False), (1, 3, 1, False)]
+    family.add(suffixdedup.suffixes(documents(spark, rows, clash=False), 40, 20))
+    runs = [r.letters for r in family.levels[0][1].collect()]
+    assert sum(a > b for a, b in zip(runs[:-1], runs[1:], strict=True)) < 4  # ranges may be read in any order
+    r = family.levels[0][1].first()
+    text = rows[r.doc].encode()
+    grams = [text[i : i + 8] for i in range(len(text) - 7)]
+    assert (r.letters ^ -(1 << 63)) & ((1 << 64) - 1) in {int.from_bytes(g) for g in grams}
     family.clear()
 
 
+def test_words_that_a_plain_polynomial_takes_for_equal(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [a, a.translate(str.maketrans("ab", "ba")), "x" + a + "y"]
+    assert found(suffixdedup.digests(documents(spark, rows, clash=False), length=2048, gram=1948, batches=2)) == plain(rows, 2048)
+
+
 def test_kept_texts(spark):
     docs = documents(spark)
     kept = suffixdedup.keep(docs)

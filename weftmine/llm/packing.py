@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmine.llm.arrow import slices, utf8
-from weftmine.llm.shingles import words
+from weftmine.llm.shingles import stretches, words
 from weftmine.operators.prefix import prefix_sums
 from weftmine.session import cut
 
@@ -28,7 +28,7 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() an
 
 
 class WordIds:
-    """Ids of whole texts. The tokenizer never joins what spaces or line ends part, so that a word's ids are found once and kept, under the word's hash."""
+    """Ids of whole texts. The tokenizer never joins what spaces or line ends part, so that a word's ids are found once and kept, under the word's hash and with its bytes, which every later one is compared with."""
 
     def __init__(self, path: str):
         import os
@@ -45,6 +45,7 @@ class WordIds:
     def _forget(self) -> None:
         self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        self.letters, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
@@ -80,6 +81,11 @@ class WordIds:
         return ids, n
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        written = [w.encode() for w in words]
+        size = np.array([*map(len, written)], np.int64)
+        self.begin = np.concatenate([self.begin, len(self.letters) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(written), np.uint8)])
         for i in range(0, len(words), 20_000):
             ids, n = self._of_words(words[i : i + 20_000])
             self.at = np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
@@ -87,15 +93,19 @@ class WordIds:
             self.pool = np.concatenate([self.pool, ids])
         self.hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.at, self.n = self.hashes[order], self.at[order], self.n[order]
+        self.hashes, self.at, self.n, self.begin, self.size = (x[order] for x in (self.hashes, self.at, self.n, self.begin, self.size))
+
+    def _each(self, whole: bytes, offsets: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Text by text; those with a special token in them, or all of them if apart, without what was learnt."""
+        texts = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        each = [self._plain(t.decode()) if apart or any(s in t.lower() for s in self.special) else self.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+        return np.concatenate([self.pool[:0], *each]), np.cumsum([0, *map(len, each)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and where each text's begin and the last's end."""
         whole = data.tobytes()
         if len(offsets) > 1 and any(s in whole.lower() for s in self.special):
-            texts = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            each = [self._plain(t.decode()) if any(s in t.lower() for s in self.special) else self.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
-            return np.concatenate([self.pool[:0], *each]), np.cumsum([0, *map(len, each)])
+            return self._each(whole, offsets)
         lower, begins, ends, hashes, starts = words(data, offsets, _BLANK)
         kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(kinds) > KNOWN:
@@ -108,6 +118,11 @@ class WordIds:
             text = lower.tobytes()
             self._learn(kinds[new], [text[a:b].decode() for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, kinds)
+        its = at[which]
+        sizes = ends - begins
+        if (sizes != self.size[its]).any() or (lower[stretches(begins, sizes)] != self.letters[stretches(self.begin[its], sizes)]).any():
+            # Two words with one hash: neither is looked up.
+            return self._each(whole, offsets, apart=True)
         n = self.n[at][which].astype(np.int64)
         upto = np.cumsum(n)
         ids = self.pool[np.arange(upto[-1] if len(n) else 0) + np.repeat(self.at[at][which] - (upto - n), n)]

@@ -11,22 +11,17 @@ _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240607)
 _BYTES = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _PLACES = _RANDOM.integers(1, 2**63, 64, np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
+def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin at ``begins``, one stretch after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
+    """A fixed shuffle of all 64-bit numbers."""
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return h ^ h >> np.uint64(31)
@@ -46,9 +41,13 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     begin[1:] &= ~word[:-1] | edge[1:-1]
     end[:-1] &= ~word[1:] | edge[1:-1]
     begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(_BASE, n), out=sums[1:])
-    hashes = mixed((sums[ends] - sums[begins]) * powers(_UNBASE, n)[begins])
+    if not len(begins):
+        return data, begins, ends, begins.view(np.uint64), np.searchsorted(begins, offsets)
+    # A byte and its place in the word give one of 2**64 numbers that follow no rule; a word's are added up.
+    sizes = ends - begins
+    first = np.cumsum(sizes) - sizes
+    inside = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    hashes = mixed(np.add.reduceat(mixed(_BYTES[data[word]] + inside.astype(np.uint64) * _STEP), first))
     return data, begins, ends, hashes, np.searchsorted(begins, offsets)
 
 
