@@ -1,5 +1,10 @@
 """HTML extraction: flat text blocks, classified by word counts and link densities of a block and its neighbours.
 
+A page is cut into its blocks in order. A decision tree, grown from a small labelled table, asks for words and link densities of a block,
+the one before and the one after first. Only in what that leaves open it asks for hints of the markup: whether the block is a
+heading, where it stands to an article, whether it lies in an element for other things, or in one named so. A hint holds only as far as words bear it
+out: an article must hold a good part of the page's plain words, and an element with most of them, or with the article, is not shunned for its name.
+
 Defined results: a null or empty page, and one without main text, has the empty text; damaged markup is read as far as it
 goes; an empty table gives no rows; repeated rows each get their own; other columns of the input are not read.
 """
@@ -22,7 +27,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset("html body caption dd dt li legend summary tbody td tfoot th thead tr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("audio button canvas head iframe noscript object script select style svg template textarea title video".split())
-SHUNNED = frozenset("aside dialog footer form menu nav".split())
+SHUNNED = frozenset("aside dialog footer menu nav".split())
 SHUNNED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu navigation search".split())
 SHUNNED_WORDS = frozenset(
     "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
@@ -37,9 +42,10 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    shunned: bool
-    article: bool
     heading: bool
+    article: bool
+    shunned: bool  # in an element for something other than main text
+    named: bool  # in one whose class name or id says so
 
 
 def shuns(names: str) -> bool:
@@ -75,7 +81,7 @@ class _Reader(HTMLParser):
         if text:
             linked = sum(len(t.split()) for t, link in self.parts if link)
             s = self.state
-            self.blocks.append(Block(text, len(text.split()), linked, s.shunned, s.article, s.heading))
+            self.blocks.append(Block(text, len(text.split()), linked, s.heading, s.article, s.shunned, bool(s.named)))
             self.named.append(s.named)
         self.parts = []
 
@@ -94,6 +100,9 @@ class _Reader(HTMLParser):
             return
         s = self.state
         shunned, article, named = s.shunned, s.article, s.named
+        if tag == "form":
+            self.count += 1
+            named = (*named, self.count)
         if not shunned:
             shunned = tag in SHUNNED or tag == "header" and not article
             for name, value in attrs:
@@ -154,8 +163,8 @@ class _Reader(HTMLParser):
             self.freed.update(e for e, n in held.items() if 2 * n > total)
         out = []
         for b, named in zip(self.blocks, self.named, strict=True):
-            shunned = b.shunned or not self.freed.issuperset(named)
-            out.append(b._replace(shunned=shunned, article=b.article and not shunned))
+            kept = self.freed.issuperset(named)
+            out.append(b._replace(named=not kept, article=b.article and kept))
         return out
 
 
@@ -167,47 +176,67 @@ def blocks(html: str) -> list[Block]:
     return reader.judged()
 
 
+#: The part of a page's plain words that its articles must hold.
+BELIEVED = 0.25
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "heading", "place", "shunned", "named")
+#: Of these, the ones of words and links: block, the one before, the one after.
+TEXT = 6
+
+
 def features(found: Sequence[Block]) -> np.ndarray:
-    """A row for each block: whether it is shunned; its place (1 in an article, -1 beside one, 0 in a page without); whether it is a heading; words and link density of it, of the one before and of the one after."""
+    """A row for each block, by FEATURES. Its place is 1 in an article, -1 beside one, 0 in a page without."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    page = any(b.article for b in found)
-    flags = np.array([(b.shunned, 1 if b.article else -page, b.heading) for b in found], float).reshape(len(found), 3)
-    return np.column_stack([flags, words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
+    plain = np.array([0 if b.shunned or b.named else b.words - b.linked for b in found])
+    inside = np.array([b.article for b in found], bool)
+    page = bool(inside.any() and plain[inside].sum() >= BELIEVED * plain.sum())
+    hints = np.array([(b.heading, 0 if not page else 1 if b.article else -1, b.shunned, b.named) for b in found], float).reshape(len(found), 4)
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], hints])
 
 
-#: A small labelled table: a block's features as above, and whether it is main text.
+#: Where a block may stand, as (place, shunned, named): in an article, on a page without one, beside one, in a shunned element, in one named so (beside an article and without).
+STANDS = ((1, 0, 0), (0, 0, 0), (-1, 0, 0), (-1, 1, 0), (0, 1, 0), (1, 1, 0), (-1, 0, 1), (0, 0, 1), (1, 0, 1))
+#: A small labelled table: words and density of a block, of the one before and of the one after, whether it is a heading; and whether it is main
+#: text in an article, on a page without one, and beside one. In shunned or named elements none of these is.
 LABELLED = [
-    # Pages with an article: what stands in it, long or short, plain or linked.
-    (0, 1, 0, 120, 0.00, 8, 0.00, 80, 0.00, 1), (0, 1, 0, 1, 0.00, 60, 0.00, 45, 0.00, 1), (0, 1, 0, 2, 0.00, 0, 0.00, 1, 0.00, 1),
-    (0, 1, 1, 7, 0.00, 5, 0.00, 90, 0.00, 1), (0, 1, 0, 9, 1.00, 40, 0.00, 35, 0.00, 1), (0, 1, 0, 30, 0.40, 25, 0.10, 3, 1.00, 1),
-    (0, 1, 1, 4, 0.00, 1, 1.00, 60, 0.00, 1), (0, 1, 0, 1, 1.00, 1, 1.00, 1, 1.00, 1), (0, 1, 0, 600, 0.02, 1, 0.00, 11, 0.00, 1),
-    (0, 1, 0, 3, 0.00, 1, 1.00, 8, 0.00, 1), (0, 1, 0, 2, 1.00, 70, 0.00, 2, 1.00, 1), (0, 1, 0, 15, 0.90, 0, 0.00, 9, 0.00, 1),
-    # What stands beside it.
-    (0, -1, 0, 6, 0.00, 1, 1.00, 8, 0.00, 0), (0, -1, 0, 45, 0.00, 60, 0.00, 9, 0.00, 0), (0, -1, 0, 1, 1.00, 1, 1.00, 1, 1.00, 0),
-    (0, -1, 0, 90, 0.10, 3, 0.00, 10, 0.00, 0), (0, -1, 1, 5, 0.00, 0, 0.00, 70, 0.00, 0), (0, -1, 0, 30, 0.00, 40, 0.00, 50, 0.00, 0),
-    (0, -1, 0, 3, 0.00, 80, 0.00, 0, 0.00, 0), (0, -1, 1, 4, 0.00, 50, 0.00, 60, 0.00, 0), (0, -1, 0, 200, 0.00, 20, 0.00, 30, 0.00, 0),
-    # Menus, notices, adverts, forms, sidebars, comments, footers.
-    (1, -1, 0, 1, 1.00, 0, 0.00, 1, 1.00, 0), (1, -1, 0, 12, 0.00, 1, 1.00, 9, 0.00, 0), (1, -1, 0, 60, 0.00, 50, 0.00, 40, 0.00, 0),
-    (1, 0, 0, 150, 0.00, 12, 0.00, 0, 0.00, 0), (1, 0, 0, 14, 0.30, 300, 0.00, 0, 0.00, 0), (1, 0, 1, 4, 0.00, 20, 0.00, 30, 0.00, 0),
-    (1, 0, 0, 40, 0.00, 2, 1.00, 0, 0.00, 0), (1, 0, 0, 45, 0.00, 30, 0.00, 60, 0.00, 0), (1, 0, 0, 18, 0.00, 55, 0.00, 45, 0.00, 0),
-    (1, 0, 0, 24, 0.10, 1, 1.00, 1, 1.00, 0), (1, 0, 0, 80, 0.00, 70, 0.00, 90, 0.00, 0), (1, 0, 1, 5, 0.00, 40, 0.00, 50, 0.00, 0),
-    (1, 1, 0, 35, 0.05, 35, 0.00, 25, 0.00, 0), (1, 1, 0, 3, 0.00, 80, 0.00, 90, 0.00, 0), (1, 1, 1, 2, 0.00, 30, 0.00, 40, 0.00, 0),
-    # Pages without an article: prose.
-    (0, 0, 0, 80, 0.02, 60, 0.00, 90, 0.05, 1), (0, 0, 0, 40, 0.00, 6, 0.00, 35, 0.00, 1), (0, 0, 0, 18, 0.00, 50, 0.00, 45, 0.00, 1),
-    (0, 0, 0, 25, 0.20, 70, 0.00, 4, 1.00, 1), (0, 0, 0, 12, 0.00, 30, 0.00, 28, 0.00, 1), (0, 0, 0, 3, 0.00, 45, 0.00, 60, 0.00, 1),
-    (0, 0, 1, 6, 0.00, 1, 1.00, 75, 0.00, 1), (0, 0, 1, 4, 0.00, 55, 0.00, 40, 0.00, 1), (0, 0, 0, 200, 0.05, 2, 1.00, 5, 0.80, 1),
-    (0, 0, 0, 22, 0.00, 1, 1.00, 1, 1.00, 1), (0, 0, 0, 16, 0.00, 0, 0.00, 0, 0.00, 1), (0, 0, 0, 2, 0.00, 38, 0.00, 22, 0.00, 1),
-    (0, 0, 0, 1, 0.00, 20, 0.00, 12, 0.00, 1), (0, 0, 1, 3, 0.00, 0, 0.00, 40, 0.00, 1), (0, 0, 0, 35, 0.30, 40, 0.10, 30, 0.00, 1),
-    # Pages without an article: link lists and scraps.
-    (0, 0, 0, 2, 1.00, 2, 1.00, 3, 1.00, 0), (0, 0, 0, 1, 1.00, 0, 0.00, 1, 1.00, 0), (0, 0, 0, 8, 0.90, 40, 0.00, 6, 1.00, 0),
-    (0, 0, 0, 5, 0.00, 2, 1.00, 1, 1.00, 0), (0, 0, 1, 3, 0.00, 1, 1.00, 2, 1.00, 0), (0, 0, 0, 6, 0.60, 5, 1.00, 0, 0.00, 0),
-    (0, 0, 0, 30, 0.80, 25, 0.90, 12, 0.70, 0), (0, 0, 0, 4, 0.00, 3, 1.00, 0, 0.00, 0), (0, 0, 0, 10, 1.00, 60, 0.00, 50, 0.00, 0),
-    (0, 0, 0, 15, 0.55, 1, 1.00, 14, 0.60, 0), (0, 0, 0, 2, 0.00, 0, 0.00, 1, 1.00, 0), (0, 0, 0, 2, 1.00, 2, 1.00, 70, 0.00, 0),
-    (0, 0, 0, 2, 1.00, 55, 0.00, 2, 1.00, 0), (0, 0, 0, 1, 1.00, 1, 1.00, 6, 0.00, 0), (0, 0, 0, 3, 1.00, 30, 0.00, 45, 0.00, 0),
+    # Prose in a run of prose.
+    (120, 0.00, 60, 0.00, 80, 0.00, 0, 1, 1, 1), (60, 0.05, 45, 0.00, 70, 0.00, 0, 1, 1, 1), (35, 0.00, 50, 0.00, 40, 0.00, 0, 1, 1, 1), (28, 0.00, 30, 0.00, 26, 0.10, 0, 1, 1, 1),
+    (400, 0.02, 90, 0.00, 30, 0.00, 0, 1, 1, 1), (75, 0.20, 60, 0.10, 45, 0.00, 0, 1, 1, 1), (45, 0.30, 28, 0.00, 55, 0.05, 0, 1, 1, 1), (30, 0.00, 200, 0.00, 35, 0.00, 0, 1, 1, 1),
+    # Prose at an end of a run, or alone.
+    (150, 0.00, 1, 1.00, 60, 0.00, 0, 1, 1, 0), (45, 0.00, 8, 0.00, 50, 0.00, 0, 1, 1, 0), (60, 0.00, 70, 0.00, 0, 0.00, 0, 1, 1, 0), (400, 0.02, 9, 0.00, 0, 0.00, 0, 1, 1, 0),
+    (90, 0.10, 8, 0.00, 14, 0.00, 0, 1, 1, 0), (35, 0.00, 50, 0.00, 2, 0.00, 0, 1, 1, 0), (75, 0.00, 60, 0.00, 1, 1.00, 0, 1, 1, 0), (22, 0.00, 1, 1.00, 1, 1.00, 0, 1, 1, 0),
+    (200, 0.05, 2, 1.00, 5, 0.80, 0, 1, 1, 0), (16, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1, 0), (28, 0.00, 1, 1.00, 12, 0.00, 0, 1, 1, 0), (14, 0.00, 1, 1.00, 60, 0.00, 0, 1, 1, 0),
+    # Short lines among or beside prose.
+    (2, 0.00, 80, 0.00, 45, 0.00, 0, 1, 1, 0), (1, 0.00, 60, 0.00, 50, 0.00, 0, 1, 1, 0), (18, 0.00, 50, 0.00, 45, 0.00, 0, 1, 1, 0), (12, 0.00, 30, 0.00, 28, 0.00, 0, 1, 1, 0),
+    (5, 0.00, 70, 0.00, 18, 0.00, 0, 1, 1, 0), (3, 0.00, 14, 0.00, 40, 0.00, 0, 1, 1, 0), (8, 0.00, 40, 0.00, 0, 0.00, 0, 1, 1, 0), (4, 0.00, 90, 0.00, 12, 0.00, 0, 1, 1, 0),
+    (12, 0.25, 30, 0.00, 35, 0.00, 0, 1, 1, 0), (9, 0.00, 16, 0.00, 20, 0.00, 0, 1, 1, 0), (1, 0.00, 20, 0.00, 12, 0.00, 0, 1, 1, 0), (4, 0.00, 30, 0.00, 5, 1.00, 0, 1, 1, 0),
+    # Short lines among short lines, and scraps among links.
+    (2, 0.00, 1, 0.00, 3, 0.00, 0, 1, 1, 0), (1, 0.00, 0, 0.00, 1, 0.00, 0, 1, 1, 0), (3, 0.00, 6, 0.00, 3, 0.00, 0, 1, 1, 0), (5, 0.00, 4, 0.00, 12, 0.00, 0, 1, 1, 0),
+    (6, 0.00, 4, 0.00, 19, 0.00, 1, 1, 1, 0), (2, 0.00, 4, 0.00, 2, 0.00, 1, 1, 1, 0), (1, 0.00, 5, 0.00, 3, 0.00, 0, 1, 1, 0), (6, 0.00, 3, 0.00, 0, 0.00, 0, 1, 1, 0),
+    (3, 0.00, 5, 1.00, 8, 0.00, 0, 1, 0, 0), (4, 0.00, 3, 1.00, 2, 1.00, 0, 1, 0, 0),
+    (5, 0.00, 2, 1.00, 0, 0.00, 0, 1, 0, 0), (2, 0.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0), (7, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1, 0), (10, 0.00, 1, 1.00, 9, 0.00, 0, 1, 0, 0),
+    # Headings before or in prose, and over links.
+    (3, 0.00, 1, 1.00, 75, 0.00, 1, 1, 1, 0), (5, 0.00, 2, 1.00, 33, 0.00, 1, 1, 1, 0), (6, 0.00, 1, 1.00, 90, 0.00, 1, 1, 1, 0), (4, 0.00, 1, 1.00, 48, 0.00, 0, 1, 1, 0),
+    (10, 0.00, 1, 1.00, 60, 0.00, 1, 1, 1, 0), (6, 0.00, 12, 0.00, 90, 0.00, 1, 1, 1, 0), (4, 0.00, 55, 0.00, 70, 0.00, 1, 1, 1, 0), (3, 0.00, 0, 0.00, 40, 0.00, 1, 1, 1, 0),
+    (22, 0.00, 15, 0.00, 30, 0.00, 1, 1, 1, 0), (7, 0.00, 10, 0.00, 25, 0.00, 1, 1, 1, 0), (3, 0.00, 1, 1.00, 2, 1.00, 1, 1, 0, 0), (9, 0.00, 1, 1.00, 4, 0.00, 1, 1, 1, 0),
+    # A linked line within prose.
+    (9, 1.00, 40, 0.00, 35, 0.00, 0, 1, 1, 0), (4, 1.00, 70, 0.00, 60, 0.05, 0, 1, 1, 0), (30, 0.60, 25, 0.00, 45, 0.00, 0, 1, 1, 0), (2, 1.00, 45, 0.00, 30, 0.00, 0, 1, 1, 0),
+    (6, 1.00, 28, 0.00, 90, 0.00, 1, 1, 1, 0), (12, 0.80, 33, 0.10, 50, 0.00, 0, 1, 1, 0), (1, 1.00, 26, 0.00, 28, 0.00, 0, 1, 1, 0), (8, 1.00, 12, 0.00, 14, 0.00, 0, 1, 0, 0),
+    # Link lists.
+    (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (2, 1.00, 1, 1.00, 9, 0.00, 0, 0, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0, 0),
+    (3, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0), (2, 1.00, 2, 1.00, 0, 0.00, 0, 0, 0, 0), (5, 1.00, 4, 1.00, 6, 1.00, 0, 0, 0, 0), (30, 0.80, 25, 0.90, 12, 0.70, 0, 0, 0, 0),
+    (8, 0.90, 40, 0.00, 6, 1.00, 0, 0, 0, 0), (10, 1.00, 6, 1.00, 50, 0.00, 0, 0, 0, 0), (15, 0.55, 1, 1.00, 14, 0.60, 0, 0, 0, 0), (40, 0.70, 3, 1.00, 2, 1.00, 0, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 70, 0.00, 0, 0, 0, 0), (7, 1.00, 0, 0.00, 5, 1.00, 1, 0, 0, 0), (6, 0.60, 5, 1.00, 0, 0.00, 0, 0, 0, 0), (1, 1.00, 1, 1.00, 12, 0.00, 0, 0, 0, 0),
 ]
 
 
+def examples(rows: Sequence[tuple] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels: each row of the table at each place where a block may stand."""
+    table = [(*row[:7], *stands, stands[1:] == (0, 0) and row[8 - stands[0]]) for row in rows for stands in STANDS]
+    out = np.array(table, float)
+    return out[:, :-1], out[:, -1]
+
+
 class Split(NamedTuple):
     feature: int
     at: float
@@ -215,13 +244,16 @@ class Split(NamedTuple):
     above: Split | float
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Split | float:
-    """A decision tree by Gini impurity; a leaf is the share of main text in it. Of equally good splits the first holds."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, text: int = 4) -> Split | float:
+    """A decision tree by Gini impurity; a leaf is the share of main text in it. Of equally good splits the first holds.
+
+    The first ``text`` storeys ask for words and links alone, further ones for them and for hints.
+    """
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
     best = None
-    for f in range(x.shape[1]):
+    for f in range(TEXT if text > 0 else x.shape[1]):
         values = np.unique(x[:, f])
         for at in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < at
@@ -229,14 +261,13 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Split | float:
             if best is None or impurity < best[0] - 1e-12:
                 best = impurity, f, float(at), low
     if best is None:
-        return share
+        return grow(x, y, depth, 0) if text > 0 else share
     _, f, at, low = best
-    return Split(f, at, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return Split(f, at, grow(x[low], y[low], depth - 1, text - 1), grow(x[~low], y[~low], depth - 1, text - 1))
 
 
 def learned(rows: Sequence[tuple] = LABELLED) -> Split | float:
-    table = np.array(rows, float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(*examples(rows))
 
 
 def shares(tree: Split | float, x: np.ndarray) -> np.ndarray:
