@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from weftmine.llm.licenses import PHRASES, TEMPLATES, TRIGGERS
+from weftmine.llm.licenses import PHRASES, TEMPLATES, parsed
 
 OP1 = r"""
 WITH RECURSIVE sized AS (
@@ -92,8 +90,15 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+def _pattern(part) -> str:
+    """The regular expression of a template's part over words with a space after each."""
+    if isinstance(part, str):
+        return f"{part} "
+    return f"(?:[^ ]+ ){{0,{part[1]}}}" if part[0] == "var" else f"(?:{''.join(map(_pattern, part[1]))})?"
+
+
 def op2() -> str:
-    """Phrases by list positions, templates as regular expressions over the words joined by spaces."""
+    """Phrases by list positions, templates as regular expressions over the words joined by spaces. What a template begins with is looked for as a plain string first, as regular expressions are slow."""
     places = [
         (label, f"list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f'ws[i + {k}] = {w!r}' if k else f'ws[i] = {w!r}' for k, w in enumerate(phrase.split()))})")
         for phrase, label in PHRASES.items()
@@ -101,21 +106,24 @@ def op2() -> str:
     base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN [{label!r}] ELSE [] END" for i, (label, _) in enumerate(places))
     found, shares = [], ["CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0 END"]
     for label, template in TEMPLATES.items():
-        items = re.findall(r"<<(opt|var) ([^>]*)>>|(\S+)", template)
-        n, seen, so_far = sum(bool(w) for *_, w in items), 0, " "
-        for kind, inside, word in items:
-            so_far += f"(?:[^ ]+ ){{0,{inside}}}" if kind == "var" else f"(?:{inside} )?" if kind else f"{word} "
-            if word:
+        parts = parsed(template)
+        words = [p for p in parts if isinstance(p, str)]
+        so_far, seen, before, steps = " ", 0, "true", []
+        for part in parts:
+            so_far += _pattern(part)
+            if isinstance(part, str):
                 seen += 1
-                shares.append(f"CASE WHEN trig AND regexp_matches(norm, '{so_far}') THEN {seen}::DOUBLE / {n}::DOUBLE ELSE 0 END")
-        found.append(f"CASE WHEN trig AND regexp_matches(norm, '{so_far}') THEN [{label!r}] ELSE [] END")
+                steps.append(f"WHEN {before} AND regexp_matches(norm, '{so_far}') THEN {seen}::DOUBLE / {len(words)}::DOUBLE")
+            before = " AND ".join(f"contains(norm, ' {w} ')" for w in words[: min(seen + 1, 4)])
+        shares.append(f"CASE WHEN NOT contains(norm, ' {words[0]} ') THEN 0 {' '.join(reversed(steps))} ELSE 0 END")
+        found.append(f"CASE WHEN {before} AND regexp_matches(norm, '{so_far}') THEN [{label!r}] ELSE [] END")
     every = " || ".join(f"p{i}" for i in range(len(places)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH w AS (
-  SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS low FROM documents)
+  SELECT doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS low FROM documents)
 ), n AS (
-  SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS norm, {" OR ".join(f"contains(low, '{t.decode()}')" for t in TRIGGERS)} AS trig, {", ".join(f"{sql} AS p{i}" for i, (_, sql) in enumerate(places))} FROM w
+  SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS norm, {", ".join(f"{sql} AS p{i}" for i, (_, sql) in enumerate(places))} FROM w
 ), b AS (
   SELECT *, len({every}) AS n_base, list_min({every}) AS lo, list_max({every}) AS hi, flatten([{base}]) AS bl, flatten([{", ".join(found)}]) AS tl FROM n
 )
