@@ -11,12 +11,12 @@ VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 def plain(rows, every, k):
     """Brute force with Python's integers."""
-    usable = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in usable]
     out = []
-    for q, a in whole:
+    for at, (q, a) in enumerate(whole):
         if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for j, (i, b) in enumerate(whole) if j != at and len(a) == len(b))
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
@@ -51,10 +51,31 @@ def test_bounds_hold_and_leave_less_to_compute():
         before = bound.sum()
 
 
+def test_blocks_far_from_all_queries_stay_where_they_are(spark, monkeypatch):
+    """Vectors in bundles: a query's results lie in its own bundle, and most pairs of blocks are never brought together."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(12, 32)) * 3
+    data = [(i, [float(np.float32(x)) for x in centres[i % 12] + r.normal(size=32) * 0.05]) for i in range(600)]
+    vectors = spark.createDataFrame([(i, v, 0, "x") for i, v in data], VECTORS)
+    seen, real = [], topk._may_reach
+
+    def counted():
+        seen.append(1)
+        return real()
+
+    cuts, real_cut = [], topk.cut
+    monkeypatch.setattr(topk, "_may_reach", counted)
+    monkeypatch.setattr(topk, "cut", lambda df: cuts.append(real_cut(df)) or cuts[-1])
+    got = topk.top_k(vectors, F.col("id") % 5 == 0, 10, block=25)  # queries in blocks of 6
+    assert sorted(map(tuple, got.collect())) == plain(data, 5, 10)
+    pairs = next(df for df in cuts if df.columns == ["a", "b", "n"])
+    assert seen and pairs.count() < 0.5 * 24 * 20
+
+
 def test_large_components():
     ids = np.arange(40)
     x = np.random.default_rng(3).integers(-(2**29), 2**29, (40, 3))
-    got = topk.search(ids[:4], x[:4], ids, x, 5)
+    got = topk.search(ids[:4], x[:4], np.full(4, -np.inf), ids, ids, x, 5)
     want = [(q, i) for q in range(4) for _, i in sorted((-sum(int(a) * int(b) for a, b in zip(x[q], x[i], strict=True)), i) for i in range(40) if i != q)[:5]]
     assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
 
