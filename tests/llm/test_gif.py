@@ -50,6 +50,47 @@ def test_damaged_files_raise():
         gif.decode(gif.encode(gif.payload(b"abc"))[:-20])
 
 
+def test_damage_anywhere_is_a_value_error():
+    r = random.Random(5)
+    whole = gif.encode(gif.payload(b"some words and others " * 40))
+    for i in range(0, len(whole), 2):
+        file = bytearray(whole)
+        file[i] = r.randrange(256)
+        for damaged in (bytes(file), whole[:i], bytes(file[:i]) + bytes(file[i + 1 :])):
+            try:
+                gif.decode(damaged)
+            except ValueError:
+                pass
+
+
+def test_no_more_is_expanded_than_asked_for():
+    """A stream of long entries stops soon after the samples that the frame has."""
+    stream = gif.lzw_encode(b"a" * 5_000_000)
+    assert gif.lzw_decode(stream, 8, 100) == b"a" * 100
+    with pytest.raises(ValueError, match="too large"):
+        gif.decode(b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b")
+
+
+def test_a_damaged_file_is_a_row(spark):
+    good = gif.encode(gif.payload(b"abc"))
+    files = [(1, 3, good), (2, 3, good[:-20]), (3, 0, None), (None, 3, good), (4, 9, b"GIF89a"), (5, 1, b""), (1, 3, good)]
+    media = spark.createDataFrame([(*f, "x") for f in files], "doc_id long, n_bytes long, media binary, error string")
+    rows = gif.frames(media).collect()
+    assert sorted((r.doc_id or 0, r.frame, bool(r.error)) for r in rows if r.error is None) == [(0, 0, False), (1, 0, False), (1, 0, False)]
+    assert sorted(r.doc_id for r in rows if r.error) == [2, 4, 5] and all(r.samples is None for r in rows if r.error)
+    got = sorted(((r.doc_id or 0, r.payload_bytes, r.media_bytes) for r in gif.digests(media).collect()), key=str)
+    assert got == sorted([(1, 192, len(good)), (1, 192, len(good)), (2, None, len(good) - 20), (3, None, None), (0, 192, len(good)), (4, None, 6), (5, None, 0)], key=str)
+
+
+def test_samples_have_colours_of_their_own_in_all_bins():
+    import numpy as np
+
+    colours = gif.palette()
+    assert len({tuple(c) for c in colours.tolist()}) == 256
+    canvas = np.concatenate([colours, np.full((256, 1), 255, np.uint8)], 1)[None]
+    assert gif.histogram(canvas).tolist() == [4] * 64
+
+
 def test_digests_are_of_what_is_stored_and_read_back(spark):
     rows = gif.digests(gif.store(documents(spark))).collect()
     assert len(rows) == len(texts())

@@ -1,10 +1,12 @@
 """Media columns: GIF files written, stored as binary columns, and read back as timed frames.
 
 A document's payload is its text as UTF-8, filled up with spaces to a positive multiple of ``ROW`` bytes. It is stored as
-8-bit samples under a grey palette, ``ROW`` samples a line and up to ``LINES`` lines a frame.
+8-bit samples, ``ROW`` of them a line and up to ``LINES`` lines a frame. The palette gives each sample a colour of its own and deals the samples' bits out to the
+channels in turn, so that like samples fall into few bins of the histogram and all of them into 64.
 
-Defined results: a null or empty text is one line of spaces; an empty table gives no rows; a null file gives no frames, a
-damaged one raises ValueError; equal texts have equal files; other columns of the input are not read.
+Defined results: a null or empty text is one line of spaces; an empty table gives no rows; a null file has no frames and no row; a
+damaged one, or one with more than ``LARGEST`` pixels a frame, has one row with what is wrong in ``error`` and null elsewhere; a null doc_id stays null; repeated rows
+have rows of their own; equal texts have equal files; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from weftmine.llm.arrow import slices
 
 ROW, LINES, DELAY = 192, 256, 10
 TABLE = 4096
+#: Pixels of a frame that is read.
+LARGEST = 1 << 26
 
 
 def _widths(first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +69,8 @@ def lzw_encode(samples: bytes) -> bytes:
 
 def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
     """The first ``size`` samples of a code stream whose samples have ``depth`` bits."""
+    if not 1 <= depth <= 8:
+        raise ValueError("samples of no known size")
     clear, end = 1 << depth, (1 << depth) + 1
     width, before = _widths(end + 1)
     data = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
@@ -91,7 +97,7 @@ def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
             got += len(last)
             run = run[1:]
             k = 1
-        free = len(table)
+        free, have = len(table), len(out)
         for code in run:
             if code < free:
                 entry = table[code]
@@ -105,23 +111,31 @@ def lzw_decode(stream: bytes, depth: int, size: int) -> bytes:
             out.append(entry)
             last = entry
         k += len(run)
+        got += sum(map(len, out[have:]))
         if stop < len(codes):
             if codes[stop] == end:
                 break
             table, last, k = roots.copy(), b"", 0
-        got = sum(map(len, out)) if at >= bits else got
     samples = b"".join(out)
     if len(samples) < size:
         raise ValueError("the code stream ends early")
     return samples[:size]
 
 
+def palette() -> np.ndarray:
+    """Colours of the 256 samples: from the highest on, their bits go to red, green and blue in turn, and fill the channels from their highest bits on."""
+    sample = np.arange(256)
+    colours = np.zeros((256, 3), np.uint8)
+    for k in range(8):
+        colours[:, k % 3] |= ((sample >> (7 - k) & 1) << (7 - k // 3)).astype(np.uint8)
+    return colours
+
+
 def encode(payload: bytes, delay: int = DELAY) -> bytes:
     """A GIF of the payload's samples; each frame covers the lines of the one before it, which stay."""
     step = ROW * LINES
     frames = [payload[i : i + step] for i in range(0, len(payload), step)]
-    grey = bytes(v for i in range(256) for v in (i, i, i))
-    out = [b"GIF89a", struct.pack("<HHBBB", ROW, len(frames[0]) // ROW, 0xF7, 0, 0), grey]
+    out = [b"GIF89a", struct.pack("<HHBBB", ROW, len(frames[0]) // ROW, 0xF7, 0, 0), palette().tobytes()]
     for frame in frames:
         out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, ROW, len(frame) // ROW, 0) + b"\x08")
@@ -156,7 +170,7 @@ def decode(media: bytes) -> list[Frame]:
     """All frames as seen in turn, by their palettes, transparency and disposal."""
     try:
         return _decode(media)
-    except (IndexError, struct.error) as e:
+    except (IndexError, OverflowError, struct.error) as e:
         raise ValueError("the file ends early") from e
 
 
@@ -166,17 +180,21 @@ def _decode(media: bytes) -> list[Frame]:
     width, height, flags, _, _ = struct.unpack("<HHBBB", media[6:13])
     at = 13
 
-    def palette(flags: int) -> np.ndarray:
+    def colour_table(flags: int) -> np.ndarray:
         nonlocal at
         n = 3 << ((flags & 7) + 1)
         at += n
         colours = np.zeros((256, 4), np.uint8)
         colours[:, 3] = 255
+        if at > len(media):
+            raise ValueError("the file ends early")
         table = np.frombuffer(media[at - n : at], np.uint8).reshape(-1, 3)
         colours[: len(table), :3] = table
         return colours
 
-    shared = palette(flags) if flags & 0x80 else np.zeros((256, 4), np.uint8)
+    shared = colour_table(flags) if flags & 0x80 else np.zeros((256, 4), np.uint8)
+    if width * height > LARGEST:
+        raise ValueError("too large a screen")
     canvas = np.zeros((height, width, 4), np.uint8)
     frames: list[Frame] = []
     disposal, delay, clear_index, time = 0, 0, None, 0
@@ -194,14 +212,14 @@ def _decode(media: bytes) -> list[Frame]:
             raise ValueError("an unknown block")
         left, upper, w, h, flags = struct.unpack("<HHHHB", media[at : at + 9])
         at += 9
-        colours = palette(flags) if flags & 0x80 else shared
+        if upper + h > height or left + w > width:
+            raise ValueError("a frame beyond the screen")
+        colours = colour_table(flags) if flags & 0x80 else shared
         depth = media[at]
         stream, at = _blocks(media, at + 1)
         samples = np.frombuffer(lzw_decode(stream, depth, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:
             samples = samples[np.argsort(_lines(h), kind="stable")]
-        if upper + h > len(canvas) or left + w > canvas.shape[1]:
-            raise ValueError("a frame beyond the screen")
         kept = canvas.copy() if disposal == 3 else None
         place = canvas[upper : upper + h, left : left + w]
         if clear_index is None:
@@ -242,32 +260,36 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """doc_id, frame, start_cs, delay_cs, height, width, samples, histogram: the stored files' timed frames."""
-    schema = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("samples", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+    """doc_id, frame, start_cs, delay_cs, height, width, samples, histogram, error: the stored files' timed frames, and what is wrong with damaged files."""
+    schema = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("samples", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+
+    def seen(doc_id: int | None, file: bytes) -> list[tuple]:
+        try:
+            return [(doc_id, i, f.start, f.delay, *f.canvas.shape[:2], f.samples, histogram(f.canvas).tolist(), None) for i, f in enumerate(decode(file))]
+        except ValueError as e:
+            return [(doc_id, *[None] * 7, str(e))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            out = [
-                (doc_id, i, f.start, f.delay, *f.canvas.shape[:2], f.samples, histogram(f.canvas).tolist())
-                for doc_id, file in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                if file is not None
-                for i, f in enumerate(decode(file))
-            ]
+            out = [row for doc_id, file in zip(*(c.to_pylist() for c in batch.columns), strict=True) if file is not None for row in seen(doc_id, file)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return media.select("doc_id", "media").mapInArrow(rows, "doc_id long, frame int, start_cs long, delay_cs int, height int, width int, samples binary, histogram array<long>")
+    return media.select("doc_id", "media").mapInArrow(rows, "doc_id long, frame int, start_cs long, delay_cs int, height int, width int, samples binary, histogram array<long>, error string")
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Of each stored file (doc_id, n_bytes, media): lengths and digests of what is stored and of what is read back, and the frames' colours."""
+    """Of each stored file (doc_id, n_bytes, media): lengths and digests of what is stored and of what is read back, and the frames' colours; of a damaged one what is stored and what is wrong."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
-    def row(doc_id: int, n: int, file: bytes) -> tuple:
-        seen = decode(file)
+    def row(doc_id: int | None, n: int | None, file: bytes | None) -> tuple:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        try:
+            seen = decode(file or b"")
+        except ValueError as e:
+            return doc_id, n, None, None, None, *((None, None) if file is None else (len(file), sha(file))), None if file is None else f"error={e}"
         samples = b"".join(f.samples for f in seen)
         colours = sum((histogram(f.canvas) for f in seen), np.zeros(64, np.int64))
         feature = f"frames={len(seen)};cs={sum(f.delay for f in seen)};colours=" + ",".join(f"{i}:{colours[i]}" for i in np.flatnonzero(colours))
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         return doc_id, n, len(samples), sha(samples), zlib.crc32(samples[-16:]), len(file), sha(file), feature
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
