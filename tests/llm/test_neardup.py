@@ -63,6 +63,7 @@ def test_a_large_group_of_near_copies_in_many_blocks(spark, monkeypatch):
     want = groups(rows, 3, 85)
     assert len({root for _, root in want.values()}) > 5
     monkeypatch.setattr(neardup.links, "__defaults__", (3000,))
+    monkeypatch.setattr(neardup, "ROW", 0)
     assert found(neardup.near_duplicates(documents(spark, rows), k=3, percent=85)) == want
 
 
@@ -92,12 +93,46 @@ def test_tasks_of_a_hot_cluster_hold_bounded_texts(spark, monkeypatch, rows):
 
     monkeypatch.setattr(kind, "applyInArrow", seen)
     monkeypatch.setattr(neardup.links, "__defaults__", (3000,))
+    monkeypatch.setattr(neardup, "ROW", 0)
     assert found(neardup.near_duplicates(documents(spark, rows), k=3, percent=80)) == groups(rows, 3, 80)
     size = sum(map(len, rows))
     assert size > 20 * 3000
     assert max(dealt) < size / 2 and sum(dealt) < 8 * size
 
 
+def test_many_short_texts_with_one_key(spark):
+    """Short texts that share most words: all in one cluster, many in one bucket, linked two by two."""
+    rows = [f"all of these share the first few words {i // 2} {'x' * (i % 2)}" for i in range(4_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(8)
+    # Nine or ten words; the seven shingles of the one are among the eight of the other.
+    assert found(neardup.near_duplicates(docs, k=3, percent=85)) == {i: (7 + i % 2, i - i % 2) for i in range(4_000)}
+
+
+def test_links_of_a_block_join_what_is_linked():
+    r = np.random.default_rng(8)
+    for percent in (50, 80, 85, 100):
+        sets = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(120)]
+        sets += [np.unique(np.concatenate([s[: r.integers(1, len(s) + 1)], r.integers(0, 60, 2).astype(np.uint64)])) for s in sets[:60]]
+        for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2 + 1):
+            def joined(links):
+                label = list(range(len(sets)))
+                for i, j in links:
+                    label = [label[i] if x == label[j] else x for x in label]
+                return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+            linked = [(i, j) for i, j in combinations(range(len(sets)), 2) if (not side[i] or side[i] != side[j]) and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - both)]
+            got = neardup.forest_links(sets, side, percent)
+            assert set(got) <= {(j, i) for i, j in linked} and joined(got) == joined(linked)
+
+
+def test_words_with_one_polynomial_hash(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert found(neardup.near_duplicates(documents(spark, [a, b, f"{a} {b}"], clash=False), k=3, percent=85)) == {0: (1, 0), 1: (1, 1), 2: (1, 2)}
+
+
 def test_sets_of_odd_texts():
     rows = ["", " \t", "a", "A", "a b", "a b c", "a\x0bb\x0cc", "a b c", "É é", "a b c a b c a b c", "x" * 5000]
     data = "".join(rows).encode()

@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmine.llm.arrow import slices, utf8
-from weftmine.llm.shingles import mixed, shingle_sets
+from weftmine.llm.shingles import mixed, shingle_sets, stretches
 from weftmine.operators.components import components
 from weftmine.operators.prefix import prefix_sums
-from weftmine.session import cut, drop, stored
+from weftmine.session import cut, drop, partitions, stored
 
 #: Bands of three permutations' minima and maxima: a pair at similarity 0.8 shares none with a chance of 6e-6, one at 0.85 of 6e-9.
 BANDS, PERMUTATIONS = 40, 3
 #: Bytes of text in a block of classes.
 BLOCK = 2 << 20
+#: What a row of a block counts for besides its bytes, so that a block of very short texts has few rows too.
+ROW = 1024
 #: Blocks from which on a cluster is cut before its blocks meet.
 HOT = 8
 
@@ -90,47 +92,45 @@ def candidates(classes: DataFrame) -> DataFrame:
     return shared.select("a", "b").union(more).filter("a < b").distinct()
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def forest_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked. Pairs within a side other than 0 are left to another block."""
+    """Links that join what is linked. Pairs within a side other than 0 are left to another block.
+
+    Each set's shingles stand by the number of sets that hold them. Two linked sets have one in common among the first
+    n - ceil(percent of n) + 1 of each, so that only sets that meet there are compared, and only while they aren't joined yet.
+    """
+    n = len(sets)
     sizes = np.array([*map(len, sets)])
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(ids, kind="stable")
-    holders, frequency = owner[order], np.bincount(ids, minlength=len(values))
-    begin = np.cumsum(frequency) - frequency
     starts = np.cumsum(sizes) - sizes
-    forest, out = Forest(len(sets)), []
-    for i in range(len(sets)):
+    owner = np.repeat(np.arange(n), sizes)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    frequency = np.bincount(ids)
+    ids = ids[np.lexsort((ids, frequency[ids], owner))]
+    first = (100 - percent) * sizes // 100 + 1
+    probes = (np.arange(len(ids)) - starts[owner] < first[owner]) & (frequency[ids] > 1)
+    order = np.argsort(ids[probes], kind="stable")
+    holders, held = owner[probes][order], np.bincount(ids[probes], minlength=len(frequency))
+    begin = np.cumsum(held) - held
+    mark = np.zeros(len(frequency), bool)
+    label = np.arange(n)
+    out = []
+    for i in np.flatnonzero(np.bincount(owner[probes], minlength=n)).tolist():
         own = ids[starts[i] : starts[i] + sizes[i]]
-        often = frequency[own]
-        # What a set shares with one that it is linked to is this part of it at least.
-        if np.count_nonzero(often > 1) * 100 < percent * sizes[i]:
-            continue
-        where = np.repeat(begin[own] - (np.cumsum(often) - often), often) + np.arange(often.sum())
-        common = np.bincount(holders[where], minlength=len(sets))[:i]
-        linked = 100 * common >= percent * (sizes[i] + sizes[:i] - common)
+        some = own[: first[i]]
+        met = np.unique(holders[stretches(begin[some], held[some])])
+        met = met[(met < i) & (100 * np.minimum(sizes[met], sizes[i]) >= percent * np.maximum(sizes[met], sizes[i]))]
         if side[i]:
-            linked &= side[:i] != side[i]
-        out += [(i, int(j)) for j in np.flatnonzero(linked) if forest.join(i, int(j))]
+            met = met[side[met] != side[i]]
+        mark[own] = True
+        step = 32
+        while len(met := met[label[met] != label[i]]):
+            now, met = met[:step], met[step:]
+            step = 4096
+            common = np.add.reduceat(mark[ids[stretches(starts[now], sizes[now])]], np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
+            for j in now[100 * common >= percent * (sizes[i] + sizes[now] - common)].tolist():
+                if label[i] != label[j]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        mark[own] = False
     return out
 
 
@@ -177,7 +177,7 @@ def _met(docs: DataFrame, placed: DataFrame, which: str, k: int, percent: int, b
     meet = cut(blocks.join(other, "cluster").filter(f"block <= block2 AND ({which}) AND {near}").select("cluster", "block", "block2", "bytes", "bytes2"))
     # Each block's texts are copied into each meeting, so that the meetings' bytes are what is dealt out.
     total = meet.agg(F.sum(F.expr("bytes + IF(block = block2, 0, bytes2)"))).first()[0] or 0
-    groups = max(1, int(total // block))
+    groups = max(partitions(docs.sparkSession), int(total // block))
     each = meet.select("*", F.explode(F.array_distinct(F.array("block", "block2"))).alias("__block"))
     sides = each.select("cluster", F.col("__block").alias("block"), F.struct(F.col("block").alias("b1"), F.col("block2").alias("b2")).alias("pair"))
     rows = placed.join(sides, ["cluster", "block"]).select("id", "cluster", "block", "pair")
@@ -216,6 +216,7 @@ def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int
     def hot(table: DataFrame) -> DataFrame:
         return cut(table.groupBy("cluster").agg(F.sum("n_bytes").alias("n")).filter(F.col("n") > HOT * block).select("cluster"))
 
+    clusters = clusters.withColumn("n_bytes", F.col("n_bytes") + ROW)
     large = hot(clusters)
     if large.isEmpty():
         return _met(docs, cut(_placed(clusters, ["cluster"], block)), "true", k, percent, block)
