@@ -31,14 +31,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on this machine if all runs on it, else one in the warehouse."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftmine-"))
+        local = context.master.startswith("local")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftmine-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/weftmine-{uuid.uuid4().hex}")
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -81,6 +82,12 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def drop_part(df: DataFrame, part: str) -> None:
+    """Delete one folder, such as ``batch=0``, of what stored() wrote by a column."""
+    for folder in {f[: f.index(f"/{part}/") + len(part) + 1] for f in df.inputFiles() if f"/{part}/" in f}:
+        _delete(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished work now; else they stay until the driver collects garbage."""
     gc.collect()
