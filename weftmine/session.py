@@ -70,7 +70,8 @@ def reopened(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def dropped_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -79,13 +80,13 @@ def drop(*tables: DataFrame) -> None:
     """Delete what stored() wrote."""
     for df in tables:
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            _delete(df.sparkSession, folder)
+            dropped_folder(df.sparkSession, folder)
 
 
 def drop_part(df: DataFrame, part: str) -> None:
     """Delete one folder, such as ``batch=0``, of what stored() wrote by a column."""
     for folder in {f[: f.index(f"/{part}/") + len(part) + 1] for f in df.inputFiles() if f"/{part}/" in f}:
-        _delete(df.sparkSession, folder)
+        dropped_folder(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
