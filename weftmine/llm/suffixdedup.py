@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftmine.llm.arrow import slices, utf8
 from weftmine.llm.shingles import mixed, stretches
-from weftmine.session import drop, partitions, release, reopened, stored
+from weftmine.session import drop, drop_part, partitions, release, reopened, stored
 
 LENGTH, GRAM, BATCHES = 200, 100, 3
 #: Kinds of blocks around a gram from which on their strings are dealt out singly; bytes of blocks that meet in a task.
@@ -266,7 +266,10 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     every = suffixes(docs, length, gram).withColumn("batch", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(batches)).cast("int"))
     every = stored(every, "batch")
     family = Family(spark)
-    met = [family.add(every.filter(F.col("batch") == i)) for i in range(batches)]
+    met = []
+    for i in range(batches):
+        met.append(family.add(every.filter(F.col("batch") == i)))
+        drop_part(every, f"batch={i}")
     drop(every)
     family.clear()
     release(spark)
