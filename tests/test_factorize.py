@@ -126,7 +126,7 @@ def test_singular_vector_start(spark):
     h, g = factorize.nndsvd(rows, "ph", 8, 3)
     kept = x["ph"][x["ph"].any(1)]
     u, s, v = np.linalg.svd(kept, full_matrices=False)
-    assert (h >= 0).all() and h[:, 0] == pytest.approx(np.sqrt(kept.mean(0)))
+    assert (h >= 0).all() and h[:, 0] == pytest.approx(np.sqrt(kept.mean()))
     for j in (1, 2):
         half = max((a for a in (1, -1)), key=lambda a: np.linalg.norm(np.maximum(a * u[:, j], 0)) * np.linalg.norm(np.maximum(a * v[j], 0)))
         up, vp = np.maximum(half * u[:, j], 0), np.maximum(half * v[j], 0)

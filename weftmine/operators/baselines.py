@@ -164,3 +164,15 @@ def semi(rows: DataFrame, n_items: dict[str, int], k: int, *, iterations: int =
 
         state = cut(state.mapInArrow(step, state.schema))
     return Fit(state, h, history)
+
+
+#: Names of the baselines.
+VARIANTS = {"concat": joint, "independent": independent, "shared": joint, "kl": kl, "graph": graph_regularised, "semi": semi}
+
+
+def run(variant: str, rows: DataFrame, n_items: dict[str, int], k: int, **options) -> tuple[DataFrame, Factors]:
+    """Mixtures (pid, g) and loadings of a baseline by its name; an unknown one raises."""
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant}: one of {sorted(VARIANTS)}")
+    found = VARIANTS[variant](rows, n_items, k=k, **options)
+    return (found.state.select("pid", "g"), found.factors) if isinstance(found, Fit) else found

@@ -99,6 +99,8 @@ def _pull(batch: pa.RecordBatch, g: np.ndarray, h: Factors, terms: Terms) -> tup
 
 def moved(state: DataFrame, h: Factors, terms: Terms, mode: str, rate: float = 0.0, scale: np.ndarray | None = None, clip: float = 1e4) -> DataFrame:
     """state with g one step on: multiplicative, or along the gradient and back to g >= 0."""
+    if mode not in ("mur", "pgd", "hybrid"):
+        raise ValueError(f"unknown step {mode}")
     h = _wide(h, terms.roles)
     shrink = 1.0
     if mode == "pgd":
@@ -337,7 +339,7 @@ def refined(view: str, h: Factors, s: dict[str, np.ndarray], terms: Terms, steps
 def nndsvd(rows: DataFrame, view: str, n_items: int, k: int) -> tuple[np.ndarray, DataFrame]:
     """Starting loadings and g (pid, g) from the leading singular vectors, found from the items' Gram matrix.
 
-    The first pair are the roots of the means; of each other pair the half of one sign that weighs more is kept. g's rows sum to 1.
+    The first pair are the root of the mean of all cells; of each other pair the half of one sign that weighs more is kept. g's rows sum to 1.
     """
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,22 +356,21 @@ def nndsvd(rows: DataFrame, view: str, n_items: int, k: int) -> tuple[np.ndarray
     for at, v in rows.mapInArrow(second, "at long, v double").groupBy("at").agg(F.sum("v")).collect():
         flat[at] = v
     n = max(flat[-1], 1.0)
-    mean = flat[n_items * n_items : -1] / n
+    mean = flat[n_items * n_items : -1].sum() / (n * n_items)
     values, vectors = np.linalg.eigh(flat[: n_items * n_items].reshape(n_items, n_items))
     order = np.argsort(-values)[:k]
     sigma, v = np.sqrt(np.maximum(values[order], EPS)), vectors[:, order]
 
-    def left(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def left(batch: pa.RecordBatch) -> np.ndarray:
         row, item, value = _arrays(batch, view)
-        u, total = np.zeros((batch.num_rows, len(order))), np.zeros(batch.num_rows)
+        u = np.zeros((batch.num_rows, len(order)))
         np.add.at(u, row, value[:, None] * v[item] / sigma)
-        np.add.at(total, row, value)
-        return u, total
+        return u
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plus = minus = np.zeros(len(order))
         for batch in batches:
-            u, _ = left(batch)
+            u = left(batch)
             plus, minus = plus + (np.maximum(u, 0) ** 2).sum(0), minus + (np.minimum(u, 0) ** 2).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(order)), pa.int64()), pa.array(plus), pa.array(minus)], names=["at", "p", "m"])
 
@@ -382,13 +383,14 @@ def nndsvd(rows: DataFrame, view: str, n_items: int, k: int) -> tuple[np.ndarray
     u_norm, v_norm = np.where(sign > 0, u_plus, u_minus), np.where(sign > 0, v_plus, v_minus)
     root = np.sqrt(sigma * u_norm * v_norm)
     h = np.maximum(root * np.maximum(sign * v, 0) / np.maximum(v_norm, EPS), EPS)
-    h[:, 0] = np.maximum(np.sqrt(np.maximum(mean, 0)), EPS)
+    first = max(float(np.sqrt(max(mean, 0.0))), EPS)
+    h[:, 0] = first
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, total = left(batch)
+            u = left(batch)
             g = np.maximum(root * np.maximum(sign * u, 0) / np.maximum(u_norm, EPS), EPS)
-            g[:, 0] = np.maximum(np.sqrt(total / n_items), EPS)
+            g[:, 0] = first
             g /= g.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1) * g.shape[1], pa.int32()), pa.array(g.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("pid"), lists], names=["pid", "g"])

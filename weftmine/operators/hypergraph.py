@@ -19,17 +19,39 @@ def by_entity(x: DataFrame, *, least: int = 2, most: int = 50, rho: float = 0.5)
     return edges.withColumn("weight", 1.0 / F.pow(F.size("members").cast("double"), F.lit(rho)))
 
 
-def by_attributes(similar: DataFrame, least: float, top_k: int) -> DataFrame:
-    """Edges from a neighbour table (i, j, sim): pairs i < j, and i with two of its neighbours; mean similarity ``least`` or more, the best top_k."""
+def by_attributes(similar: DataFrame, every: DataFrame, least: float, top_k: int, unlike: float = 0.0) -> DataFrame:
+    """Edges from a neighbour table (i, j, sim): pairs i < j, and i with two of its neighbours; mean similarity ``least`` or more, the best top_k.
+
+    every: the similarities of all items, neighbours or not, in both directions; those that have no row there have ``unlike``.
+    """
     pairs = similar.filter("j > i").select(F.array("i", "j").alias("members"), F.col("sim").alias("score"))
     a, b = similar.select("i", "j", F.col("sim").alias("s1")), similar.select("i", F.col("j").alias("k"), F.col("sim").alias("s2"))
     around = a.join(b, "i").filter("j < k")
-    both = around.join(similar.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("sim").alias("s3")), ["j", "k"])
+    both = around.join(every.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("sim").alias("s3")), ["j", "k"], "left").fillna(unlike, ["s3"])
     triples = both.select(F.array_sort(F.array("i", "j", "k")).alias("members"), ((F.col("s1") + F.col("s2") + F.col("s3")) / 3).alias("score"))
     found = pairs.union(triples).filter(F.col("score") >= least).groupBy("members").agg(F.round(F.max("score"), 9).alias("score"))
     return found.orderBy(F.desc("score"), "members").limit(top_k)
 
 
+def together(**edges: DataFrame) -> DataFrame:
+    """Hyper-edges of several kinds in one table; each edge's name begins with its kind's."""
+    out = None
+    for kind, rows in edges.items():
+        named = rows.select(F.concat(F.lit(f"{kind}:"), F.col("edge").cast("string")).alias("edge"), "members", "weight")
+        out = named if out is None else out.union(named)
+    return out
+
+
+def bundle(parts: list[tuple[float, DataFrame]]) -> DataFrame:
+    """i, j, v: the sum of the Laplacians of hyper-edge tables, each times its weight; parts of weight 0 are off, and with all off no row is left."""
+    out = None
+    for weight, edges in parts:
+        scaled = laplacian(edges).select("i", "j", (F.col("v") * weight).alias("v"))
+        scaled = scaled if weight else scaled.limit(0)
+        out = scaled if out is None else out.union(scaled)
+    return out.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def incidence(edges: DataFrame) -> DataFrame:
     """edge, item, weight, size."""
     return edges.select("edge", F.explode("members").alias("item"), "weight", F.size("members").alias("size"))

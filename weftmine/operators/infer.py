@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmine.functions.nnls import nnls
-from weftmine.operators.linalg import product
+from weftmine.operators.linalg import product_of_rows
+from weftmine.sources.files import resolved
 
 
 def by_dot(queries: DataFrame, h: DataFrame) -> DataFrame:
     """pid, k, v: q H for queries (pid, item, val) and loadings (item, k, v)."""
-    return product(queries.select("pid", "item", F.col("val").alias("v")), h, "pid", "item", "k")
+    return product_of_rows(queries.select("pid", "item", F.col("val").alias("v")), h, "pid", "item", "k")
 
 
 def dense(h: DataFrame) -> tuple[list, list, np.ndarray]:
@@ -45,14 +46,31 @@ def by_least_squares(queries: DataFrame, h: DataFrame, non_negative: bool) -> Da
                 target = np.zeros(len(topics))
                 for x in kv:
                     target[place[x["k"]]] = x["v"]
-                out.append(nnls(gram, target) if non_negative else inverse @ target)
+                out.append(nnls(gram, target) if non_negative else target)
             z = np.array(out).reshape(len(out), len(topics))
+            z = z if non_negative else z @ inverse
             yield pd.DataFrame({"pid": np.repeat(batch["pid"].to_numpy(), len(topics)), "k": topics * len(out), "v": z.ravel()})
 
     pid = dict(queries.dtypes)["pid"]
     return right.mapInPandas(solve, f"pid {pid}, k {kind}, v double")
 
 
+def from_text(lines: DataFrame, names: DataFrame, alias: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries (pid, item, val) from free text (pid, text), and what of it neither a name (item, name) nor an alias (alias, canonical) explains (pid, token).
+
+    Commas, semicolons, full-width marks and line ends part the tokens, so that names may hold spaces.
+    """
+    tokens = lines.select("pid", F.explode(F.split(F.coalesce("text", F.lit("")), "[,;\uFF0C\uFF1B\u3001\u3002\n]")).alias("token")).withColumn("token", F.trim("token")).filter("token <> ''")
+    found = resolved(tokens, names, alias)
+    return found.filter("item IS NOT NULL").select("pid", "item", F.lit(1.0).alias("val")).distinct(), found.filter("item IS NULL").select("pid", "token")
+
+
+def case(lines: DataFrame, names: DataFrame, alias: DataFrame, by: DataFrame, to: DataFrame, most: int = 10, method: str = "nnls") -> DataFrame:
+    """pid, item, score, rank: what a model recommends for free text in names of one view (loadings ``by``) from the other (loadings ``to``)."""
+    queries, _ = from_text(lines, names, alias)
+    return ranked(scores(infer(queries, by, method), to), most)
+
+
 def infer(queries: DataFrame, h: DataFrame, method: str = "nnls") -> DataFrame:
     if method == "dot":
         return by_dot(queries, h)
@@ -71,7 +89,7 @@ def smoothed(z: DataFrame, topics: DataFrame, alpha: float) -> DataFrame:
 
 def scores(z: DataFrame, target: DataFrame) -> DataFrame:
     """pid, item, score: z H' for mixtures (pid, k, v); an item that shares no topic has no row."""
-    rows = product(z, target.select("k", "item", "v"), "pid", "k", "item")
+    rows = product_of_rows(z, target.select("k", "item", "v"), "pid", "k", "item")
     return rows.select("pid", "item", F.round("v", 9).alias("score"))
 
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of a matrix that goes to every task: 16 MB as numbers.
+CELLS = 2_000_000
+
 
 def product(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, v: str = "v") -> DataFrame:
     """(row, col, v) of A B, where A is (row, inner, v) and B is (inner, col, v)."""
@@ -12,6 +20,39 @@ def product(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, v: str =
     return left.join(right, inner).groupBy(row, col).agg(F.sum(F.col("__x") * F.col("__y")).alias(v))
 
 
+def product_of_rows(a: DataFrame, b: DataFrame, row: str, inner: str, col: str, v: str = "v") -> DataFrame:
+    """Like product, for a B of ``CELLS`` cells at most, such as a model's loadings: it goes to the tasks, and a batch of A's rows is multiplied at once. A larger B is joined."""
+    cells = b.select(inner, col, v).limit(CELLS + 1).toArrow()
+    if cells.num_rows > CELLS:
+        return product(a, b, row, inner, col, v)
+    cells = cells.combine_chunks()
+    inners, cols = pc.unique(cells.column(0).combine_chunks()), pc.unique(cells.column(1).combine_chunks())
+    shape = len(inners), len(cols)
+    matrix, there = np.zeros(shape), np.zeros(shape, np.float32)
+    at = tuple(pc.index_in(c, u).to_numpy() for c, u in zip(cells.columns[:2], (inners, cols), strict=True))
+    np.add.at(matrix, at, cells.column(2).cast(pa.float64()).fill_null(0.0).to_numpy())
+    there[at] = 1
+    kinds = {**dict(b.dtypes), row: dict(a.dtypes)[row]}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            which = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            place = pc.fill_null(pc.index_in(flat.field(0), inners), -1).to_numpy(zero_copy_only=False)
+            value = flat.field(1).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            known = place >= 0
+            x, has = np.zeros((batch.num_rows, shape[0])), np.zeros((batch.num_rows, shape[0]), np.float32)
+            np.add.at(x, (which[known], place[known]), value[known])
+            has[which[known], place[known]] = 1
+            i, j = np.nonzero(has @ there > 0)
+            out = (x @ matrix)[i, j]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), cols.take(pa.array(j)), pa.array(out)], names=[row, col, v])
+
+    packed = a.groupBy(row).agg(F.collect_list(F.struct(inner, v)).alias("__cells"))
+    return packed.mapInArrow(rows, f"{row} {kinds[row]}, {col} {kinds[col]}, {v} double")
+
+
 def gram(a: DataFrame, row: str, col: str, v: str = "v") -> DataFrame:
     """(k, l, v) of A' A for A (row, col, v)."""
     return product(a.select(F.col(row), F.col(col).alias("k"), v), a.select(F.col(row), F.col(col).alias("l"), v), "k", row, "l", v)
@@ -27,7 +68,7 @@ def reconstruction_parts(x: DataFrame, g: DataFrame, h: DataFrame) -> DataFrame:
     x: pid, item, val; g: pid, k, v; h: item, k, v.
     """
     squared = x.agg(F.coalesce(F.sum(F.col("val") * F.col("val")), F.lit(0.0)).alias("squared"))
-    xh = product(x.select("pid", "item", F.col("val").alias("v")), h, "pid", "item", "k")
+    xh = product_of_rows(x.select("pid", "item", F.col("val").alias("v")), h, "pid", "item", "k")
     cross = xh.join(g.select("pid", "k", F.col("v").alias("w")), ["pid", "k"]).agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("cross"))
     recon = gram(g, "pid", "k").join(gram(h, "item", "k").withColumnRenamed("v", "w"), ["k", "l"]).agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("recon"))
     one = lambda df: df.withColumn("__one", F.lit(1))

@@ -30,6 +30,12 @@ def leave_out(x: DataFrame, splits: DataFrame, k: int, seed: int = 42) -> DataFr
     return ranked.select("pid", "item", "split", ((F.col("split") != "train") & (F.col("rn") <= hide)).alias("hidden"))
 
 
+def subsample(x: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The rows of n entities, those with the smallest hashes of seed and id; all if there are no more."""
+    drawn = x.select("pid").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string"))), "pid").limit(n)
+    return x.join(drawn, "pid", "left_semi")
+
+
 def split(x: DataFrame, method: str, **options) -> DataFrame:
     if method == "entity":
         return by_entity(x.select("pid").distinct(), **options)

@@ -46,7 +46,7 @@ def holm(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFra
 
 def verdict(p: Column, delta: Column, practical: float, alpha: float = 0.05) -> Column:
     """What a difference means: whether it is significant, and whether it is large enough to matter."""
-    return F.when(p >= alpha, "not significant").when(F.abs(delta) < practical, "significant, negligible").when(delta > 0, "better").otherwise("worse")
+    return F.when((p >= alpha) & (F.abs(delta) < practical), "not significant, negligible").when(p >= alpha, "not significant").when(F.abs(delta) < practical, "significant, negligible").when(delta > 0, "better").otherwise("worse")
 
 
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -62,6 +62,47 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).applyInPandas(test, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, w double, p double, low double, high double")
 
 
+def renamed(results: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """results with values of a column replaced by those that a table of names gives them; others stay."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return results.withColumn(column, F.coalesce(F.element_at(F.create_map(*pairs), F.col(column)), F.col(column)) if names else F.col(column))
+
+
+def families(**results: DataFrame) -> DataFrame:
+    """Results of several families in one table, with the family's name; what a family doesn't have is null."""
+    out = None
+    for name, rows in results.items():
+        named = rows.withColumn("family", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def family_tests(results: DataFrame, base: str, metrics: dict[str, float], *, variant: str = "variant", run: list[str] = ("seed",), alpha: float = 0.05) -> DataFrame:
+    """variant, metric, n, median, effect, w, p, low, high, holm, verdict: every other variant against the variant ``base``, run by run.
+
+    metrics: of each metric, from which difference on it matters. Runs that only one of two has, and blank or non-finite values, are left out. p-values of one metric
+    are a family for Holm's correction; medians, effects and tests are a table's groups, so that any number of variants is compared at once.
+    """
+    long = None
+    for name in metrics:
+        value = F.col(name).cast("double")
+        one = results.filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(F.col(variant).alias("variant"), *run, F.lit(name).alias("metric"), value.alias("value"))
+        long = one if long is None else long.union(one)
+    own = long.filter(F.col("variant") == base).select("metric", *run, F.col("value").alias("__base"))
+    pairs = long.filter(F.col("variant") != base).join(own, ["metric", *run]).select("variant", "metric", (F.col("value") - F.col("__base")).alias("delta"))
+    by = ["variant", "metric"]
+    found = pairs.groupBy(*by).agg(F.median("delta").alias("median")).join(wilcoxon(pairs, by), by).join(rank_biserial(pairs, by), by, "left")
+    practical = F.element_at(F.create_map(*(F.lit(x) for pair in metrics.items() for x in pair)), F.col("metric"))
+    found = holm(found.withColumn("effect", F.coalesce("effect", F.lit(0.0))), "p", ["metric"])
+    return found.withColumn("verdict", verdict(F.col("holm"), F.col("median"), practical, alpha))
+
+
+def change(summary: DataFrame, value: str, metric: str, default) -> DataFrame:
+    """value, metric, percent: each setting's metric, and by how many hundredths it is above that of the default setting."""
+    own = summary.filter(F.col(value) == F.lit(default)).agg(F.max(metric)).first()[0]
+    return summary.select(value, metric, (F.try_divide(F.col(metric) - F.lit(own), F.abs(F.lit(own))) * 100).alias("percent"))
+
+
 def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     """pearson, spearman, slope, intercept. All rows are ranked in one task: for summaries that one task can hold."""
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2

@@ -22,6 +22,8 @@ SHARED = {
     "ents": "SELECT pid, list(item ORDER BY item) AS members, count(*) AS size FROM x GROUP BY pid",
     "alike": """SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM (
         SELECT a.item AS i, b.item AS j, round(sum(a.u * b.u), 9) AS sim FROM unit a JOIN unit b ON a.attr = b.attr AND a.item <> b.item GROUP BY ALL)) WHERE rn <= 4""",
+    "every": "SELECT a.item AS i, b.item AS j, round(sum(a.u * b.u), 9) AS sim FROM unit a JOIN unit b ON a.attr = b.attr AND a.item <> b.item GROUP BY ALL",
+    "kinds": "SELECT category, item, count(*) OVER (PARTITION BY category) AS size FROM cat QUALIFY count(*) OVER (PARTITION BY category) >= 2",
     "unit": "SELECT item, attr, v / sqrt(sum(v * v) OVER (PARTITION BY item)) AS u FROM (SELECT p_brand AS item, p_type AS attr, avg(p_size) AS v FROM part GROUP BY ALL)",
     "loci": "SELECT DISTINCT p_brand AS item, p_size AS attr FROM part WHERE p_size <= 20",
     "jac": """SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM (
@@ -86,7 +88,10 @@ SHARED |= {
     "hh": "SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM h a JOIN h b ON a.item = b.item GROUP BY ALL",
     "g0": "SELECT pid, k, 5 * v AS v FROM gx",
     "xh": "SELECT pid, k, sum(v) AS v FROM x JOIN h USING (item) GROUP BY ALL",
-    "gd": "SELECT pid, l AS k, sum(g0.v * hh.v) AS v FROM g0 JOIN hh ON g0.k = hh.k GROUP BY ALL",
+    "kk": "SELECT DISTINCT k FROM h",
+    "hrows": "SELECT l AS k, list(v ORDER BY k) AS r FROM (SELECT a.k AS l, b.k, coalesce(hh.v, 0::DOUBLE) AS v FROM kk a CROSS JOIN kk b LEFT JOIN hh ON hh.k = b.k AND hh.l = a.k) GROUP BY l",
+    "grows": "SELECT pid, list(v ORDER BY k) AS g FROM (SELECT p.pid, kk.k, coalesce(g0.v, 0::DOUBLE) AS v FROM (SELECT DISTINCT pid FROM g0) p CROSS JOIN kk LEFT JOIN g0 ON g0.pid = p.pid AND g0.k = kk.k) GROUP BY pid",
+    "gd": "SELECT pid, k, list_dot_product(g, r) AS v FROM grows CROSS JOIN hrows",
     "g1": "SELECT g0.pid, g0.k, g0.v * xh.v / (gd.v + 1e-10) AS v FROM g0 JOIN xh ON g0.pid = xh.pid AND g0.k = xh.k JOIN gd ON g0.pid = gd.pid AND g0.k = gd.k",
     "g1g1": "SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM g1 a JOIN g1 b ON a.pid = b.pid GROUP BY ALL",
     "theta": "SELECT pid, k, v / sum(v) OVER (PARTITION BY pid) AS t FROM (SELECT p.pid, t.k, coalesce(gx.v, 0) + 0.1 AS v FROM (SELECT DISTINCT pid FROM gx) p CROSS JOIN (SELECT DISTINCT k FROM h) t LEFT JOIN gx ON gx.pid = p.pid AND gx.k = t.k)",
@@ -121,8 +126,22 @@ _BODIES = {
     "category_hyperedges": "SELECT category AS edge, string_agg(item, '+' ORDER BY item) AS members, 1.0::DOUBLE AS weight FROM cat GROUP BY category HAVING count(*) >= 2",
     "attribute_hyperedges": """SELECT array_to_string(members, '+') AS members, round(score, 6) AS score FROM (SELECT members, round(max(score), 9) AS score FROM (
         SELECT [i, j] AS members, sim AS score FROM alike WHERE j > i UNION ALL
-        SELECT list_sort([a.i, a.j, b.j]), (a.sim + b.sim + c.sim) / 3 FROM alike a JOIN alike b ON a.i = b.i AND a.j < b.j JOIN alike c ON c.i = a.j AND c.j = b.j)
+        SELECT list_sort([a.i, a.j, b.j]), (a.sim + b.sim + coalesce(c.sim, 0)) / 3 FROM alike a JOIN alike b ON a.i = b.i AND a.j < b.j LEFT JOIN every c ON c.i = a.j AND c.j = b.j)
         WHERE score >= 0.9 GROUP BY members ORDER BY score DESC, members LIMIT 60)""",
+    "hyper_concat": """SELECT edge, array_to_string(members, '+') AS members, weight FROM (SELECT 'entity:' || pid AS edge, members, round(1 / sqrt(size::DOUBLE), 6) AS weight FROM ents WHERE size BETWEEN 3 AND 6
+        UNION ALL SELECT 'category:' || category, list_sort(list(item)), 1.0::DOUBLE FROM cat GROUP BY category HAVING count(*) >= 2)""",
+    "hyper_bundle": """SELECT i, j, round(sum(w * v), 6) AS v FROM (
+        SELECT 0.7::DOUBLE AS w, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END - a / sqrt(p.d * q.d) AS v FROM (
+            SELECT a.item AS i, b.item AS j, sum(a.weight / a.size) AS a FROM inc a JOIN inc b USING (edge) GROUP BY ALL)
+            JOIN (SELECT item, sum(weight) AS d FROM inc GROUP BY item) p ON i = p.item JOIN (SELECT item, sum(weight) AS d FROM inc GROUP BY item) q ON j = q.item
+        UNION ALL
+        SELECT 0.3, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END - a / sqrt(p.d * q.d) FROM (
+            SELECT a.item AS i, b.item AS j, sum(1.0::DOUBLE / a.size) AS a FROM kinds a JOIN kinds b USING (category) GROUP BY ALL)
+            JOIN (SELECT item, count(*) AS d FROM kinds GROUP BY item) p ON i = p.item JOIN (SELECT item, count(*) AS d FROM kinds GROUP BY item) q ON j = q.item)
+        GROUP BY i, j""",
+    "unmatched_symptoms": "SELECT c_mktsegment AS symptom, count(*) AS n FROM customer WHERE c_mktsegment < 'B' GROUP BY c_mktsegment",
+    "sweep_change": "SELECT variant, metric_mean, round((metric_mean - b) / abs(b) * 100, 4) AS percent FROM (SELECT variant, round(avg(metric), 4) AS metric_mean FROM res GROUP BY variant), (SELECT round(avg(metric), 4) AS b FROM res WHERE variant = (SELECT min(variant) FROM res))",
+    "subsample": "SELECT pid, count(*) AS n FROM x JOIN (SELECT pid FROM (SELECT DISTINCT pid, md5('7:' || pid) AS h FROM x) ORDER BY h, pid LIMIT 500) USING (pid) GROUP BY pid",
     "hyper_incidence": "SELECT pid AS edge, unnest(members) AS item, round(1 / sqrt(size::DOUBLE), 6) AS weight, CAST(size AS INT) AS size FROM ents WHERE size BETWEEN 3 AND 6",
     "hypergraph_laplacian": """SELECT i, j, round(CASE WHEN i = j THEN 1.0 ELSE 0.0 END - a / sqrt(p.d * q.d), 6) AS v FROM (
         SELECT a.item AS i, b.item AS j, sum(a.weight / a.size) AS a FROM inc a JOIN inc b USING (edge) GROUP BY ALL)
@@ -196,7 +215,7 @@ _BODIES = {
     "signed_ranks": "SELECT K, seed, delta, round(rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2, 4) AS rank FROM (SELECT K, seed, round(delta, -3) AS delta FROM pd) WHERE delta <> 0",
     "rank_biserial": "SELECT seed, round(effect, 6) AS effect FROM effect",
     "holm": "SELECT seed, p, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm FROM (SELECT *, row_number() OVER (ORDER BY p, seed) AS rn, count(*) OVER () AS m FROM (SELECT seed, round(1 - abs(effect), 6) AS p FROM effect))",
-    "interpretation": "SELECT seed, p, effect, CASE WHEN p >= 0.7 THEN 'not significant' WHEN abs(effect) < 0.4 THEN 'significant, negligible' WHEN effect > 0 THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT seed, round(1 - abs(effect), 6) AS p, round(effect, 6) AS effect FROM effect)",
+    "interpretation": "SELECT seed, p, effect, CASE WHEN p >= 0.7 AND abs(effect) < 0.4 THEN 'not significant, negligible' WHEN p >= 0.7 THEN 'not significant' WHEN abs(effect) < 0.4 THEN 'significant, negligible' WHEN effect > 0 THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT seed, round(1 - abs(effect), 6) AS p, round(effect, 6) AS effect FROM effect)",
     "corr_regr": """SELECT round(corr(x, y), 5) AS pearson, round(corr(rx, ry), 5) AS spearman, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM (
         SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT size::DOUBLE AS x, metric AS y FROM res WHERE metric < 1e6))""",
     "sweep_summary": "SELECT variant, count(*) AS n, round(avg(metric), 4) AS metric_mean, round(stddev_pop(metric), 4) AS metric_std FROM res GROUP BY variant",

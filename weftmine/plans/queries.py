@@ -163,15 +163,31 @@ def category_hyperedges(spark, d):
     return hypergraph.by_category(star.categories(spark, d), 2).select("edge", F.array_join("members", "+").alias("members"), "weight")
 
 
-def _similar(spark, d, k=4):
+@query
+def hyper_concat(spark, d):
+    edges = hypergraph.together(entity=hypergraph.by_entity(_x(spark, d), least=3, most=6), category=hypergraph.by_category(star.categories(spark, d), 2))
+    return edges.select("edge", F.array_join("members", "+").alias("members"), r("weight"))
+
+
+@query
+def hyper_bundle(spark, d):
+    parts = [(0.7, hypergraph.by_entity(_x(spark, d), least=2, most=6)), (0.3, hypergraph.by_category(star.categories(spark, d), 2))]
+    return hypergraph.bundle(parts).select("i", "j", r("v"))
+
+
+def _every(spark, d):
     part = table(spark, d, "part")
     attrs = part.groupBy(F.col("p_brand").alias("item"), F.col("p_type").alias("attr")).agg(F.avg("p_size").alias("v"))
-    return graph.nearest(graph.cosine(attrs, rescale=False), k)
+    return graph.cosine(attrs, rescale=False)
+
+
+def _similar(spark, d, k=4):
+    return graph.nearest(_every(spark, d), k)
 
 
 @query
 def attribute_hyperedges(spark, d):
-    return hypergraph.by_attributes(_similar(spark, d), 0.9, 60).select(F.array_join("members", "+").alias("members"), r("score"))
+    return hypergraph.by_attributes(_similar(spark, d), _every(spark, d), 0.9, 60).select(F.array_join("members", "+").alias("members"), r("score"))
 
 
 @query
@@ -570,6 +586,24 @@ def best_setting(spark, d):
     return stats.best_setting(rows, "variant", "metric_mean")
 
 
+@query
+def sweep_change(spark, d):
+    rows = stats.sweep_summary(_results(spark, d), ["variant"], ["metric"]).withColumn("metric_mean", F.round("metric_mean", 4))
+    return stats.change(rows, "variant", "metric_mean", rows.agg(F.min("variant")).first()[0]).withColumn("percent", F.round("percent", 4))
+
+
+@query
+def subsample(spark, d):
+    return split.subsample(_x(spark, d), 500, 7).groupBy("pid").agg(F.count("*").alias("n"))
+
+
+@query
+def family_tests(spark, d):
+    """Every order priority against the first, month by month and year by year."""
+    rows = _results(spark, d)
+    return stats.family_tests(rows, rows.agg(F.min("variant")).first()[0], {"metric": 100.0, "size": 1.0}, run=["seed", "K"])
+
+
 # Names and knowledge
 
 
@@ -601,6 +635,13 @@ def knowledge_load(spark, d):
     return files.knowledge(tokens, names, alias, known)
 
 
+@query
+def unmatched_symptoms(spark, d):
+    tokens, _, _ = _knowledge(spark, d)
+    known = table(spark, d, "customer").select(F.col("c_mktsegment").alias("symptom")).filter("c_mktsegment >= 'B'").distinct()
+    return files.unmatched_symptoms(tokens, known)
+
+
 @query
 def anti_unmatched(spark, d):
     return files.unmatched(*_knowledge(spark, d))

@@ -68,18 +68,22 @@ def knowledge_pairs(pairs_: DataFrame, n_items: int, n_symptoms: int) -> DataFra
     raise ValueError("indices beyond both tables")
 
 
-def aliases(lines: DataFrame) -> DataFrame:
-    """alias, canonical from lines (no, value) 'canonical,alias,...'; the canonical name is an alias too, and of repeated aliases the last line's holds."""
+def aliases(lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """alias, canonical from lines (no, value) 'canonical,alias,...'; the canonical name is an alias too, and of repeated aliases the last line's holds. With names (name), lines of other canonical names don't count."""
     tokens = F.filter(F.transform(F.split("value", ","), lambda t: F.trim(t)), lambda t: t != "")
     rows = lines.select("no", tokens.alias("t")).filter(F.size("t") > 0)
     rows = rows.select("no", F.element_at("t", 1).alias("canonical"), F.explode("t").alias("alias"))
+    if names is not None:
+        rows = rows.join(names.select(F.col("name").alias("canonical")).distinct(), "canonical", "left_semi")
     last = Window.partitionBy("alias").orderBy(F.desc("no"))
     return rows.withColumn("__rn", F.row_number().over(last)).filter("__rn = 1").select("alias", "canonical")
 
 
 def knowledge_tokens(lines: DataFrame) -> DataFrame:
-    """symptom, token from lines (no, value) 'symptom<TAB>herb herb ...'; lines without herbs give nothing."""
-    rows = lines.filter(F.instr("value", "\t") > 0).select("no", F.trim(F.split("value", "\t")[0]).alias("symptom"), F.explode(F.split(F.trim(F.split("value", "\t")[1]), r"\s+")).alias("token"))
+    """symptom, token from lines (no, value) 'symptom<TAB>herb herb ...', where more tabs part herbs too; lines without herbs give nothing."""
+    parts = F.split("value", "\t")
+    rest = F.trim(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " "))
+    rows = lines.filter(F.instr("value", "\t") > 0).select("no", F.trim(parts[0]).alias("symptom"), F.explode(F.split(rest, r"\s+")).alias("token"))
     return rows.filter("symptom <> '' AND token <> ''")
 
 
@@ -100,6 +104,17 @@ def unmatched(tokens: DataFrame, names: DataFrame, alias: DataFrame) -> DataFram
     return resolved(tokens, names, alias).filter("item IS NULL").groupBy("token").agg(F.count("*").alias("n"))
 
 
+def unmatched_symptoms(tokens: DataFrame, symptoms: DataFrame) -> DataFrame:
+    """symptom, n: lines with herbs whose symptom is not among symptoms (symptom)."""
+    lines = tokens.select("no", "symptom").distinct().join(symptoms.select("symptom").distinct(), "symptom", "left_anti")
+    return lines.groupBy("symptom").agg(F.count("*").alias("n"))
+
+
+def covered(knowledge_: DataFrame) -> DataFrame:
+    """items, symptoms: how many of each the knowledge (symptom, item) holds."""
+    return knowledge_.agg(F.countDistinct("item").alias("items"), F.countDistinct("symptom").alias("symptoms"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """no, value of a small text file, read whole in one task so that lines keep their order."""
     text = spark.read.text(path, wholetext=True)
@@ -108,9 +123,63 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def optional(spark: SparkSession, path: str, schema: str, read) -> DataFrame:
     """What ``read`` gives, or an empty table where there is no such file."""
+    return read(spark, path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return read(spark, path) if there else spark.createDataFrame([], schema)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+#: File names of the inputs; a configuration's ``files`` may name others. The first three must be there.
+FILES = {"presence": "presence.csv", "dosage": "dosage.csv", "symptoms": "symptoms.csv", "attributes": "attributes.csv", "conflicts": "conflicts.csv", "knowledge": "knowledge.txt", "aliases": "aliases.csv"}
+NEEDED = ("presence", "dosage", "symptoms")
+
+
+def paths(config: dict | None = None) -> dict[str, str]:
+    """Where each input lies: in root(config), by FILES and the configuration's ``files``."""
+    names = {**FILES, **(config or {}).get("files", {})}
+    return {k: v if "/" in v else f"{root(config)}/{v}" for k, v in names.items()}
+
+
+def required(spark: SparkSession, wanted: dict[str, str]) -> None:
+    if missing := [f"{k}: {path}" for k, path in wanted.items() if not exists(spark, path)]:
+        raise FileNotFoundError(", ".join(missing))
+
+
+def names_of(view: DataFrame) -> DataFrame:
+    return view.select("item", "name").distinct()
+
+
+def knowledge_source(spark: SparkSession, path: str, names: DataFrame, symptoms: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """symptom, item as numbers, from a text file of names (.txt) or a list of index pairs (any other). names: item, name; symptoms: item, name."""
+    if path.endswith(".txt"):
+        alias = alias if alias is not None else spark.createDataFrame([], "alias string, canonical string")
+        found = knowledge(knowledge_tokens(numbered_lines(spark, path)), names, alias, symptoms.select(F.col("name").alias("symptom")))
+        return found.join(symptoms.select(F.col("name").alias("symptom"), F.col("item").alias("__s")), "symptom").select(F.col("__s").alias("symptom"), "item")
+    return knowledge_pairs(pairs(spark, path), names.count(), symptoms.count()).select("symptom", "item")
+
+
+def load_views(spark: SparkSession, config: dict | None = None) -> dict[str, DataFrame]:
+    """All inputs of a configuration: presence, dosage and symptoms (pid, name, item, val or dose), which must hold the same entities, dosage and presence
+    the same items in the same order; attributes, conflicts and knowledge where their files are."""
+    where = paths(config)
+    required(spark, {k: where[k] for k in NEEDED})
+    views = {"presence": presence(spark, where["presence"]), "dosage": dosage(spark, where["dosage"]), "symptoms": presence(spark, where["symptoms"])}
+    for name in ("dosage", "symptoms"):
+        if n := same_entities(views["presence"], views[name]):
+            raise ValueError(f"{n} entities are only in one of presence and {name}")
+    herbs, symptoms = names_of(views["presence"]), names_of(views["symptoms"])
+    if n := misplaced_names(herbs, names_of(views["dosage"])).count():
+        raise ValueError(f"{n} items differ between presence and dosage")
+    if exists(spark, where["attributes"]):
+        views["attributes"] = attributes(spark, where["attributes"])
+    if exists(spark, where["conflicts"]):
+        views["conflicts"] = pairs(spark, where["conflicts"])
+    if exists(spark, where["knowledge"]):
+        alias = aliases(numbered_lines(spark, where["aliases"]), herbs) if exists(spark, where["aliases"]) else None
+        views["knowledge"] = knowledge_source(spark, where["knowledge"], herbs, symptoms, alias)
+    return views
 
 
 def root(config: dict | None = None, variable: str = "WEFTMINE_DATA_ROOT") -> str:
@@ -155,6 +224,11 @@ def write_factors(factors: DataFrame, path: str) -> None:
     factors.write.mode("overwrite").parquet(path)
 
 
+def read_factors(spark: SparkSession, path: str) -> DataFrame:
+    """What write_factors wrote."""
+    return spark.read.parquet(path)
+
+
 def write_results(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv if kind == "csv" else writer.json)(path)
