@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftmine.llm.arrow import slices, utf8
 from weftmine.llm.shingles import mixed, stretches
-from weftmine.session import drop, drop_part, partitions, release, reopened, stored
+from weftmine.session import drop, partitions, release, reopened, stored
 
 LENGTH, GRAM, BATCHES = 200, 100, 3
 #: Kinds of blocks around a gram from which on their strings are dealt out singly; bytes of blocks that meet in a task.
@@ -262,15 +262,12 @@ def _repeats(first: np.ndarray, more: np.ndarray, data: np.ndarray, begins: np.n
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, crowd: int = CROWD) -> DataFrame:
     """doc, hash, spans: of each document that has any, the starts of strings that occur more than once (first << 8 | further starts)."""
     spark = docs.sparkSession
-    # Texts are read once for all batches.
-    every = suffixes(docs, length, gram).withColumn("batch", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(batches)).cast("int"))
-    every = stored(every, "batch")
-    family = Family(spark)
-    met = []
+    family, met = Family(spark), []
     for i in range(batches):
-        met.append(family.add(every.filter(F.col("batch") == i)))
-        drop_part(every, f"batch={i}")
-    drop(every)
+        part = docs if batches == 1 else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(batches)) == i)
+        batch = stored(suffixes(part, length, gram))
+        met.append(family.add(batch))
+        drop(batch)
     family.clear()
     release(spark)
     found = met[0]
