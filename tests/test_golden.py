@@ -140,7 +140,7 @@ def test_paired_statistics(spark):
 
 
 def test_signed_rank_p():
-    from weftmine.functions.tests import bootstrap_median, signed_rank_p
+    from weftmine.functions.ranktests import bootstrap_median, signed_rank_p
 
     assert signed_rank_p([0, 0, 1]) == (0.0, 1.0)
     assert signed_rank_p([1, 2, 3, 4, 5])[1] == pytest.approx(2 / 32)

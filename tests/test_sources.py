@@ -65,7 +65,7 @@ def test_results_and_settings(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "r.csv", "﻿K,variant,seed,MAP\n10,a,1,0.5\n10,b,1,\n")
     rows = files.results(spark, path).collect()
     assert [(r.K, r.variant, r.MAP) for r in rows] == [(10.0, "a", 0.5), (10.0, "b", None)]
-    files.write_json({"b": 1, "a": [2]}, str(tmp_path / "x.json"))
+    files.write_json(spark, {"b": 1, "a": [2]}, str(tmp_path / "x.json"))
     assert json.loads((tmp_path / "x.json").read_text()) == {"a": [2], "b": 1}
     write(tmp_path / "s.json", '{"test_metrics": {"map": 0.25}, "seed": 3}')
     assert files.summaries(spark, str(tmp_path / "s.json")).first().map == 0.25
@@ -97,3 +97,55 @@ def test_experiment_families(tmp_path):
     write(folder / "config.json", json.dumps(base))
     assert experiments.done(str(folder)) and experiments.done(str(folder), base) and not experiments.done(str(folder), {})
     assert experiments.left([base, {}], lambda c: str(folder)) == [{}]
+
+
+def test_cells_that_are_not_numbers(spark, tmp_path):
+    with pytest.raises(ValueError, match="not numbers"):
+        files.presence(spark, write(tmp_path / "t.csv", 'prescription_id,"x, y",z\n1,1,yes\n'))
+    path = write(tmp_path / "q.csv", '﻿prescription_id,"x, y",z\n1,1,\n2, ,1\n')
+    assert sorted(map(tuple, files.presence(spark, path).collect())) == [(1, "x, y", 0, 1.0), (2, "z", 1, 1.0)]
+    rows = "".join(f"{i % 2},1\n" for i in range(50))
+    assert sorted(r.pid for r in files.wide(spark, write(tmp_path / "n.csv", f"x,y\n{rows}")).filter("item = 1").collect()) == list(range(50))
+
+
+def views(tmp_path, **changed):
+    texts = {
+        "presence.csv": "prescription_id,rice,salt,oil\n1,1,0,1\n2,0,1,1\n",
+        "dosage.csv": "prescription_id,rice,salt,oil\n1,2.5,0,1\n2,0,3,4\n",
+        "symptoms.csv": "prescription_id,cold,hot\n1,1,0\n2,1,1\n",
+        "knowledge.txt": "cold\trice grain\toil\nhot\tsalt unknown\nwarm\trice\n",
+        "aliases.csv": "rice,grain\nstone,grain\n",
+        **changed,
+    }
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    return {"data_root": str(tmp_path)}
+
+
+def test_all_views(spark, tmp_path):
+    got = files.load_views(spark, views(tmp_path))
+    assert set(got) == {"presence", "dosage", "symptoms", "knowledge"}
+    assert sorted((r.symptom, r.item) for r in got["knowledge"].collect()) == [(0, 0), (0, 2), (1, 1)]
+    assert got["dosage"].filter("item = 2").count() == 2
+    with pytest.raises(ValueError, match="entities"):
+        files.load_views(spark, views(tmp_path, **{"symptoms.csv": "prescription_id,cold\n1,1\n"}))
+    with pytest.raises(ValueError, match="items differ"):
+        files.load_views(spark, views(tmp_path, **{"dosage.csv": "prescription_id,salt,rice,oil\n1,2,0,1\n2,0,1,3\n"}))
+    with pytest.raises(FileNotFoundError, match="other.csv"):
+        files.load_views(spark, {**views(tmp_path), "files": {"presence": "other.csv"}})
+
+
+def test_knowledge_counts(spark):
+    lines = spark.createDataFrame([(0, "cold\trice"), (1, "warm\trice oil"), (2, "warm\tsalt"), (3, "none")], "no int, value string")
+    tokens = files.knowledge_tokens(lines)
+    symptoms = spark.createDataFrame([("cold",)], "symptom string")
+    assert list(map(tuple, files.unmatched_symptoms(tokens, symptoms).collect())) == [("warm", 2)]
+    alias = spark.createDataFrame([], "alias string, canonical string")
+    names = spark.createDataFrame([(0, "rice"), (1, "oil")], "item int, name string")
+    assert tuple(files.covered(files.knowledge(tokens, names, alias, symptoms)).first()) == (1, 1)
+
+
+def test_factors_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 1.5), ("b", 1, 0.0)], "item string, k int, v double")
+    files.write_factors(rows, str(tmp_path / "f"))
+    assert sorted(map(tuple, files.read_factors(spark, str(tmp_path / "f")).collect())) == sorted(map(tuple, rows.collect()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmine.functions.tests import bootstrap_median, signed_rank_p
+from weftmine.functions.ranktests import bootstrap_median, signed_rank_p
 
 
 def paired(results: DataFrame, a: str, b: str, metric: str, keys: tuple[str, ...] = ("K", "seed")) -> DataFrame:

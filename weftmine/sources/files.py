@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a file scan with numbers from 0 in the order in which they are read. Only the partitions' counts, a row for each, come together in one task."""
+    at = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = at.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__begin", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return at.join(begins.drop("__n"), "__part").withColumn(name, F.col("__begin") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__begin")
+
+
 def wide(spark: SparkSession, path: str, id_col: str = "prescription_id") -> DataFrame:
-    """pid, name, item, val of every non-zero cell of a wide CSV; items are numbered by column. Without an id column, rows are numbered as read."""
-    header = spark.read.text(path).first()
-    names = [n.strip().strip('"') for n in (header[0] if header else "").lstrip("﻿").split(",")]
-    items = [n for n in names if n != id_col]
-    df = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` double" for n in names))
-    pid = F.col(id_col).cast("long") if id_col in names else F.monotonically_increasing_id()
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("item"), F.lit(n).alias("name"), F.col(f"`{n}`").alias("val")) for i, n in enumerate(items))))
-    return df.select(pid.alias("pid"), cells.alias("c")).select("pid", "c.name", "c.item", "c.val").filter("val IS NOT NULL AND val <> 0")
+    """pid, name, item, val of every non-zero cell of a wide CSV; items are numbered by column. Without an id column, rows are numbered as read. Cells that aren't numbers raise; blank ones are 0."""
+    df = spark.read.csv(path, header=True)
+    df = df.toDF(*(n.lstrip("\ufeff").strip('"') for n in df.columns))
+    items = [n for n in df.columns if n != id_col]
+    number = lambda n: F.expr(f"try_cast(`{n}` AS double)")
+    wrong = df.agg(*(F.max(F.col(f"`{n}`").isNotNull() & (F.trim(f"`{n}`") != "") & number(n).isNull()).alias(f"c{i}") for i, n in enumerate(items))).first() if items else ()
+    if bad := [n for n, w in zip(items, wrong, strict=True) if w]:
+        raise ValueError(f"{path}: cells that are not numbers in {bad}")
+    df = df.withColumn("__pid", F.col(f"`{id_col}`").cast("long")) if id_col in df.columns else numbered(df, "__pid")
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("item"), F.lit(n).alias("name"), number(n).alias("val")) for i, n in enumerate(items))))
+    return df.select(F.col("__pid").alias("pid"), cells.alias("c")).select("pid", "c.name", "c.item", "c.val").filter("val IS NOT NULL AND val <> 0")
 
 
 def presence(spark: SparkSession, path: str, id_col: str = "prescription_id") -> DataFrame:
@@ -234,8 +245,13 @@ def write_results(df: DataFrame, path: str, kind: str = "csv") -> None:
     (writer.option("header", True).csv if kind == "csv" else writer.json)(path)
 
 
-def write_json(value: object, path: str) -> None:
-    """A small document in one step: written beside its place, then moved there."""
-    with open(f"{path}.tmp", "w") as f:
-        json.dump(value, f, indent=2, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small document in one step, on any file system: written beside its place, then moved there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    system = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(where(f"{path}.tmp"), True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    out.close()
+    system.delete(where(path), False)
+    if not system.rename(where(f"{path}.tmp"), where(path)):
+        raise OSError(f"could not write {path}")
