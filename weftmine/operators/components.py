@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from weftmine.session import cut
 
+#: Tasks that the rows at one node are dealt to: a star's centre may be the end of most edges.
+SALT = 8
+
+
+def _sent(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame:
+    """rows with ``column`` replaced where moves (from, to) has it. Rows are dealt out by the node and a part of their hash, and moves copied to each part."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int"))
+    copies = moves.select(F.col("from").alias("__from"), F.col("to").alias("__to"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__part"))
+    joined = salted.join(copies, (F.col(column) == F.col("__from")) & (F.col("__salt") == F.col("__part")), "left")
+    return joined.withColumn(column, F.coalesce("__to", column)).select(rows.columns)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for edges (a, b) of long ids; nodes without an edge are left out.
@@ -19,10 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         to = cut(both.groupBy(F.col("a").alias("from")).agg(F.least("from", F.min("b")).alias("to")))
-        step = to.select(F.col("from").alias("mid"), F.col("to").alias("end"))
-        to = cut(to.join(step, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to")))
-        goes = lambda c: to.select(F.col("from").alias(c), F.col("to").alias(f"{c}_to"))
-        labels = cut(labels.join(goes("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")))
-        moved = left.join(goes("a"), "a").join(goes("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        left = cut(moved.filter("a < b").distinct())
+        moves = cut(_sent(to, "to", to.filter("from <> to")).filter("from <> to"))
+        labels = cut(_sent(labels, "component", moves))
+        ends = _sent(_sent(left, "a", moves), "b", moves)
+        left = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     return labels
