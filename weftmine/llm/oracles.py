@@ -97,6 +97,40 @@ def _pattern(part) -> str:
     return f"(?:[^ ]+ ){{0,{part[1]}}}" if part[0] == "var" else f"(?:{''.join(map(_pattern, part[1]))})?"
 
 
+#: CRC-32 by a table of 256 remainders, each of eight steps.
+OP11 = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc
+), turns AS (
+  SELECT conv_id, digest, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM (
+    SELECT conv_id, turn, length(coalesce(text, '')) AS n, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations)
+), rebuilt AS (
+  SELECT i.conv_id, t.p, t.digest, t.n FROM ids i JOIN turns t ON t.conv_id = i.base AND t.p <= i.h
+  UNION ALL
+  SELECT i.conv_id, t.p, t.digest, t.n FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.p > i.h
+), paths AS (
+  SELECT conv_id, row_number() OVER w AS d, n, string_agg(digest, '') OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM ids
+), nodes AS (
+  SELECT path, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS members, (count(*) - 1) * any_value(n) AS saved, CASE WHEN any_value(d) > 0 THEN left(path, (any_value(d) - 1) * 64) END AS parent FROM paths GROUP BY path
+), kids AS (
+  SELECT parent, count(*) AS kids FROM nodes GROUP BY parent
+), ended AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(path, d) AS path FROM paths GROUP BY conv_id) GROUP BY path
+), below AS (
+  SELECT a.path, count(*) FILTER (k.kids IS NULL) AS leaves, sum(q.saved) AS saved FROM nodes q LEFT JOIN kids k ON k.parent = q.path JOIN paths a ON a.conv_id = q.conv_id AND a.d <= q.d GROUP BY a.path
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.members AS n_convs, coalesce(k.kids, 0) AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN nodes u ON u.path = n.parent LEFT JOIN kids k ON k.parent = n.path LEFT JOIN ended e ON e.path = n.path
+"""
+
+
 def op2() -> str:
     """Phrases by list positions, templates as regular expressions over the words joined by spaces. What a template begins with is looked for as a plain string first, as regular expressions are slow."""
     places = [
@@ -134,4 +168,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op2_license_scan": op2(), "op4_min_max_hash": OP4, "op9_segment_search": OP9, "op10_url_filter": OP10}
+    return {"op1_mix_sources": OP1, "op2_license_scan": op2(), "op4_min_max_hash": OP4, "op9_segment_search": OP9, "op10_url_filter": OP10, "op11_turn_trie": OP11}

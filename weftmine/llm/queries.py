@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmine.llm import gif, htmltext, licenses, mixing, neardup, packing, quality, suffixdedup, topk, urlfilter
+from weftmine.llm import gif, htmltext, licenses, mixing, neardup, packing, quality, suffixdedup, topk, turntrie, urlfilter
 from weftmine.session import prepare, table
 
 
@@ -58,13 +58,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.trie(turntrie.spliced(turntrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op7_html_blocks, op8_attention_quality, op9_segment_search, op10_url_filter, pipeline]
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op7_html_blocks, op8_attention_quality, op9_segment_search, op10_url_filter, op11_turn_trie, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
