@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmine.llm import gif, htmltext, licenses, mixing, neardup, packing, quality, suffixdedup, topk, turntrie, urlfilter
+from weftmine.llm import gif, htmltext, licenses, mixing, neardup, packing, quality, signcodes, suffixdedup, topk, turntrie, urlfilter, whitening
 from weftmine.session import prepare, table
 
 
@@ -62,13 +62,21 @@ def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.trie(turntrie.spliced(turntrie.sequences(table(spark, sf_dir, "conversations"))))
 
 
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sign_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signcodes.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op7_html_blocks, op8_attention_quality, op9_segment_search, op10_url_filter, op11_turn_trie, pipeline]
+QUERIES = [op1_mix_sources, op2_license_scan, op3_gif, op4_min_max_hash, op5_best_two_fit, op6_suffix_dedup, op7_html_blocks, op8_attention_quality, op9_segment_search, op10_url_filter, op11_turn_trie, op12_tsqr_whitening, op13_sign_codes, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
