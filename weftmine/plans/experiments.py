@@ -60,12 +60,19 @@ def key(config: dict) -> str:
 
 
 def checked(config: dict) -> dict:
-    """The configuration, if weights of terms that are on are positive and none is negative."""
-    for name, value in {**config.get("weight", {}), **config.get("graph", {}), **config.get("l1", {})}.items():
-        if value < 0:
+    """The configuration, if no weight is negative, a view is on, and numbers of topics and rounds are whole and positive."""
+    for part in ("weight", "graph", "l1"):
+        for name, value in config.get(part, {}).items():
+            if value < 0:
+                raise ValueError(f"{part} {name} must not be negative")
+    for name in ("contra", "knowledge", "hyper"):
+        if config.get(name, 0) < 0:
             raise ValueError(f"{name} must not be negative")
     if not any(config.get("weight", {}).values()):
         raise ValueError("no view is on")
+    for name, value in (("k", config.get("k", 1)), ("iterations", config.get("training", {}).get("iterations", 1))):
+        if not isinstance(value, int) or value < 1:
+            raise ValueError(f"{name} must be a whole number from 1")
     return config
 
 

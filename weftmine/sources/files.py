@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -245,13 +246,24 @@ def write_results(df: DataFrame, path: str, kind: str = "csv") -> None:
     (writer.option("header", True).csv if kind == "csv" else writer.json)(path)
 
 
+def moved(spark: SparkSession, path: str, to: str, over: bool = False) -> None:
+    """Give a file or folder another name in one step; ``over``: a file that is there goes in the same step."""
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if over else kind.NONE
+    system = where(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = system.makeQualified(where(to))
+    system.mkdirs(target.getParent())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(system.makeQualified(where(path)), target, options)
+
+
 def write_json(spark: SparkSession, value: object, path: str) -> None:
-    """A small document in one step, on any file system: written beside its place, then moved there."""
+    """A small document, on any file system: written beside its place, then moved there in one step, so that readers see the old one or the new one."""
     where = spark._jvm.org.apache.hadoop.fs.Path
-    system = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = system.create(where(f"{path}.tmp"), True)
+    folder, name = os.path.split(path)
+    beside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    out = where(beside).getFileSystem(spark._jsc.hadoopConfiguration()).create(where(beside), True)
     out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
     out.close()
-    system.delete(where(path), False)
-    if not system.rename(where(f"{path}.tmp"), where(path)):
-        raise OSError(f"could not write {path}")
+    moved(spark, beside, path, over=True)
