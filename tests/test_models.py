@@ -55,12 +55,22 @@ def test_a_case_in_words(spark):
 
 def test_families(spark):
     r = random.Random(1)
-    rows = [(v, s, r.random() + (0.5 if v == "full" else 0.0), None if s == 3 else 1.0) for v in ("full", "less", "none") for s in range(12)]
-    results = table(spark, rows, "variant string, seed int, a double, b double")
-    got = {(x.variant, x.metric): x for x in stats.family_tests(results, "full", {"a": 0.01, "b": 0.01}).collect()}
-    assert set(got) == {(v, m) for v in ("less", "none") for m in "ab"}
-    assert got["less", "a"].verdict == got["none", "a"].verdict == "worse" and got["less", "a"].n == 12
-    assert got["less", "b"].verdict == "not significant, negligible" and got["less", "b"].n == 11 and got["less", "b"].effect == 0
+    rows = [(v, s, r.random() + (0.5 if v == "full" else 0.0), r.random() + (11 if v == "full" else 0), None if s == 3 else 1.0) for v in ("full", "less", "none") for s in range(12)]
+    results = table(spark, rows, "variant string, seed int, map double, ppl double, b double")
+    pairs = [*stats.against("full", ["less", "none"], {"map": (True, 0.01), "b": (True, 0.01)}, "one"), ("two", "less", "full", "ppl", False, 1.0), ("two", "full", "none", "ppl", False, 1.0), ("two", "full", "missing", "ppl", False, 1.0)]
+    got = {(x.family, x.a, x.b, x.metric): x for x in stats.family_tests(results, table(spark, pairs, stats.COMPARISON)).collect()}
+    assert len(got) == 6
+    assert got["one", "full", "less", "map"].verdict == got["one", "full", "none", "map"].verdict == "better" and got["one", "full", "less", "map"].n == 12
+    same = got["one", "full", "less", "b"]
+    assert same.verdict == "not significant, negligible" and same.n == 11 and same.effect == 0 and same.p == 1 and same.nonzero == 0
+    # Less perplexity is better, whichever side has it.
+    assert got["two", "less", "full", "ppl"].verdict == "better" and got["two", "full", "none", "ppl"].verdict == "worse" and got["two", "less", "full", "ppl"].median > 10
+    # Corrected over the family's four tests, not those of one metric.
+    p = sorted(x.p for k, x in got.items() if k[0] == "one")
+    assert got["one", "full", "less", "map"].holm in (pytest.approx(4 * p[0]), pytest.approx(max(4 * p[0], 3 * p[1])))
+    for nothing in (lambda: stats.families(), lambda: hypergraph.bundle([]), lambda: hypergraph.together()):
+        with pytest.raises(ValueError, match="given"):
+            nothing()
     both = stats.families(one=results, two=results.drop("b"))
     assert both.count() == 72 and both.filter("family = 'two' AND b IS NULL").count() == 36
     assert {x.variant for x in stats.renamed(results, "variant", {"full": "all"}).collect()} == {"all", "less", "none"}

@@ -65,7 +65,7 @@ def test_a_broken_run_goes_on(spark, inputs, tmp_path, monkeypatch):
 
 def test_starts_selections_and_baselines(spark, inputs):
     splits = runner.parts(inputs, runner.merged(runner.DEFAULTS, BASE))
-    for change in ({"training": {"start": "nndsvd", "stop_early": True, "every": 1, "patience": 1, "select": "best"}}, {"model": "kl"}, {"input": {"idf": False, "norm": "l1"}, "training": {"metric": "map", "average": 2, "select": "average"}}):
+    for change in ({"training": {"start": "nndsvd", "stop_early": True, "every": 1, "patience": 1, "select": "best"}}, {"model": "kl"}, {"roles": 2}, {"input": {"idf": False, "norm": "l1"}, "training": {"metric": "map", "average": 2, "select": "average"}}):
         found = runner.train(spark, inputs, splits, runner.merged(runner.merged(runner.DEFAULTS, BASE), change))
         assert {v: m.count() for v, m in found.loadings.items()} == {"ph": 12, "ps": 8}
         assert found.loadings["ph"].filter("v < 0 OR isnan(v)").count() == 0

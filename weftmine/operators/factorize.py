@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmine.operators.linalg import gram, product
-from weftmine.session import cut
+from weftmine.operators.infer import dense
+from weftmine.operators.linalg import CELLS, gram, product
+from weftmine.operators.tallskinny import leading, summed
+from weftmine.session import cut, stored
 
 EPS = 1e-10
 VIEWS = ("ph", "ps", "pd", "pair")
@@ -65,6 +67,35 @@ def drawn(n_items: dict[str, int], k: int, seed: int = 0, roles: int = 1) -> Fac
     return {v: np.abs(r.normal(size=(n, k * (roles if v == "ph" else 1)))) * 0.1 + 1e-4 for v, n in n_items.items()}
 
 
+def _drawn(seed: int, *places: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) from a seed and places, the same wherever and in whatever order they are drawn."""
+    x = np.full(np.broadcast_shapes(*(np.shape(p) for p in places)), seed, np.uint64)
+    with np.errstate(over="ignore"):
+        for p in places:
+            x = (x ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) / 2.0**53
+
+
+def by_roles(state: DataFrame, h: Factors, roles: int, seed: int = 0, noise: float = 0.01) -> tuple[DataFrame, Factors]:
+    """A start of k topics dealt out to roles: each role gets an equal share of every number, raised by up to ``noise`` of it, as drawn by hashes of role, row and column.
+
+    g and ph become roles * k wide, role by role; other views stay as they are. g's draws are by pid, so that they don't hang on partitions.
+    """
+    h, k = dict(h), h["ph"].shape[1]
+    item, topic = np.arange(len(h["ph"]))[:, None], np.arange(k)[None]
+    h["ph"] = np.hstack([np.maximum(h["ph"] / roles * (1 + noise * _drawn(seed, np.uint64(r), item, topic)), EPS) for r in range(roles)])
+
+    def share(r: int):
+        draw = lambda i: F.pmod(F.xxhash64("pid", F.lit(seed), F.lit(r), i), F.lit(1_000_003)) / 1_000_003
+        return F.transform("g", lambda x, i: F.greatest(x / roles * (1 + noise * draw(i)), F.lit(EPS)))
+
+    parts = [share(r) for r in range(roles)]
+    return cut(state.withColumn("g", F.concat(*parts))), h
+
+
 def _arrays(batch: pa.RecordBatch, view: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, item and value of a batch's cells."""
     items, values = batch.column(f"{view}_i"), batch.column(f"{view}_v")
@@ -172,6 +203,11 @@ def _fold(m: np.ndarray, roles: int, axes: tuple[int, ...]) -> np.ndarray:
     return m
 
 
+def over_roles(m: np.ndarray, roles: int) -> np.ndarray:
+    """Loadings of roles * k topics, summed over roles."""
+    return _fold(m, roles, (1,))
+
+
 def _seen(s: dict[str, np.ndarray], view: str, roles: int) -> tuple[np.ndarray, np.ndarray]:
     """X'G and G'G as a view's loadings see them."""
     if view == "ph" or roles == 1:
@@ -336,30 +372,30 @@ def refined(view: str, h: Factors, s: dict[str, np.ndarray], terms: Terms, steps
     return h[view]
 
 
-def nndsvd(rows: DataFrame, view: str, n_items: int, k: int) -> tuple[np.ndarray, DataFrame]:
-    """Starting loadings and g (pid, g) from the leading singular vectors, found from the items' Gram matrix.
+def nndsvd(rows: DataFrame, view: str, n_items: int, k: int, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """Starting loadings and g (pid, g) from the leading singular vectors, found by random projections, so that no table of items by items is made.
 
-    The first pair are the root of the mean of all cells; of each other pair the half of one sign that weighs more is kept. g's rows sum to 1.
+    The first pair are the root of the mean of all cells; of each other pair the half of one sign that weighs more is kept. g's rows sum to 1. Pairs beyond what the table has are at the floor.
     """
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mean, n = np.zeros((n_items, n_items)), np.zeros(n_items), 0
-        for batch in batches:
-            row, item, value = _arrays(batch, view)
-            x = np.zeros((batch.num_rows, n_items))
-            x[row, item] = value
-            total, mean, n = total + x.T @ x, mean + x.sum(0), n + batch.num_rows
-        both = np.concatenate([total.ravel(), mean, [n]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)), pa.int64()), pa.array(both)], names=["at", "v"])
-
-    flat = np.zeros(n_items * n_items + n_items + 1)
-    for at, v in rows.mapInArrow(second, "at long, v double").groupBy("at").agg(F.sum("v")).collect():
-        flat[at] = v
-    n = max(flat[-1], 1.0)
-    mean = flat[n_items * n_items : -1].sum() / (n * n_items)
-    values, vectors = np.linalg.eigh(flat[: n_items * n_items].reshape(n_items, n_items))
-    order = np.argsort(-values)[:k]
-    sigma, v = np.sqrt(np.maximum(values[order], EPS)), vectors[:, order]
+    def product(batch: pa.RecordBatch, m: np.ndarray) -> np.ndarray:
+        row, item, value = _arrays(batch, view)
+        out = np.zeros((batch.num_rows, m.shape[1]))
+        np.add.at(out, row, value[:, None] * m[item])
+        return out
+
+    def back(batch: pa.RecordBatch, y: np.ndarray) -> np.ndarray:
+        row, item, value = _arrays(batch, view)
+        out = np.zeros((n_items, y.shape[1]))
+        np.add.at(out, item, value[:, None] * y[row])
+        return out
+
+    found = leading(rows, product, back, n_items, min(k, n_items), seed=seed)
+    cells = rows.agg(F.count("*").alias("n"), F.sum(F.aggregate(f"{view}_v", F.lit(0.0), lambda s, v: s + v)).alias("total")).first()
+    mean = (cells.total or 0.0) / max(1, cells.n * n_items)
+    sigma, v = (np.pad(a, [(0, 0)] * (a.ndim - 1) + [(0, k - a.shape[-1])]) for a in (found.values, found.vectors))
+    sigma = np.maximum(sigma, EPS)
+    order = np.arange(k)
 
     def left(batch: pa.RecordBatch) -> np.ndarray:
         row, item, value = _arrays(batch, view)
@@ -430,12 +466,46 @@ def em_step(x: DataFrame, theta: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def em_fit(x: DataFrame, theta: DataFrame, p: DataFrame, iterations: int = 10, tolerance: float = 1e-4) -> DataFrame:
-    """Rounds of em_step until no share moves by more than ``tolerance``."""
-    theta = cut(theta)
+    """Rounds of em_step until no share moves by more than ``tolerance``.
+
+    Shares of CELLS cells at most, such as a model's, go to the tasks, where each entity is a row of its items and mixture; a round brings back items by topics from each task. Larger ones are joined.
+    """
+    if p.limit(CELLS + 1).count() > CELLS:
+        theta = cut(theta)
+        for _ in range(iterations):
+            new = stored(em_step(x, theta, p))
+            change = new.join(p.withColumnRenamed("v", "old"), ["item", "k"], "full").agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            p = new
+            if (change or 0.0) <= tolerance:
+                break
+        return p
+    kinds = dict(p.dtypes)
+    items, topics, m = dense(p)
+    spark = x.sparkSession
+    numbers = lambda values, name, no: spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} {kinds[name]}, {no} int")
+    lists = lambda rows, name, no: rows.groupBy("pid").agg(F.collect_list(F.struct(F.col(no).alias("i"), F.col(name).cast("double").alias("v"))).alias(f"__{no}"))
+    cells = lists(x.join(numbers(items, "item", "item_no"), "item"), "val", "item_no")
+    mixed = lists(theta.join(numbers(topics, "k", "topic_no"), "k"), "v", "topic_no")
+    part = lambda c, f, kind: F.col(f"__{c}.{f}").cast(f"array<{kind}>")
+    rows = cells.join(mixed, "pid").select(part("item_no", "i", "int").alias("x_i"), part("item_no", "v", "double").alias("x_v"), part("topic_no", "i", "int").alias("t_i"), part("topic_no", "v", "double").alias("t_v"))
+    rows = cut(rows)
     for _ in range(iterations):
-        new = cut(em_step(x, theta, p))
-        change = new.join(p.withColumnRenamed("v", "old"), ["item", "k"], "full").agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        p = new
-        if (change or 0.0) <= tolerance:
+        held = m
+
+        def shares(batch: pa.RecordBatch) -> np.ndarray:
+            row, item, value = _arrays(batch, "x")
+            of, topic, weight = _arrays(batch, "t")
+            t, out = np.zeros((batch.num_rows, len(topics))), np.zeros(held.shape)  # noqa: B023
+            np.add.at(t, (of, topic), weight)
+            both = t[row] * held[item]  # noqa: B023
+            seen = both.sum(1)
+            use = seen > EPS
+            np.add.at(out, item[use], both[use] * (value[use] / seen[use])[:, None])
+            return out
+
+        r = summed(rows, shares, m.shape)
+        m = r / np.maximum(r.sum(0), EPS)
+        if np.abs(m - held).max(initial=0.0) <= tolerance:
             break
-    return p
+    at = np.argwhere(m > 0)
+    return spark.createDataFrame([(items[i], topics[j], float(m[i, j])) for i, j in at.tolist()], f"item {kinds['item']}, k {kinds['k']}, v double")

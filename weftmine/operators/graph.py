@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmine.operators.prefix import prefix_sums
+from weftmine.session import cut
+
 
 def swapped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("j").alias("i"), F.col("i").alias("j"), *(c for c in edges.columns if c not in ("i", "j")))
@@ -40,6 +43,34 @@ def cosine(attributes: DataFrame, rescale: bool = True) -> DataFrame:
     return dots.withColumn("sim", (F.col("sim") + 1) / 2) if rescale else dots
 
 
+def with_zeros(similar: DataFrame, nodes: DataFrame, k: int, zero: float = 0.0) -> DataFrame:
+    """similar (i, j, sim) with as many pairs of similarity ``zero`` as each item's k nearest may need, the ones with the smallest j first.
+
+    similar: all pairs whose similarity isn't ``zero``, in both directions; nodes: all items (item). Of an item with p pairs above ``zero``, the first k - p other items that have no
+    row are added, which is all that its k nearest can hold. Items are numbered in order; where the t-th of an item's own rows stands at e_t, e_t - t others come before it, so
+    that counting its rows by this difference tells where the c-th of the others is. No pair that isn't added is made.
+    """
+    order = prefix_sums(nodes.select("item").distinct().withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0)), ["__all"], ["item"], "__one", "__at")
+    order = cut(order.select("item", F.col("__at").cast("long").alias("__at")))
+    place = lambda df, c: df.join(order.select(F.col("item").alias(c), "__at"), c)
+    own = similar.filter(F.col("sim") != zero).select("i", "j").union(order.select("item", "item"))
+    rows = place(own, "j").withColumn("__t", F.row_number().over(Window.partitionBy("i").orderBy("__at")) - 1)
+    before = rows.withColumn("__gap", F.col("__at") - F.col("__t")).filter(F.col("__gap") < k).groupBy("i", "__gap").agg(F.count("*").alias("n"))
+    passed = before.groupBy("i").agg(F.collect_list(F.struct("__gap", "n")).alias("__passed"))
+    above = similar.filter(F.col("sim") > zero).groupBy("i").agg(F.count("*").alias("__above"))
+    missing = order.select(F.col("item").alias("i")).join(above, "i", "left").join(passed, "i", "left").withColumn("__need", k - F.coalesce("__above", F.lit(0))).filter("__need > 0")
+    missing = missing.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__need") - 1)))
+    skipped = F.aggregate(F.coalesce("__passed", F.array().cast("array<struct<__gap:bigint,n:bigint>>")), F.lit(0).cast("long"), lambda s, x: s + F.when(x["__gap"] <= F.col("c"), x["n"]).otherwise(0))
+    added = missing.select("i", (F.col("c") + skipped).alias("__at")).join(order, "__at").select("i", F.col("item").alias("j"), F.lit(zero).alias("sim"))
+    return similar.filter(F.col("sim") != zero).select("i", "j", "sim").union(added)
+
+
+def feature_neighbours(attributes: DataFrame, k: int, nodes: DataFrame | None = None) -> DataFrame:
+    """i, j, sim: exactly k others of each item (all, if fewer) by (cosine + 1) / 2, ties to the smaller j; what shares no attribute has 0.5, what is opposed less. nodes: items that may lack attributes."""
+    pairs = with_zeros(cosine(attributes, rescale=False), attributes.select("item") if nodes is None else nodes, k)
+    return nearest(pairs, k).withColumn("sim", (F.col("sim") + 1) / 2)
+
+
 def jaccard(members: DataFrame) -> DataFrame:
     """i, j, sim of items (item, attr) that share an attribute."""
     sizes = members.groupBy("item").agg(F.count("*").alias("n"))

@@ -35,6 +35,8 @@ def by_attributes(similar: DataFrame, every: DataFrame, least: float, top_k: int
 
 def together(**edges: DataFrame) -> DataFrame:
     """Hyper-edges of several kinds in one table; each edge's name begins with its kind's."""
+    if not edges:
+        raise ValueError("no kind of hyper-edges is given")
     out = None
     for kind, rows in edges.items():
         named = rows.select(F.concat(F.lit(f"{kind}:"), F.col("edge").cast("string")).alias("edge"), "members", "weight")
@@ -44,6 +46,8 @@ def together(**edges: DataFrame) -> DataFrame:
 
 def bundle(parts: list[tuple[float, DataFrame]]) -> DataFrame:
     """i, j, v: the sum of the Laplacians of hyper-edge tables, each times its weight; parts of weight 0 are off, and with all off no row is left."""
+    if not parts:
+        raise ValueError("no hyper-edges are given")
     out = None
     for weight, edges in parts:
         scaled = laplacian(edges).select("i", "j", (F.col("v") * weight).alias("v"))

@@ -100,26 +100,41 @@ def ranked(found: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.filter(F.col("rank") <= most)
 
 
+def folded(z: DataFrame, topics: int) -> DataFrame:
+    """Mixtures (pid, k, v) of ``topics`` topics for each of several roles, numbered from 0 role by role, summed over roles."""
+    return z.groupBy("pid", F.pmod("k", F.lit(topics)).cast(dict(z.dtypes)["k"]).alias("k")).agg(F.sum("v").alias("v"))
+
+
 def greedy_formula(found: DataFrame, conflict: DataFrame, most: int = 10, weight: float = 0.5, mode: str = "soft") -> DataFrame:
-    """pid, step, item, score: the best item again and again, each choice lowering (or, hard, ruling out) those in conflict with it, until none is above 0."""
-    pid, item = dict(found.dtypes)["pid"], dict(found.dtypes)["item"]
+    """pid, step, item, score: the best item again and again (ties to the larger), each choice lowering by ``weight`` (or, hard, ruling out) those in conflict with it, until none is above 0.
+
+    An entity's scores are one array, which is folded ``most`` times; each item brings the items it is in conflict with.
+    """
+    if mode not in ("soft", "hard"):
+        raise ValueError(f"unknown mode {mode}")
+    item = dict(found.dtypes)["item"]
+    cell, chosen = f"struct<score:double,item:{item},foes:array<{item}>,hits:int>", f"struct<item:{item},score:double>"
     against = conflict.groupBy(F.col("i").alias("item")).agg(F.collect_set("j").alias("foes"))
     rows = found.join(against, "item", "left")
+    rows = rows.groupBy("pid").agg(F.collect_list(F.struct(F.col("score").cast("double").alias("score"), "item", "foes", F.lit(0).alias("hits"))).cast(f"array<{cell}>").alias("cells"))
+    nothing, none = F.array().cast(f"array<{cell}>"), F.array().cast(f"array<{chosen}>")
+
+    def choose(state, _):
+        best = F.array_max(F.transform(state["left"], lambda x: F.struct((x["score"] - weight * x["hits"]).alias("score"), x["item"].alias("item"), x["foes"].alias("foes"))))
+        lower = lambda x, b: x["hits"] + F.coalesce(F.array_contains(b["foes"], x["item"]), F.lit(False)).cast("int")
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        foes = {r.item: set(r.foes) if r.foes is not None else set() for r in frame.itertuples()}
-        left = dict(zip(frame["item"], frame["score"], strict=True))
-        out = []
-        while left and len(out) < most:
-            best = max(left, key=lambda i: (left[i], i))
-            if not left[best] > 0:
-                break
-            out.append((frame["pid"].iloc[0], len(out) + 1, best, left.pop(best)))
-            for other in foes[best] & left.keys():
-                left[other] = -np.inf if mode == "hard" else left[other] - weight
-        return pd.DataFrame(out, columns=["pid", "step", "item", "score"])
+        def taken(b):
+            rest = F.transform(F.filter(state["left"], lambda x: x["item"] != b["item"]), lambda x: F.struct(x["score"].alias("score"), x["item"].alias("item"), x["foes"].alias("foes"), lower(x, b).alias("hits")))
+            rest = F.filter(rest, lambda x: x["hits"] == 0) if mode == "hard" else rest
+            good = b["score"] > 0
+            more = F.concat(state["chosen"], F.array(F.struct(b["item"].alias("item"), b["score"].alias("score"))))
+            return F.struct(F.when(good, rest).otherwise(nothing).cast(f"array<{cell}>").alias("left"), F.when(good, more).otherwise(state["chosen"]).cast(f"array<{chosen}>").alias("chosen"))
 
-    return rows.groupBy("pid").applyInPandas(choose, f"pid {pid}, step int, item {item}, score double")
+        return F.transform(F.array(best), taken)[0]
+
+    start = F.struct(F.col("cells").alias("left"), none.alias("chosen"))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, choose, lambda state: state["chosen"])
+    return rows.select("pid", F.posexplode(steps).alias("step", "c")).select("pid", (F.col("step") + 1).alias("step"), "c.item", "c.score")
 
 
 def topic_items(h: DataFrame, most: int) -> DataFrame:
@@ -128,6 +143,21 @@ def topic_items(h: DataFrame, most: int) -> DataFrame:
     return h.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("k", "item", "v", "rank")
 
 
+def explained(most: int, **sides: DataFrame) -> DataFrame:
+    """side, k, item, rank, v: the heaviest of each topic in each of several tables (item, k, v), such as loadings of the views, of doses, and mixtures with entities as items.
+
+    Items are given as text. Before rows of a topic meet, each task keeps only its ``most`` first ones, so that entities may be any number.
+    """
+    out = None
+    for side, rows in sides.items():
+        best = topic_items(rows.select(F.col("item").cast("string").alias("item"), "k", "v"), most)
+        named = best.select(F.lit(side).alias("side"), "k", "item", "rank", "v")
+        out = named if out is None else out.union(named)
+    if out is None:
+        raise ValueError("no side is given")
+    return out
+
+
 def topic_usage(z: DataFrame, n: int, most: int) -> DataFrame:
     """k, usage: topics by their mean weight over n entities."""
     usage = z.groupBy("k").agg(F.round(F.sum("v") / n, 6).alias("usage"))

@@ -45,8 +45,8 @@ def running_maxima(df: DataFrame, by: list[str], order: list[str | Column], valu
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the rank of ``value`` (not null) from 1 within ``by``, the mean of its places for equal ones. Only one row for each value is dealt by ranges and summed up; a value's rank goes back to its rows by a join."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__all", F.lit(0))
+    """Add ``out``: the rank of ``value`` (rows without one go) from 1 within ``by``, the mean of its places for equal ones. Only one row for each value is dealt by ranges and summed up; a value's rank goes back to its rows by a join."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__all", F.lit(0))
     placed = prefix_sums(counts, ["__all", *by], [value], "__n", "__before")
     ranks = placed.select(*by, value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmine.functions.ranktests import bootstrap_median, signed_rank_p
+from weftmine.operators.prefix import average_ranks, prefix_sums, running_maxima
 
 
 def paired(results: DataFrame, a: str, b: str, metric: str, keys: tuple[str, ...] = ("K", "seed")) -> DataFrame:
@@ -20,11 +21,8 @@ def outcomes(pairs: DataFrame) -> DataFrame:
 
 
 def signed_ranks(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Differences other than 0 with the average rank of their size. Without ``by`` all rows are ranked in one task."""
-    by = by or []
-    rows = pairs.filter("delta <> 0").withColumn("size", F.abs("delta"))
-    order, same = Window.partitionBy(*by).orderBy("size"), Window.partitionBy(*by, "size")
-    return rows.withColumn("rank", F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Differences other than 0 with the average rank of their size, by groups of any size."""
+    return average_ranks(pairs.filter("delta <> 0").withColumn("size", F.abs("delta")), by or [], "size", "rank")
 
 
 def rank_biserial(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -35,13 +33,14 @@ def rank_biserial(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """tests with ``holm``: step-down adjusted p-values, 1 at most. Without ``by`` all rows are ranked in one task."""
-    by = by or []
-    order = Window.partitionBy(*by).orderBy(p, *(c for c in tests.columns if c not in (p, *by)))
-    rows = tests.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    rows = rows.withColumn("__step", F.least(F.lit(1.0), F.col(p) * (F.col("__n") - F.col("__rn") + 1)))
-    upto = Window.partitionBy(*by).orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("holm", F.max("__step").over(upto)).drop("__rn", "__n", "__step")
+    """tests with ``holm``: step-down adjusted p-values, 1 at most, by families of any size. Equal p-values stand in the order of the other columns."""
+    columns, by = tests.columns, by or []
+    rows = tests.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1))
+    sizes = rows.groupBy("__all", *by).agg(F.count("*").alias("__n"))
+    order = [p, *(c for c in columns if c not in (p, *by))]
+    rows = prefix_sums(rows, ["__all", *by], order, "__one", "__before").join(sizes, ["__all", *by])
+    rows = rows.withColumn("__step", F.least(F.lit(1.0), F.col(p) * (F.col("__n") - F.col("__before"))))
+    return running_maxima(rows, ["__all", *by], ["__before"], "__step", "holm").select(*columns, "holm")
 
 
 def verdict(p: Column, delta: Column, practical: float, alpha: float = 0.05) -> Column:
@@ -70,6 +69,8 @@ def renamed(results: DataFrame, column: str, names: dict[str, str]) -> DataFrame
 
 def families(**results: DataFrame) -> DataFrame:
     """Results of several families in one table, with the family's name; what a family doesn't have is null."""
+    if not results:
+        raise ValueError("no family is given")
     out = None
     for name, rows in results.items():
         named = rows.withColumn("family", F.lit(name))
@@ -77,24 +78,44 @@ def families(**results: DataFrame) -> DataFrame:
     return out
 
 
-def family_tests(results: DataFrame, base: str, metrics: dict[str, float], *, variant: str = "variant", run: list[str] = ("seed",), alpha: float = 0.05) -> DataFrame:
-    """variant, metric, n, median, effect, w, p, low, high, holm, verdict: every other variant against the variant ``base``, run by run.
+#: What compares two variants: the family that p-values are corrected in, the variants, the metric, whether more of it is better, and from which difference on it matters.
+COMPARISON = "family string, a string, b string, metric string, higher_is_better boolean, practical double"
 
-    metrics: of each metric, from which difference on it matters. Runs that only one of two has, and blank or non-finite values, are left out. p-values of one metric
-    are a family for Holm's correction; medians, effects and tests are a table's groups, so that any number of variants is compared at once.
+
+def against(base: str, others: list[str], metrics: dict[str, tuple[bool, float]], family: str = "all") -> list[tuple]:
+    """Comparisons of ``base`` with each other variant. metrics: whether more is better, and from which difference on it matters."""
+    return [(family, base, other, metric, better, practical) for other in others for metric, (better, practical) in metrics.items()]
+
+
+def measurements(results: DataFrame, metrics: list[str], variant: str, run: list[str]) -> DataFrame:
+    """variant, run, metric, value of all finite numbers in a table with a column for each metric."""
+    long = results.select(F.col(variant).alias("variant"), *run, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(["variant", *run], metrics, "metric", "value")
+    return long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+
+
+def compared(long: DataFrame, comparisons: DataFrame, run: list[str]) -> DataFrame:
+    """The comparisons' columns, run, and delta of each run that both variants have: above 0 where a does better than b."""
+    side = lambda c, v: long.select(F.col("variant").alias(c), "metric", *run, F.col("value").alias(v))
+    both = comparisons.join(side("a", "__x"), ["a", "metric"]).join(side("b", "__y"), ["b", "metric", *run])
+    return both.withColumn("delta", F.when(F.col("higher_is_better"), F.col("__x") - F.col("__y")).otherwise(F.col("__y") - F.col("__x"))).drop("__x", "__y")
+
+
+def family_tests(results: DataFrame, comparisons: DataFrame, *, variant: str = "variant", run: list[str] = ("seed",), alpha: float = 0.05) -> DataFrame:
+    """Each comparison (COMPARISON) with n, nonzero, wins, mean, median, effect, w, p, low, high, holm, verdict, run by run.
+
+    A delta is above 0 where a does better, whichever way the metric points, so that "better" always speaks for a. Runs that only one of the two has, and blank or
+    non-finite values, are left out; a comparison without a common run has no row, and one with under two differences p = 1. Holm's correction goes over all comparisons of a
+    family, of whatever metrics. Any number of comparisons is tested at once: medians, effects and tests are a table's groups.
     """
-    long = None
-    for name in metrics:
-        value = F.col(name).cast("double")
-        one = results.filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(F.col(variant).alias("variant"), *run, F.lit(name).alias("metric"), value.alias("value"))
-        long = one if long is None else long.union(one)
-    own = long.filter(F.col("variant") == base).select("metric", *run, F.col("value").alias("__base"))
-    pairs = long.filter(F.col("variant") != base).join(own, ["metric", *run]).select("variant", "metric", (F.col("value") - F.col("__base")).alias("delta"))
-    by = ["variant", "metric"]
-    found = pairs.groupBy(*by).agg(F.median("delta").alias("median")).join(wilcoxon(pairs, by), by).join(rank_biserial(pairs, by), by, "left")
-    practical = F.element_at(F.create_map(*(F.lit(x) for pair in metrics.items() for x in pair)), F.col("metric"))
-    found = holm(found.withColumn("effect", F.coalesce("effect", F.lit(0.0))), "p", ["metric"])
-    return found.withColumn("verdict", verdict(F.col("holm"), F.col("median"), practical, alpha))
+    run = list(run)
+    metrics = [r.metric for r in comparisons.select("metric").distinct().orderBy("metric").collect()]
+    pairs = compared(measurements(results, metrics, variant, run), comparisons, run)
+    by = ["family", "a", "b", "metric"]
+    count = lambda c: F.count_if(c)
+    found = pairs.groupBy(*by).agg(count(F.col("delta") != 0).alias("nonzero"), count(F.col("delta") > 0).alias("wins"), F.avg("delta").alias("mean"), F.median("delta").alias("median"), F.first("practical").alias("practical"))
+    found = found.join(wilcoxon(pairs, by), by).join(rank_biserial(pairs, by), by, "left").withColumn("effect", F.coalesce("effect", F.lit(0.0)))
+    found = holm(found, "p", ["family"]).withColumn("verdict", verdict(F.col("holm"), F.col("median"), F.col("practical"), alpha))
+    return found.select(*by, "n", "nonzero", "wins", "mean", "median", "effect", "w", "p", "low", "high", "holm", "verdict")
 
 
 def change(summary: DataFrame, value: str, metric: str, default) -> DataFrame:
@@ -103,10 +124,10 @@ def change(summary: DataFrame, value: str, metric: str, default) -> DataFrame:
     return summary.select(value, metric, (F.try_divide(F.col(metric) - F.lit(own), F.abs(F.lit(own))) * 100).alias("percent"))
 
 
-def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """pearson, spearman, slope, intercept. All rows are ranked in one task: for summaries that one task can hold."""
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    both = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+def correlation(rows: DataFrame, x: str, y: str, keep: Column | None = None) -> DataFrame:
+    """pearson, spearman, slope, intercept of the rows that have both numbers and that ``keep`` (such as a bound for outliers) holds for. Ranks are those of tables of any size."""
+    both = (rows if keep is None else rows.filter(keep)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    both = average_ranks(average_ranks(both, [], "x", "rx"), [], "y", "ry")
     return both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Tables that queries share, by name.
 SHARED = {
     "x": "SELECT DISTINCT l_orderkey AS pid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey",
@@ -63,8 +65,6 @@ SHARED = {
 
 
 def _needed(body: str) -> list[str]:
-    import re
-
     found: list[str] = []
 
     def visit(text: str) -> None:
@@ -81,7 +81,11 @@ def _needed(body: str) -> list[str]:
 def sql(body: str) -> str:
     """body with the shared tables it reads."""
     names = _needed(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({SHARED[n]})" for n in names) + "\n" if names else "") + body
+    own = re.match(r"WITH (RECURSIVE )?", body)  # a body's tables of its own come after the shared ones
+    parts = [f"{n} AS ({SHARED[n]})" for n in names]
+    if not own:
+        return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return own[0] + ",\n".join([*parts, body[own.end() :]])
 
 
 SHARED |= {
@@ -103,6 +107,15 @@ _BODIES = {
         JOIN (SELECT item, l AS k, sum(h.v * g1g1.v) AS v FROM h JOIN g1g1 ON h.k = g1g1.k GROUP BY ALL) d ON h.item = d.item AND h.k = d.k JOIN (SELECT k, sum(v) AS v FROM g1 GROUP BY k) s ON s.k = h.k""",
     "pgd_step_once": "SELECT g0.pid, g0.k, round(greatest(g0.v - 0.05 * (2 * (gd.v - coalesce(xh.v, 0)) + 0.1), 0), 6) AS v FROM g0 JOIN gd ON g0.pid = gd.pid AND g0.k = gd.k LEFT JOIN xh ON g0.pid = xh.pid AND g0.k = xh.k",
     "em_step_once": "SELECT item, k, round(r / sum(r) OVER (PARTITION BY k), 6) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM tp WHERE q > 1e-10 GROUP BY ALL)",
+    "em_fit_dot": """WITH th AS (SELECT pid, k, v / sum(v) OVER (PARTITION BY pid) AS t FROM (SELECT p.pid, t.k, coalesce(z.v, 0) + 0.1 AS v FROM (SELECT DISTINCT pid FROM z) p CROSS JOIN (SELECT DISTINCT k FROM hs) t LEFT JOIN z ON z.pid = p.pid AND z.k = t.k)),
+        p0 AS (SELECT item, k, v FROM h),
+        q1 AS (SELECT x.pid, x.item, k, t * v AS tv, sum(t * v) OVER (PARTITION BY x.pid, x.item) AS q FROM x JOIN th USING (pid) JOIN p0 USING (item, k)),
+        p1 AS (SELECT item, k, r / sum(r) OVER (PARTITION BY k) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM q1 WHERE q > 1e-10 GROUP BY ALL)),
+        q2 AS (SELECT x.pid, x.item, k, t * v AS tv, sum(t * v) OVER (PARTITION BY x.pid, x.item) AS q FROM x JOIN th USING (pid) JOIN p1 USING (item, k)),
+        p2 AS (SELECT item, k, r / sum(r) OVER (PARTITION BY k) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM q2 WHERE q > 1e-10 GROUP BY ALL)),
+        q3 AS (SELECT x.pid, x.item, k, t * v AS tv, sum(t * v) OVER (PARTITION BY x.pid, x.item) AS q FROM x JOIN th USING (pid) JOIN p2 USING (item, k)),
+        p3 AS (SELECT item, k, r / sum(r) OVER (PARTITION BY k) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM q3 WHERE q > 1e-10 GROUP BY ALL))
+        SELECT item, k, round(v, 6) AS v FROM p3""",
     "presence_long": "SELECT pid, item, 1.0::DOUBLE AS val FROM x",
     "doc_freq": "SELECT item, df FROM df",
     "tfidf_weights": "SELECT pid, item, round(val, 6) AS val FROM w",
@@ -153,6 +166,11 @@ _BODIES = {
     "cosine_knn": """SELECT i, j, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM (
         SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rn <= 5""",
     "feature_cosine_knn": "SELECT i, j, round((sim + 1) / 2, 6) AS sim FROM alike",
+    "feature_cosine_full": """WITH attrs AS (SELECT p_partkey AS item, 'size ' || p_size AS attr, 1.0::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, p_type, (p_size % 3 - 1)::DOUBLE FROM part),
+        units AS (SELECT item, attr, v / sqrt(sum(v * v) OVER (PARTITION BY item)) AS u FROM attrs),
+        dots AS (SELECT a.item AS i, b.item AS j, round(sum(a.u * b.u), 9) AS sim FROM units a JOIN units b ON a.attr = b.attr AND a.item <> b.item GROUP BY ALL)
+        SELECT i, j, round((sim + 1) / 2, 6) AS sim FROM (SELECT a.p_partkey AS i, b.p_partkey AS j, coalesce(sim, 0) AS sim, row_number() OVER (PARTITION BY a.p_partkey ORDER BY coalesce(sim, 0) DESC, b.p_partkey) AS rn
+            FROM part a JOIN part b ON a.p_partkey <> b.p_partkey LEFT JOIN dots ON dots.i = a.p_partkey AND dots.j = b.p_partkey) WHERE rn <= 60""",
     "jaccard_knn": "SELECT i, j, round(sim, 6) AS sim FROM jac",
     "symmetrize": "SELECT i, j, round(w, 6) AS w FROM g",
     "weighted_graph": "SELECT i, j, round(sum(w), 6) AS w FROM (SELECT i, j, 0.5 * w AS w FROM coadj UNION ALL SELECT i, j, 0.3 * w FROM catadj UNION ALL SELECT i, j, 0.2 * w FROM g) GROUP BY ALL",
@@ -176,8 +194,52 @@ _BODIES = {
     "recommend_dot": "SELECT pid, item, CAST(rank AS INT) AS rank, score FROM ranked WHERE rank <= 10",
     "dirichlet_smooth": "SELECT pid, k, round(v / sum(v) OVER (PARTITION BY pid), 6) AS v FROM (SELECT p.pid, t.k, coalesce(z.v, 0) + 0.1 AS v FROM (SELECT DISTINCT pid FROM z) p CROSS JOIN (SELECT DISTINCT k FROM hs) t LEFT JOIN z ON z.pid = p.pid AND z.k = t.k)",
     "dose_scores": "SELECT pid, h.item, round(sum(z.v * h.v * mean), 9) AS score FROM z JOIN h USING (k) JOIN (SELECT item, avg(dose) AS mean FROM dose GROUP BY item) d ON h.item = d.item GROUP BY ALL",
-    "explain_topic": """SELECT k, 'brand' AS side, item, CAST(rn AS INT) AS rank, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(v, 9) DESC, item DESC) AS rn FROM h) WHERE rn <= 5 UNION ALL
-        SELECT k, 'nation', item, CAST(rn AS INT), round(v, 6) FROM (SELECT k, item::VARCHAR AS item, v, row_number() OVER (PARTITION BY k ORDER BY round(v, 9) DESC, item::VARCHAR DESC) AS rn FROM hs) WHERE rn <= 5""",
+    "explain_topic": """SELECT side, k, item, CAST(rn AS INT) AS rank, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY side, k ORDER BY round(v, 9) DESC, item DESC) AS rn FROM (
+        SELECT 'brand' AS side, k, item, v FROM h UNION ALL SELECT 'nation', k, item::VARCHAR, v FROM hs UNION ALL
+        SELECT 'dose', k, item, v * mean FROM h JOIN (SELECT item, avg(dose) AS mean FROM dose GROUP BY item) USING (item) UNION ALL SELECT 'order', k, pid::VARCHAR, v FROM gx)) WHERE rn <= 5""",
+    "greedy_formula": """WITH RECURSIVE foes AS (SELECT i AS item, list(j) AS f FROM bad2 GROUP BY i), cells AS (SELECT pid, scores.item, score, coalesce(f, []) AS f FROM scores LEFT JOIN foes ON scores.item = foes.item),
+        chosen AS (SELECT pid, 0 AS step, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT pid FROM scores)
+        UNION ALL SELECT pid, step, taken, item, score FROM (SELECT c.pid, c.step + 1 AS step, list_append(c.taken, s.item) AS taken, s.item, s.score - 0.02::DOUBLE * len(list_intersect(c.taken, s.f)) AS score,
+            row_number() OVER (PARTITION BY c.pid ORDER BY s.score - 0.02::DOUBLE * len(list_intersect(c.taken, s.f)) DESC, s.item DESC) AS rn
+            FROM chosen c JOIN cells s ON c.pid = s.pid WHERE c.step < 5 AND NOT list_contains(c.taken, s.item)) WHERE rn = 1 AND score > 0)
+        SELECT pid, CAST(step AS INT) AS step, item, round(score, 6) AS score FROM chosen WHERE step > 0""",
+    "heldout_ppl_dot": """WITH cases AS (SELECT * FROM (VALUES (0.2::DOUBLE, 0.0::DOUBLE), (0.5, 0.0), (0.2, 0.1)) t(ratio, alpha), (VALUES (42), (7)) s(seed)),
+        placed AS (SELECT ratio, alpha, seed, pid, item, row_number() OVER (PARTITION BY ratio, alpha, seed, pid ORDER BY md5(pid || ':' || item || ':' || seed), item) AS p, count(*) OVER (PARTITION BY ratio, alpha, seed, pid) AS c FROM x, cases),
+        masked AS (SELECT *, p <= greatest(1, floor(c * ratio + 1e-9)) AS held FROM placed WHERE c >= 2),
+        mix AS (SELECT ratio, alpha, seed, pid, k, sum(v) AS z FROM masked JOIN h USING (item) WHERE NOT held GROUP BY ALL),
+        entity AS (SELECT DISTINCT ratio, alpha, seed, pid FROM masked),
+        smooth AS (SELECT e.ratio, e.alpha, e.seed, e.pid, t.k, coalesce(z, 0) + e.alpha AS z FROM entity e CROSS JOIN (SELECT DISTINCT k FROM h) t LEFT JOIN mix m ON m.ratio = e.ratio AND m.alpha = e.alpha AND m.seed = e.seed AND m.pid = e.pid AND m.k = t.k WHERE e.alpha > 0 OR z IS NOT NULL),
+        mixed AS (SELECT *, CASE WHEN alpha > 0 THEN z / sum(z) OVER (PARTITION BY ratio, alpha, seed, pid) ELSE z END AS t FROM smooth),
+        shares AS (SELECT k, v / (sum(v) OVER (PARTITION BY k) + 1e-10) AS ps, v, item FROM h),
+        preds AS (SELECT ratio, alpha, seed, pid, s.item, sum(t * CASE WHEN alpha > 0 THEN s.ps ELSE s.v END) AS q FROM mixed JOIN shares s USING (k) GROUP BY ALL),
+        totals AS (SELECT ratio, alpha, seed, pid, sum(q) + 1e-10 * (SELECT count(*) FROM nodes) AS total FROM preds GROUP BY ALL)
+        SELECT m.ratio, m.alpha, CAST(m.seed AS BIGINT) AS seed, count(*) AS n, round(exp(-avg(ln(CASE WHEN m.alpha > 0 THEN greatest(coalesce(q, 0), 1e-10) ELSE (coalesce(q, 0) + 1e-10) / total END))), 4) AS ppl
+        FROM masked m JOIN totals t USING (ratio, alpha, seed, pid) LEFT JOIN preds p ON p.ratio = m.ratio AND p.alpha = m.alpha AND p.seed = m.seed AND p.pid = m.pid AND p.item = m.item WHERE held GROUP BY m.ratio, m.alpha, m.seed""",
+    "role_folded_ppl": """WITH topics AS (SELECT p_type AS k, row_number() OVER (ORDER BY p_type) - 1 AS no FROM (SELECT DISTINCT p_type FROM part)),
+        roles AS (SELECT p_brand AS item, p_type AS k, p_size % 2 AS role, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+        hr AS (SELECT item, k, role, c / sum(c) OVER (PARTITION BY k, role) AS v FROM roles),
+        mix AS (SELECT x.pid, k, sum(v) AS z FROM x JOIN hr USING (item) WHERE x.pid IN (SELECT pid FROM s) GROUP BY ALL),
+        smooth AS (SELECT p.pid, t.k, coalesce(z, 0) + 0.1 AS z FROM (SELECT DISTINCT pid FROM mix) p CROSS JOIN topics t LEFT JOIN mix ON mix.pid = p.pid AND mix.k = t.k WHERE t.k IN (SELECT k FROM hs)),
+        both_ AS (SELECT 'plain' AS kind, pid, k, z FROM mix UNION ALL SELECT 'smoothed', pid, k, z / sum(z) OVER (PARTITION BY pid) FROM smooth),
+        shares AS (SELECT item, k, v, v / (sum(v) OVER (PARTITION BY k) + 1e-10) AS ps FROM hs),
+        preds AS (SELECT kind, pid, s.item, round(sum(z * CASE WHEN kind = 'plain' THEN s.v ELSE s.ps END), 9) AS q FROM both_ JOIN shares s USING (k) GROUP BY ALL),
+        totals AS (SELECT kind, pid, sum(q) + 1e-10 * 25 AS total FROM preds GROUP BY ALL)
+        SELECT t.kind, round(exp(-avg(ln((coalesce(q, 0) + 1e-10) / total))), 4) AS ppl FROM s JOIN totals t USING (pid) LEFT JOIN preds p ON p.kind = t.kind AND p.pid = s.pid AND p.item = s.item GROUP BY t.kind""",
+    "family_tests": """WITH runs AS (SELECT o_orderpriority AS variant, year(o_orderdate) AS seed, round(avg(o_totalprice), 2) AS price, round(stddev_pop(o_totalprice), 2) AS spread FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL),
+        long AS (SELECT variant, seed, 'price' AS metric, price AS value FROM runs UNION ALL SELECT variant, seed, 'spread', spread FROM runs),
+        kinds_ AS (SELECT DISTINCT variant AS v FROM runs),
+        comps AS (SELECT 'price' AS family, a.v AS a, b.v AS b, 'price' AS metric, 1 AS way, 500.0::DOUBLE AS practical FROM kinds_ a JOIN kinds_ b ON a.v < b.v
+            UNION ALL SELECT 'both', a.v, b.v, m.metric, m.way, m.practical FROM kinds_ a JOIN kinds_ b ON a.v < b.v AND a.v = (SELECT min(v) FROM kinds_), (VALUES ('price', 1, 500.0::DOUBLE), ('spread', -1, 300.0::DOUBLE)) m(metric, way, practical)),
+        deltas AS (SELECT family, a, b, c.metric, practical, way * (p.value - q.value) AS delta FROM comps c JOIN long p ON p.variant = a AND p.metric = c.metric JOIN long q ON q.variant = b AND q.metric = c.metric AND q.seed = p.seed),
+        ranks AS (SELECT *, CASE WHEN delta <> 0 THEN rank() OVER (PARTITION BY family, a, b, metric, delta <> 0 ORDER BY abs(delta)) END AS rk FROM deltas),
+        sums AS (SELECT family, a, b, metric, any_value(practical) AS practical, count(*) AS n, count(rk) AS nonzero, count(*) FILTER (delta > 0) AS wins, avg(delta) AS mean, median(delta) AS median,
+            coalesce(sum(sign(delta) * rk) / sum(rk), 0) AS effect, least(coalesce(sum(rk) FILTER (delta > 0), 0), coalesce(sum(rk) FILTER (delta < 0), 0)) AS w FROM ranks GROUP BY family, a, b, metric),
+        ways AS (SELECT n, list_sum(list_transform(range(0, n), lambda i: ((m >> CAST(i AS INT)) & 1) * (i + 1))) AS t, count(*) AS c FROM range(2, 11) k(n), range(0, 1024) s(m) WHERE m < (1 << CAST(n AS INT)) GROUP BY ALL),
+        tested AS (SELECT *, CASE WHEN nonzero < 2 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(c) FROM ways WHERE ways.n = nonzero AND t <= w) / pow(2, nonzero)) END AS p FROM sums),
+        steps AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, a, b, metric) + 1)) AS step FROM tested),
+        adjusted AS (SELECT *, max(step) OVER (PARTITION BY family ORDER BY p, a, b, metric) AS hp FROM steps)
+        SELECT family, a, b, metric, n, nonzero, wins, round(mean, 4) AS mean, round(median, 4) AS median, round(effect, 6) AS effect, round(w::DOUBLE, 6) AS w, round(p, 6) AS p, round(hp, 6) AS holm,
+        CASE WHEN hp >= 0.3 AND abs(median) < practical THEN 'not significant, negligible' WHEN hp >= 0.3 THEN 'not significant' WHEN abs(median) < practical THEN 'significant, negligible' WHEN median > 0 THEN 'better' ELSE 'worse' END AS verdict FROM adjusted""",
     "topic_usage_rank": "SELECT k, round(sum(v) / any_value(n), 6) AS usage FROM gx, n GROUP BY k ORDER BY usage DESC, k LIMIT 3",
     "active_topics": "SELECT pid, k, CAST(rn AS INT) AS rank, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(v, 9) DESC, k) AS rn FROM gx) WHERE rn <= 3",
     "precision_recall_k": "SELECT pid, count(val) FILTER (rank <= 5) AS hits, round(count(val) FILTER (rank <= 5) / 5, 6) AS p, round(count(val) FILTER (rank <= 5) / any_value(n_true), 6) AS r FROM judged GROUP BY pid",
@@ -217,7 +279,7 @@ _BODIES = {
     "holm": "SELECT seed, p, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm FROM (SELECT *, row_number() OVER (ORDER BY p, seed) AS rn, count(*) OVER () AS m FROM (SELECT seed, round(1 - abs(effect), 6) AS p FROM effect))",
     "interpretation": "SELECT seed, p, effect, CASE WHEN p >= 0.7 AND abs(effect) < 0.4 THEN 'not significant, negligible' WHEN p >= 0.7 THEN 'not significant' WHEN abs(effect) < 0.4 THEN 'significant, negligible' WHEN effect > 0 THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT seed, round(1 - abs(effect), 6) AS p, round(effect, 6) AS effect FROM effect)",
     "corr_regr": """SELECT round(corr(x, y), 5) AS pearson, round(corr(rx, ry), 5) AS spearman, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM (
-        SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT size::DOUBLE AS x, metric AS y FROM res WHERE metric < 1e6))""",
+        SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT size::DOUBLE AS x, metric AS y FROM res WHERE metric < 160000))""",
     "sweep_summary": "SELECT variant, count(*) AS n, round(avg(metric), 4) AS metric_mean, round(stddev_pop(metric), 4) AS metric_std FROM res GROUP BY variant",
     "best_setting": "SELECT variant, round(avg(metric), 4) AS metric_mean FROM res GROUP BY variant ORDER BY metric_mean DESC, variant LIMIT 1",
     "alias_lookup": "SELECT alias, canonical FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY no DESC) AS rn FROM (SELECT no, trim(unnest(string_split(value, ','))) AS alias, trim(split_part(value, ',', 1)) AS canonical FROM alines)) WHERE rn = 1",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, factorize, graph, hypergraph, infer, linalg, metrics, mining, split, stats, weighting
-from weftmine.session import prepare, table
+from weftmine.operators import constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, split, stats, weighting
+from weftmine.plans import experiments, runner
+from weftmine.session import prepare, shared_dir, table
 from weftmine.sources import files, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +241,15 @@ def feature_cosine_knn(spark, d):
     return _similar(spark, d).select("i", "j", F.round((F.col("sim") + 1) / 2, 6).alias("sim"))
 
 
+@query
+def feature_cosine_full(spark, d):
+    """Parts by size and type, with signs: exactly 60 neighbours of each, across cosine 0."""
+    part = table(spark, d, "part")
+    size = part.select(F.col("p_partkey").alias("item"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("attr"), F.lit(1.0).alias("v"))
+    kind = part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("attr"), (F.col("p_size") % 3 - 1).cast("double").alias("v"))
+    return graph.feature_neighbours(size.union(kind), 60).select("i", "j", r("sim"))
+
+
 def _loci(spark, d):
     return table(spark, d, "part").filter("p_size <= 20").select(F.col("p_brand").alias("item"), F.col("p_size").alias("attr")).distinct()
 
@@ -398,9 +409,10 @@ def dose_scores(spark, d):
 @query
 def explain_topic(spark, d):
     h, s = star.loadings(spark, d)
-    one = infer.topic_items(h, 5).select("k", F.lit("brand").alias("side"), "item", "rank", r("v"))
-    other = infer.topic_items(s.withColumn("item", F.col("item").cast("string")), 5).select("k", F.lit("nation").alias("side"), "item", "rank", r("v"))
-    return one.union(other)
+    mean = star.doses(spark, d).groupBy("item").agg(F.avg("dose").alias("mean"))
+    doses = h.join(mean, "item").select("item", "k", (F.col("v") * F.col("mean")).alias("v"))
+    orders = infer.by_dot(_values(_x(spark, d)), h).withColumnRenamed("pid", "item")
+    return infer.explained(5, brand=h, nation=s, dose=doses, order=orders).select("side", "k", "item", "rank", r("v"))
 
 
 @query
@@ -470,14 +482,42 @@ def crossmodal_ppl(spark, d):
 
 @query
 def heldout_ppl(spark, d):
-    """A fifth of each order's brands is held out, the rest gives its mixture."""
+    """A fifth of each order's brands is held out, the rest gives its mixture; three masks."""
     h, _ = star.loadings(spark, d)
-    own = Window.partitionBy("pid")
-    drawn = F.row_number().over(own.orderBy(split.draw("pid", "item", seed=42), "item"))
-    rows = _values(_x(spark, d)).withColumn("rn", drawn).withColumn("n", F.count("*").over(own)).filter("n >= 2")
-    held = F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
-    z = infer.infer(rows.filter(~held).select("pid", "item", "val"), h, "nnls")
-    return metrics.perplexity(infer.scores(z, h), rows.filter(held).select("pid", "item", "val"), _nodes(spark, d).count()).select(r("ppl", 4))
+    return heldout.heldout_perplexity(_values(_x(spark, d)), h, _nodes(spark, d).count(), seeds=(42, 43, 44)).select("seed", "n", r("ppl", 4))
+
+
+@query
+def heldout_ppl_dot(spark, d):
+    """A fifth and a half held out, by shares of scores and of topics."""
+    h, _ = star.loadings(spark, d)
+    x, n, out = _values(_x(spark, d)), _nodes(spark, d).count(), None
+    for ratio, alpha in ((0.2, None), (0.5, None), (0.2, 0.1)):
+        rows = heldout.heldout_perplexity(x, h, n, ratio=ratio, seeds=(42, 7), method="dot", alpha=alpha)
+        rows = rows.select(F.lit(ratio).alias("ratio"), F.lit(alpha or 0.0).alias("alpha"), "seed", "n", r("ppl", 4))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _role_loadings(spark, d):
+    """Brands by part types in two roles (parts of even and odd size), nations by part types; topics are numbered from 0 in order, role by role."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    names = [x.p_type for x in part.select("p_type").distinct().orderBy("p_type").collect()]
+    topics = spark.createDataFrame([(k, i) for i, k in enumerate(names)], "p_type string, no int")
+    lines = table(spark, d, "lineitem").select("l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).join(topics, "p_type")
+    counts = lines.groupBy(F.col("p_brand").alias("item"), (F.col("no") + F.col("p_size") % 2 * len(names)).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    total = counts.groupBy("k").agg(F.sum("n").alias("total"))
+    _, s = star.loadings(spark, d)
+    return counts.join(total, "k").select("item", "k", (F.col("n") / F.col("total")).alias("v")), s.join(topics, s["k"] == topics["p_type"]).select("item", F.col("no").alias("k"), "v"), len(names)
+
+
+@query
+def role_folded_ppl(spark, d):
+    """Nations of an order by mixtures from its brands, whose topics have two roles, by shares of scores and of topics."""
+    h, s, topics = _role_loadings(spark, d)
+    x, truth = _values(_x(spark, d)), _values(star.nations(spark, d))
+    plain, smooth = (heldout.predictive_perplexity(x, truth, h, s, 25, method="dot", alpha=alpha, topics=topics) for alpha in (None, 0.1))
+    return plain.select(F.lit("plain").alias("kind"), r("ppl", 4)).union(smooth.select(F.lit("smoothed"), r("ppl", 4)))
 
 
 @query
@@ -572,7 +612,7 @@ def interpretation(spark, d):
 
 @query
 def corr_regr(spark, d):
-    return stats.correlation(_results(spark, d).filter("metric < 1e6"), "size", "metric").select(*(r(c, 5) for c in ("pearson", "spearman", "slope", "intercept")))
+    return stats.correlation(_results(spark, d), "size", "metric", F.col("metric") < 160000).select(*(r(c, 5) for c in ("pearson", "spearman", "slope", "intercept")))
 
 
 @query
@@ -597,11 +637,25 @@ def subsample(spark, d):
     return split.subsample(_x(spark, d), 500, 7).groupBy("pid").agg(F.count("*").alias("n"))
 
 
+def _family(spark, d):
+    """Order priorities as variants, years as runs: mean price (more is better) and its spread (less is better); every two by price, and the first against the others by both."""
+    o = table(spark, d, "orders").filter("o_totalprice IS NOT NULL")
+    rows = o.groupBy(F.col("o_orderpriority").alias("variant"), F.year("o_orderdate").alias("seed")).agg(F.round(F.avg("o_totalprice"), 2).alias("price"), F.round(F.stddev_pop("o_totalprice"), 2).alias("spread"))
+    names = sorted(x.variant for x in rows.select("variant").distinct().collect())
+    pairs = [("price", a, b, "price", True, 500.0) for i, a in enumerate(names) for b in names[i + 1 :]]
+    pairs += stats.against(names[0], names[1:], {"price": (True, 500.0), "spread": (False, 300.0)}, "both")
+    return rows, spark.createDataFrame(pairs, stats.COMPARISON)
+
+
 @query
 def family_tests(spark, d):
-    """Every order priority against the first, month by month and year by year."""
-    rows = _results(spark, d)
-    return stats.family_tests(rows, rows.agg(F.min("variant")).first()[0], {"metric": 100.0, "size": 1.0}, run=["seed", "K"])
+    """All of the tests but for the bootstrap's bounds."""
+    return stats.family_tests(*_family(spark, d), alpha=0.3).select("family", "a", "b", "metric", "n", "nonzero", "wins", r("mean", 4), r("median", 4), r("effect"), r("w"), r("p"), r("holm"), "verdict")
+
+
+@query
+def family_bounds(spark, d):
+    return stats.family_tests(*_family(spark, d)).select("family", "a", "b", "metric", r("low", 4), r("high", 4))
 
 
 # Names and knowledge
@@ -695,6 +749,14 @@ def em_fit(spark, d):
     return factorize.em_fit(_values(_x(spark, d)), theta, h, 3).select("item", "k", r("v"))
 
 
+@query
+def em_fit_dot(spark, d):
+    """As em_fit, with mixtures by dot."""
+    h, s = star.loadings(spark, d)
+    theta = infer.smoothed(infer.by_dot(_values(star.nations(spark, d)), s), s, 0.1)
+    return factorize.em_fit(_values(_x(spark, d)), theta, h, 3, 0.0).select("item", "k", r("v"))
+
+
 def _fitted(spark, d, mode, terms=None, views=("ph", "ps"), iterations=5, rate=1e-5, k=4):
     x, n = _indexed(spark, d)
     x, n = {v: x[v] for v in views}, {v: n[v] for v in views}
@@ -742,3 +804,14 @@ def nndsvd_init(spark, d):
     x, n = _indexed(spark, d)
     h, _ = factorize.nndsvd(factorize.rows_of({"ph": x["ph"]}, n), "ph", n["ph"], 4)
     return spark.createDataFrame([(i, j, float(h[i, j])) for i in range(h.shape[0]) for j in range(h.shape[1])], "item int, k int, v double").select("item", "k", r("v", 4))
+
+
+@query
+def ablation_runs(spark, d):
+    """Two stages of the ablation from configuration to written metrics, read back: one run is done, then the folder is gone on with."""
+    inputs = runner.Inputs({"ph": _values(_x(spark, d)), "ps": _values(star.nations(spark, d))}, {"ph": _graph(spark, d)}, conflicts=_conflicts(spark, d))
+    base = {"k": 4, "graph": {"ph": 0.1}, "l1": {"g": 0.01}, "contra": 0.05, "training": {"iterations": 3}, "inference": {"method": "dot"}, "evaluate": {"ks": [5]}}
+    stages = [c for c in experiments.ablation(base, [1], [4]) if c["stage"] in ("full", "views_only")]
+    folder = f"{shared_dir(spark)}/ablation-{uuid.uuid4().hex}"
+    runner.run_all(spark, inputs, stages[:1], folder)
+    return runner.run_all(spark, inputs, stages, folder).select("stage", "seed", "k", "name", "rounds", "metric", r("value", 4))

@@ -15,7 +15,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,7 @@ DEFAULTS = {
     "k": 30,
     "seed": 42,
     "model": "views",
+    "roles": 1,
     "weight": {"ph": 1.0, "ps": 1.0},
     "graph": {},
     "laplacian": "none",
@@ -150,7 +151,7 @@ def _table(spark: SparkSession, at: dict, m: np.ndarray, view: DataFrame) -> Dat
 
 
 def train(spark: SparkSession, inputs: Inputs, splits: DataFrame, config: dict, on_step: Callable | None = None) -> Trained:
-    """A model of the training entities, by the configuration's terms and steps, or one of the baselines."""
+    """A model of the training entities, by the configuration's terms and steps, or one of the baselines. Loadings of several roles are given as their sums."""
     checked(config)
     x = weighted(inputs, splits, config)
     at = {view: numbered_items(inputs.views[view]) for view in x}
@@ -172,19 +173,22 @@ def train(spark: SparkSession, inputs: Inputs, splits: DataFrame, config: dict,
         state = factorize.start(rows, k, seed)
     else:
         raise ValueError(f"unknown start {how['start']}")
+    if (roles := config["roles"]) > 1:
+        state, h = factorize.by_roles(state, h, roles, seed)
+    whole = lambda h: {v: m if v != "ph" else factorize.over_roles(m, roles) for v, m in h.items()}
     evaluate = None
     if how["stop_early"] or how["select"] == "best":
         sign = -1.0 if any(x in how["metric"] for x in LESS) else 1.0
         held = {**config, "evaluate": {**config["evaluate"], "part": "valid"}}
 
         def evaluate(h: factorize.Factors) -> float:
-            found = measured(spark, inputs, splits, {v: _table(spark, at[v], m, inputs.views[v]) for v, m in h.items()}, held)
+            found = measured(spark, inputs, splits, {v: _table(spark, at[v], m, inputs.views[v]) for v, m in whole(h).items()}, held)
             return sign * found[how["metric"]]
 
     patience = how["patience"] if how["stop_early"] else how["iterations"] + 1
     options = {c: how[c] for c in ("iterations", "warm_up", "pretrain", "tolerance", "rate", "average", "select", "every")}
-    found = factorize.fit(state, h, terms(spark, inputs, at, config), how["mode"], evaluate=evaluate, patience=patience, on_step=on_step, **options)
-    return Trained({v: _table(spark, at[v], m, inputs.views[v]) for v, m in found.factors.items()}, found.state.select("pid", "g"), found.history)
+    found = factorize.fit(state, h, replace(terms(spark, inputs, at, config), roles=roles), how["mode"], evaluate=evaluate, patience=patience, on_step=on_step, **options)
+    return Trained({v: _table(spark, at[v], m, inputs.views[v]) for v, m in whole(found.factors).items()}, found.state.select("pid", "g"), found.history)
 
 
 def measured(spark: SparkSession, inputs: Inputs, splits: DataFrame, loadings: dict[str, DataFrame], config: dict) -> dict[str, float]:

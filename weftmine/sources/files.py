@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -232,6 +233,72 @@ def summaries(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("test_metrics.*", *(c for c in df.columns if c != "test_metrics")) if "test_metrics" in df.columns else df
 
 
+def run_tree(spark: SparkSession, folder: str, pattern: str = r"/([^/]+)/seed_(\d+)/K_(\d+)/(summary|metrics)\.json$") -> DataFrame:
+    """stage, seed, k, metric, value of a tree of runs <stage>/seed_<n>/K_<n>: of each run what its summary.json says, or, where there is none, its metrics.json.
+
+    Runs are known by their files' paths. Numbers at the top of a document count, those under ``test_metrics`` before them; of a list, such as a history, the last entry does.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    part = lambda i: F.regexp_extract(F.col("path"), pattern, i)
+    rows = text.select("value", F.col("_metadata.file_path").alias("path")).filter(F.col("path").rlike(pattern))
+    rows = rows.select(part(1).alias("stage"), part(2).cast("long").alias("seed"), part(3).cast("long").alias("k"), (part(4) != "summary").alias("second"), "value")
+    best = rows.groupBy("stage", "seed", "k").agg(F.min_by("value", "second").alias("value"))
+    entries = F.from_json("value", "array<string>")
+    one = F.when(F.trim("value").startswith("["), F.element_at(F.filter(F.coalesce(entries, F.array()), lambda x: x.isNotNull()), -1)).otherwise(F.col("value"))
+    best = best.withColumn("one", one)
+    top, inner = F.from_json("one", "map<string,string>"), F.from_json(F.get_json_object("one", "$.test_metrics"), "map<string,string>")
+    nothing = F.create_map().cast("map<string,string>")
+    inner, top = F.coalesce(inner, nothing), F.coalesce(top, nothing)
+    whole = F.map_concat(F.map_filter(top, lambda n, _: ~F.array_contains(F.map_keys(inner), n)), inner)
+    found = best.select("stage", "seed", "k", F.explode(whole).alias("metric", "text")).select("stage", "seed", "k", "metric", F.expr("try_cast(text AS double)").alias("value"))
+    return found.filter("value IS NOT NULL")
+
+
+def read_config(spark: SparkSession, path: str, base: dict | None = None) -> dict:
+    """A configuration file, JSON or YAML by its name, laid over ``base``. It is read on any file system; YAML of nested settings, lists in brackets and scalars needs no other package."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return merged(base or {}, json.loads(text) if path.endswith(".json") else plain_yaml(text))
+
+
+def plain_yaml(text: str) -> dict:
+    """Settings nested by indentation, with scalars and one-line lists for values."""
+
+    def scalar(word: str) -> object:
+        word = word.strip()
+        if word.startswith("[") and word.endswith("]"):
+            return [scalar(x) for x in word[1:-1].split(",") if x.strip()]
+        if word[:1] in ("'", '"') and word[-1:] == word[:1]:
+            return word[1:-1]
+        if (low := word.lower()) in ("true", "false"):
+            return low == "true"
+        if low in ("", "null", "~"):
+            return None
+        for kind in (int, float):
+            try:
+                return kind(word)
+            except ValueError:
+                continue
+        return word
+
+    out: dict = {}
+    levels = [(-1, out)]
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip() if "#" in line and not re.search(r"""["'].*#.*["']""", line) else line.rstrip()
+        if not bare.strip() or bare.strip() == "---":
+            continue
+        indent, (name, colon, value) = len(bare) - len(bare.lstrip()), bare.strip().partition(":")
+        if not colon:
+            raise ValueError(f"line {number}: no setting")
+        while levels[-1][0] >= indent:
+            levels.pop()
+        if value.strip():
+            levels[-1][1][name.strip()] = scalar(value)
+        else:
+            levels[-1][1][name.strip()] = inner = {}
+            levels.append((indent, inner))
+    return out
+
+
 def write_factors(factors: DataFrame, path: str) -> None:
     factors.write.mode("overwrite").parquet(path)
 
