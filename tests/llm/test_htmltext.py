@@ -127,6 +127,17 @@ def test_damaged_pages(html):
     assert isinstance(htmltext.main_text(html, TREE), str)
 
 
+@pytest.mark.parametrize("page", ["<div class=ad>" * 200_000 + "x", "<div class=ad>" * 100_000 + "<article><p>x", "<form><div id=ads>" * 50_000 + "<p>x</p>" * 50_000])
+def test_deep_nesting_takes_memory_in_proportion(page):
+    import tracemalloc
+
+    tracemalloc.start()
+    found = htmltext.blocks(page)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert {b.text for b in found} == {"x"} and most < 150e6
+
+
 def test_whole_table_with_nulls_ties_and_clashing_names(spark):
     rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (None, None, None), (2, "v", ""), (3, "w", "<article>" + "<p>word</p>" * 20000 + "</article>")]
     pages = spark.createDataFrame([(*r, "t", 5) for r in rows], PAGES + ", text string, n_chars int")

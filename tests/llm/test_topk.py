@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -43,7 +44,7 @@ def test_bounds_hold_and_leave_less_to_compute():
     x = r.integers(-1000, 1000, (50, 64)).astype(float)
     exact = x @ x.T
     before = None
-    for level in topk.LEVELS:
+    for level in topk.levels_of(64):
         m, d, sizes = topk.statistics(x, level)
         bound = (m * sizes) @ m.T + d @ d.T
         assert (bound >= exact - 1e-6).all()
@@ -51,6 +52,37 @@ def test_bounds_hold_and_leave_less_to_compute():
         before = bound.sum()
 
 
+def test_most_pairs_of_the_table_are_ruled_out():
+    """On the table's own vectors, of which no level but the finest rules anything out."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    x = np.floor(1024 * np.array(pq.read_table(path).column("embedding").to_pylist(), float))
+    left = total = 0
+    finest = topk.levels_of(x.shape[1])[-1]
+    m, d, sizes = topk.statistics(x, finest)
+    for q in range(0, len(x), 100):
+        scores = np.delete(x @ x[q], q)
+        bound = np.delete((m * sizes) @ m[q] + d @ d[q], q)
+        assert (bound >= scores - 1e-3).all()
+        left, total = left + (bound >= np.sort(scores)[-10]).sum(), total + len(scores)
+    assert left / total < 0.55
+
+
+def test_levels_that_rule_nothing_out_go_and_results_stay(monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.integers(-500, 500, (300, 64))
+    ids = np.arange(300)
+    asked = []
+    real = topk.statistics
+    monkeypatch.setattr(topk, "statistics", lambda *a: asked.append(a[1]) or real(*a))
+    got = topk.search(ids[:60], x[:60], np.full(60, -np.inf), ids, ids, x, 5)
+    want = [(q, i) for q in range(60) for _, i in sorted((-int(x[q] @ x[i]), i) for i in range(300) if i != q)[:5]]
+    assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want and set(asked) == {1, 4, 16, 32}
+
+
 def test_blocks_far_from_all_queries_stay_where_they_are(spark, monkeypatch):
     """Vectors in bundles: a query's results lie in its own bundle, and most pairs of blocks are never brought together."""
     r = np.random.default_rng(6)

@@ -43,6 +43,29 @@ def test_many_patterns_over_many_words_of_bits():
             assert got[i, k] == bool(takes[0].match("." + h) and takes[1].match(p)), (g, h, p)
 
 
+def test_long_texts_go_alone(monkeypatch):
+    import time
+
+    r = random.Random(5)
+    texts = [b"\xfe." + bytes(r.choice(b"ab./") for _ in range(n)) + b"\xff/" + bytes(r.choice(b"ab./") for _ in range(n)) for n in [*range(40)] * 3]
+    lengths = np.array([*map(len, texts)])
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths
+    automaton = urlfilter.Automaton([urlfilter.HostRule("b.a", "/a", "block"), urlfilter.HostRule("b", "/", "allow")], [urlfilter.Glob("*a?b*/*b", "block"), urlfilter.Glob("*/*a.b*", "allow"), *urlfilter.GLOBS])
+    abreast = automaton.run(data, starts, lengths)
+    monkeypatch.setattr(urlfilter, "LONG", 0)
+    assert (automaton.run(data, starts, lengths) == abreast).all() and abreast.any(0).sum() >= 3
+    monkeypatch.undo()
+    long = b"\xfe.a.com\xff/" + b"a/" * 500_000 + b"x.zip"
+    began = time.perf_counter()
+    urlfilter.Automaton(urlfilter.HOST_RULES, urlfilter.GLOBS).run(np.frombuffer(long, np.uint8), np.zeros(1, int), np.array([len(long)]))
+    assert time.perf_counter() - began < 5
+
+
+def test_rows_without_an_id_or_url(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/x", None), (None, None, None), (1, "http://a.net/es/", "x")], PAGES)
+    assert sorted(map(tuple, urlfilter.judge(pages).collect()), key=str) == sorted([(None, "a.com", "/x", "com/", "allow"), (None, "", "", None, "allow"), (1, "a.net", "/es/", "net/es/", "block")], key=str)
+
+
 def test_the_longest_rule_holds_and_other_columns_do_not(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/x/y", None, "r", "v", "h")], PAGES + ", rule string, verdict string, host string")
     rules = [urlfilter.HostRule("c", "/x/", "block"), urlfilter.HostRule("b.c", "/x", "allow"), urlfilter.HostRule("a.b.c", "/z", "block")]

@@ -61,7 +61,7 @@ class _Open(NamedTuple):
     article: bool
     link: bool
     heading: bool
-    named: tuple[int, ...] = ()  # the elements around that a class name or id shuns
+    named: int = 0  # the innermost element around that a class name or id shuns, by its number in ``around``
 
 
 class _Reader(HTMLParser):
@@ -71,8 +71,13 @@ class _Reader(HTMLParser):
         self.parts: list[tuple[str, bool]] = []
         self.open = [_Open("", False, False, False, False, False)]
         self.state = self.open[0]
-        self.named: list[tuple[int, ...]] = []  # of each block
-        self.count, self.freed, self.main = 0, set(), False
+        self.named: list[int] = []  # of each block
+        self.around = [0]  # of each shunned element, the next such one around it; 0 is none
+        self.freed, self.main = set(), False
+
+    def _within(self, named: int) -> int:
+        self.around.append(named)
+        return len(self.around) - 1
 
     def flush(self) -> None:
         if not self.parts:
@@ -101,16 +106,14 @@ class _Reader(HTMLParser):
         s = self.state
         shunned, article, named = s.shunned, s.article, s.named
         if tag == "form":
-            self.count += 1
-            named = (*named, self.count)
+            named = self._within(named)
         if not shunned:
             shunned = tag in SHUNNED or tag == "header" and not article
             for name, value in attrs:
                 value = (value or "").lower()
                 if name in ("class", "id") and tag not in ("html", "body", "main"):
                     if shuns(value) and not (article and tag in HEADINGS | {"header"}) and not (name == "id" and tag in HEADINGS | {"section"}):
-                        self.count += 1
-                        named = (*named, self.count)
+                        named = self._within(named)
                 elif name == "role":
                     shunned |= value in SHUNNED_ROLES
                     article |= value == "main"
@@ -122,7 +125,10 @@ class _Reader(HTMLParser):
         if article and not s.article and not shunned and named == s.named and not self.main:
             # What holds the page's first article is not shunned for its name.
             self.main = True
-            self.freed.update(named)
+            while named and named not in self.freed:
+                self.freed.add(named)
+                named = self.around[named]
+            named = s.named
         self.state = _Open(tag, s.silent or tag in SILENT, shunned, article and not shunned, s.link or tag == "a", tag in HEADINGS or s.heading, named)
         self.open.append(self.state)
 
@@ -154,18 +160,19 @@ class _Reader(HTMLParser):
 
     def judged(self) -> list[Block]:
         """The blocks, those in elements shunned for their names among them, unless such an element holds the article or, on a page without, most words."""
+        n = len(self.around)
         if not self.main:
-            held: dict[int, int] = {}
+            held = [0] * n
             for b, named in zip(self.blocks, self.named, strict=True):
-                for e in named:
-                    held[e] = held.get(e, 0) + b.words
-            total = sum(b.words for b in self.blocks)
-            self.freed.update(e for e, n in held.items() if 2 * n > total)
-        out = []
-        for b, named in zip(self.blocks, self.named, strict=True):
-            kept = self.freed.issuperset(named)
-            out.append(b._replace(named=not kept, article=b.article and kept))
-        return out
+                held[named] += b.words
+            total = sum(held)
+            for e in range(n - 1, 0, -1):  # an element comes after all around it
+                held[self.around[e]] += held[e]
+            self.freed.update(e for e in range(1, n) if 2 * held[e] > total)
+        free = [True] * n
+        for e in range(1, n):
+            free[e] = e in self.freed and free[self.around[e]]
+        return [b._replace(named=not free[named], article=b.article and free[named]) for b, named in zip(self.blocks, self.named, strict=True)]
 
 
 def blocks(html: str) -> list[Block]:

@@ -1,9 +1,9 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Vectors are cut into a few segments, more at each level. With the means m and the lengths d of the deviations from them of
+Vectors are cut into a few segments, more at each level: all components as one, then sixteen, four and two a segment. With the means m and the lengths d of the deviations from them of
 two vectors' segments of s components, the inner product is at most the sum of s * m1 * m2 + d1 * d2 (as the distance is
 at least what the same statistics give). What a coarse bound leaves goes on to a finer one, and what the
-finest leaves is computed exactly.
+finest leaves is computed exactly. A level that rules out next to nothing for the first queries of a block is not asked for the others.
 
 Candidates stand by the signs of their segments' means, in blocks. Each query first meets its own block, which gives it a score that
 its results reach at least. A block's statistics, the ranges of its means and its largest deviations, then bound all scores of a block of queries with it: only
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from weftmine.operators.prefix import prefix_sums
 from weftmine.session import cut
 
-LEVELS = (1, 4, 16)
+#: Bits of the code that vectors stand by; queries that show which levels rule anything out, and from which part on one is kept.
+CODE, TRIED, WORTH = 16, 16, 0.02
 #: Rows of a block of candidates, how many times fewer queries make one, and queries that a task works on at a time.
 BLOCK, FEWER, STEP = 16384, 4, 128
 
@@ -45,13 +46,18 @@ def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: int = 102
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
                     whole = np.clip(np.floor(scale * x), -(2.0**62), 2.0**62)
-                    signs = statistics(whole[None], min(len(x), LEVELS[-1]))[0][0] > 0 if len(x) else []
+                    signs = statistics(whole[None], min(len(x), CODE))[0][0] > 0 if len(x) else []
                     out.append((i, len(x), whole.astype("<i8").tobytes(), sum(1 << k for k, positive in enumerate(signs) if positive)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
 
     return vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).mapInArrow(rows, "id long, n int, x binary, code int")
 
 
+def levels_of(dim: int) -> list[int]:
+    """Numbers of segments, coarse to fine: all as one, then segments of 16, 4 and 2 components."""
+    return sorted({1, *(n for n in (dim // 16, dim // 4, dim // 2) if n > 0)}) if dim else []
+
+
 def statistics(x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row and segment its mean and the length of its deviations; the segments' sizes."""
     edges = np.arange(level + 1) * x.shape[1] // level
@@ -71,8 +77,9 @@ def search(q_rows: np.ndarray, q: np.ndarray, least: np.ndarray, rows: np.ndarra
     else:
         qf, xf = q.astype(np.float64), x.astype(np.float64)
         exact = lambda a, at: (xf[at] @ qf[a]).astype(np.int64)
-        levels = [(statistics(qf, n), statistics(xf, n)) for n in LEVELS if n <= dim]
+        levels = [(statistics(qf, n), statistics(xf, n)) for n in levels_of(dim)]
     out: tuple[list, list, list] = ([], [], [])
+    came, went = np.zeros(len(levels)), np.zeros(len(levels))  # of the finer levels, for the first queries
     for begin in range(0, len(q), STEP):
         part = slice(begin, begin + STEP)
         bound = None
@@ -88,9 +95,14 @@ def search(q_rows: np.ndarray, q: np.ndarray, least: np.ndarray, rows: np.ndarra
                     first = at[np.argpartition(-coarse, 4 * k - 1)[: 4 * k]]
                     floor = max(floor, float(np.partition(exact(a, first), -k)[-k]))
                 at = at[coarse >= floor - slack]
-                for (qm, qd, sizes), (xm, xd, _) in levels[1:]:
+                for n, ((qm, qd, sizes), (xm, xd, _)) in enumerate(levels[1:], 1):
                     finer = xm[at] @ (qm[a] * sizes) + xd[at] @ qd[a]
+                    came[n] += len(at)
                     at = at[finer >= floor - slack]
+                    went[n] += np.count_nonzero(finer < floor - slack)
+                if a == TRIED:  # a level that rules next to nothing out here isn't asked any more
+                    levels = [level for n, level in enumerate(levels) if not n or went[n] >= WORTH * came[n]]
+                    came, went = np.zeros(len(levels)), np.zeros(len(levels))
             if not len(at):
                 continue
             scores = exact(a, at)
@@ -115,7 +127,7 @@ def _box(x: np.ndarray) -> tuple[list, list, list]:
     """Of the finest segments of some vectors, the ranges of the means and the largest deviations."""
     if not x.shape[1]:
         return [], [], []
-    means, deviations, _ = statistics(x.astype(np.float64), min(x.shape[1], LEVELS[-1]))
+    means, deviations, _ = statistics(x.astype(np.float64), levels_of(x.shape[1])[-1])
     return means.min(0).tolist(), means.max(0).tolist(), deviations.max(0).tolist()
 
 
