@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, graph, hypergraph, infer, metrics, mining, split, stats, weighting
+from weftmine.operators import constraints, graph, hypergraph, infer, metrics, mining, neighbours, split, stats, weighting
 
 
 def table(spark, schema, *rows):
@@ -68,7 +68,7 @@ def test_similarities(spark):
     assert graph.jaccard(sets).first().sim == pytest.approx(1 / 3)
     vectors = table(spark, "id long, vector array<double>", (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]))
     for block in (1, 2, 100):
-        got = values(graph.vector_neighbours(vectors, 1, block), "i")
+        got = values(neighbours.vector_neighbours(vectors, 1, block), "i")
         assert (got[0]["j"], got[1]["j"], got[2]["j"], got[3]["j"]) == (1, 0, 1, 0)
 
 

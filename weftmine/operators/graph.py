@@ -80,39 +80,6 @@ def jaccard(members: DataFrame) -> DataFrame:
     return shared.select("i", "j", (F.col("m") / (F.col("ni") + F.col("nj") - F.col("m"))).alias("sim"))
 
 
-def vector_neighbours(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """i, j, sim: each vector's k nearest others by cosine, over tables too large for pairs: blocks of vectors (id, vector) meet in tasks, and each gives k rows a vector at most."""
-    import numpy as np
-    import pyarrow as pa
-
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = dealt.withColumn("c", other), dealt.withColumnRenamed("b", "c").withColumn("b", other)
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x = np.array(table.column("vector").to_pylist(), float).reshape(len(ids), -1)[order]
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        return ids[order], np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        (ids, x), (others, y) = matrix(a), matrix(b)
-        sim = np.round(x @ y.T, 9)
-        sim[ids[:, None] == others[None]] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(sim, best, 1)
-        keep = np.isfinite(found)
-        return pa.table({"i": np.repeat(ids, best.shape[1])[keep.ravel()], "j": others[best][keep], "sim": found[keep]})
-
-    near = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(meet, "i long, j long, sim double")
-    return nearest(near, k)
-
-
 def symmetrised(edges: DataFrame) -> DataFrame:
     """(A + A') / 2."""
     return edges.union(swapped(edges).select(edges.columns)).groupBy("i", "j").agg((F.sum("w") / 2).alias("w"))

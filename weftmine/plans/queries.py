@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, split, stats, weighting
+from weftmine.operators import constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, neighbours, split, stats, weighting
 from weftmine.plans import experiments, runner
 from weftmine.session import prepare, shared_dir, table
 from weftmine.sources import files, star
@@ -233,7 +233,7 @@ def category_adjacency(spark, d):
 @query
 def cosine_knn(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return graph.vector_neighbours(v, 5).select("i", "j", r("sim"))
+    return neighbours.vector_neighbours(v, 5).select("i", "j", r("sim"))
 
 
 @query
