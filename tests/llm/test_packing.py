@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from llm.cases import documents, empty, texts
+from llm.cases import DOCUMENTS, documents, empty, texts
 from weftmine.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,13 @@ def test_pieces_and_places(spark):
         assert len(bins) <= sum(r.length for r in rows) / length * 1.05 + 1
 
 
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "one two", None, None, None), (None, None, None, None, None), (4, "", None, None, None)], DOCUMENTS)
+    rows = packing.packed(docs, PATH).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["4", "None", "None"] and len({(r.sequence_id, r.offset) for r in rows}) == 3
+    assert {r.piece for r in rows} == {0} and min(r.length for r in rows) == 1
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["same text", "other"]).limit(1)
     rows = packing.packed(docs.union(docs).union(docs), PATH).collect()

@@ -1,7 +1,7 @@
 """Best-fit packing: documents' tokens into as few sequences as can be, by best-two-fit.
 
 Defined results: a null or empty text is the end token alone; an empty table gives no rows; repeated rows are packed
-each; other columns of the input are not read.
+each, as are rows with a null doc_id, whose pieces carry it; other columns of the input are not read.
 """
 
 from __future__ import annotations
