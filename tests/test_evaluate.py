@@ -12,8 +12,9 @@ def test_all_metrics_of_one_split(spark):
     bad = constraints.conflicts(spark.createDataFrame([(0, 3)], "i int, j int"))
     edges = hypergraph.by_entity(herbs, least=2, most=5)
     motifs = mining.motifs(herbs, 12, 2)
-    out = evaluate_all(herbs, symptoms, h, s, n=12, conflict=bad, edges=edges, motifs=motifs, length_ratio=1.5, frequency=spark.createDataFrame([(i, 0.5) for i in range(6)], "item int, f double"), ks=(2, 3), top=3)
-    assert {"sym2herb_map", "herb2sym_p_3", "sym2herb_ppl", "herb2sym_smoothed_ppl", "sym2herb_calibrated_recall", "herb_nre", "symptom_coherence_mean", "tgc", "motif_hit", "violation", "compatible"} <= set(out)
+    out = evaluate_all(herbs, symptoms, h, s, n=12, conflict=bad, edges=edges, motifs=motifs, length_ratio=1.5, frequency=spark.createDataFrame([(i, 0.5) for i in range(6)], "item int, f double"), ks=(2, 3), top=3, doses=herbs.withColumnRenamed("val", "dose"), d=h, held=(0.2, 0.5), seeds=(1, 2), em={"h": h, "s": s})
+    assert {"sym2herb_map", "herb2sym_p_3", "sym2herb_ppl", "herb2sym_smoothed_ppl", "sym2herb_calibrated_recall", "herb_nre", "symptom_coherence_mean", "tgc", "motif_hit", "violation", "compatible", "dose_mae", "dose_rmse", "dose_smape", "herb_held_0.2_ppl", "symptom_held_0.5_ppl", "herb2sym_em_ppl", "sym2herb_em_ppl"} <= set(out)
+    assert all(1 <= out[k] <= 12 for k in out if k.endswith(("held_0.2_ppl", "held_0.5_ppl", "em_ppl")))
     assert all(0 <= v <= 1 for k, v in out.items() if "map" in k or "_p_" in k or k in ("tgc", "motif_hit", "violation", "compatible"))
     assert out["sym2herb_ppl"] == pytest.approx(6, rel=0.5)
     both = compare_inference(herbs, symptoms, h, s, ("dot", "ols"))

@@ -13,11 +13,19 @@ from weftmine.operators.factorize import EPS, Factors, Fit, Terms, _arrays, _g,
 from weftmine.session import cut
 
 
-def joint(rows: DataFrame, n_items: dict[str, int], k: int, *, alpha: float = 1.0, l1: float = 0.0, iterations: int = 50, seed: int = 0) -> Fit:
+#: Where a model starts, if not where a seed puts it: rows with g, and loadings.
+Start = tuple[DataFrame, Factors]
+
+
+def _begin(rows: DataFrame, n_items: dict[str, int], k: int, seed: int, begin: Start | None) -> Start:
+    return begin or (start(rows, k, seed), drawn(n_items, k, seed))
+
+
+def joint(rows: DataFrame, n_items: dict[str, int], k: int, *, alpha: float = 1.0, l1: float = 0.0, iterations: int = 50, seed: int = 0, begin: Start | None = None) -> Fit:
     """One mixture for the views side by side, the second weighed by ``alpha``: [X1, alpha X2] = G [H1, alpha H2]'. With l1 a sparse one."""
     first, *others = n_items
     terms = Terms({first: 1.0} | dict.fromkeys(others, alpha**2), l1={v: l1 for v in ("g", *n_items)} if l1 else {})
-    return fit(start(rows, k, seed), drawn(n_items, k, seed), terms, iterations=iterations)
+    return fit(*_begin(rows, n_items, k, seed, begin), terms, iterations=iterations)
 
 
 def _with_g(batch: pa.RecordBatch, g: np.ndarray) -> pa.RecordBatch:
@@ -65,9 +73,10 @@ def independent(rows: DataFrame, n_items: dict[str, int], k: int, *, kind: str =
     return both.select("pid", mean.alias("g")), {a: fits[0].factors[a], b: moved}
 
 
-def kl(rows: DataFrame, n_items: dict[str, int], k: int, *, iterations: int = 50, seed: int = 0) -> Fit:
+def kl(rows: DataFrame, n_items: dict[str, int], k: int, *, iterations: int = 50, seed: int = 0, begin: Start | None = None) -> Fit:
     """One mixture for all views by the Kullback-Leibler divergence."""
-    state, h, history = start(rows, k, seed), drawn(n_items, k, seed), []
+    (state, h), history = _begin(rows, n_items, k, seed, begin), []
+    h = dict(h)
     for _ in range(iterations):
         now = dict(h)
 
@@ -116,10 +125,10 @@ def neighbours_of(state: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("near", F.coalesce("near", nothing)).withColumn("degree", F.coalesce("degree", F.lit(0.0)))
 
 
-def graph_regularised(rows: DataFrame, n_items: dict[str, int], edges: DataFrame, k: int, *, weight: float = 0.1, iterations: int = 30, seed: int = 0) -> Fit:
+def graph_regularised(rows: DataFrame, n_items: dict[str, int], edges: DataFrame, k: int, *, weight: float = 0.1, iterations: int = 30, seed: int = 0, begin: Start | None = None) -> Fit:
     """One mixture for all views, kept alike between neighbouring entities (edges i, j, w, both directions)."""
-    state, h, history = start(rows, k, seed), drawn(n_items, k, seed), []
-    columns = state.columns
+    (state, h), history = _begin(rows, n_items, k, seed, begin), []
+    h, columns = dict(h), state.columns
     for _ in range(iterations):
         now = dict(h)
 

@@ -34,20 +34,24 @@ def product_of_rows(a: DataFrame, b: DataFrame, row: str, inner: str, col: str,
     there[at] = 1
     kinds = {**dict(b.dtypes), row: dict(a.dtypes)[row]}
 
+    step = max(1, CELLS // max(1, *shape))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten()
-            which = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            place = pc.fill_null(pc.index_in(flat.field(0), inners), -1).to_numpy(zero_copy_only=False)
-            value = flat.field(1).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
-            known = place >= 0
-            x, has = np.zeros((batch.num_rows, shape[0])), np.zeros((batch.num_rows, shape[0]), np.float32)
-            np.add.at(x, (which[known], place[known]), value[known])
-            has[which[known], place[known]] = 1
-            i, j = np.nonzero(has @ there > 0)
-            out = (x @ matrix)[i, j]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), cols.take(pa.array(j)), pa.array(out)], names=[row, col, v])
+            for begin in range(0, batch.num_rows, step):  # so many rows that no table of theirs is above CELLS
+                part = batch.slice(begin, step)
+                lists = part.column(1)
+                flat = lists.flatten()
+                which = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                place = pc.fill_null(pc.index_in(flat.field(0), inners), -1).to_numpy(zero_copy_only=False)
+                value = flat.field(1).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+                known = place >= 0
+                x, has = np.zeros((part.num_rows, shape[0])), np.zeros((part.num_rows, shape[0]), np.float32)
+                np.add.at(x, (which[known], place[known]), value[known])
+                has[which[known], place[known]] = 1
+                i, j = np.nonzero(has @ there > 0)
+                out = (x @ matrix)[i, j]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), cols.take(pa.array(j)), pa.array(out)], names=[row, col, v])
 
     packed = a.groupBy(row).agg(F.collect_list(F.struct(inner, v)).alias("__cells"))
     return packed.mapInArrow(rows, f"{row} {kinds[row]}, {col} {kinds[col]}, {v} double")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, infer, linalg, metrics, weighting
+from weftmine.operators import constraints, heldout, infer, linalg, metrics, weighting
 from weftmine.session import cut
 
 
-def evaluate_all(herbs: DataFrame, symptoms: DataFrame, h: DataFrame, s: DataFrame, *, n: int, conflict: DataFrame | None = None, edges: DataFrame | None = None, motifs: DataFrame | None = None, frequency: DataFrame | None = None, length_ratio: float | None = None, method: str = "nnls", alpha: float = 0.1, ks: tuple[int, ...] = (5, 10), top: int = 10) -> dict[str, float]:
-    """Ranking in both directions, perplexities, coherence, and, where given what they need, compactness, motif and safety rates.
+def evaluate_all(herbs: DataFrame, symptoms: DataFrame, h: DataFrame, s: DataFrame, *, n: int, conflict: DataFrame | None = None, edges: DataFrame | None = None, motifs: DataFrame | None = None, frequency: DataFrame | None = None, length_ratio: float | None = None, method: str = "nnls", alpha: float = 0.1, ks: tuple[int, ...] = (5, 10), top: int = 10, doses: DataFrame | None = None, d: DataFrame | None = None, held: tuple[float, ...] = (), seeds: tuple[int, ...] = (42,), em: dict[str, DataFrame] | None = None) -> dict[str, float]:
+    """Ranking in both directions, perplexities, coherence, and, where given what they need, compactness, motif and safety rates,
+    errors of doses, perplexities of held-out items, and those by other loadings.
 
-    herbs, symptoms: pid, item, val of the split's entities; h, s: item, k, v. n: entities in the split.
+    herbs, symptoms: pid, item, val of the split's entities; h, s: item, k, v. n: entities in the split. doses: pid, item, dose, with loadings d of doses; held: parts of each entity's items that are held out, each
+    by all of ``seeds``; em: loadings of both views (h, s) whose shares predict items by mixtures from h and s, such as those that em_fit gives.
     """
     out: dict[str, float] = {}
 
@@ -39,6 +41,15 @@ def evaluate_all(herbs: DataFrame, symptoms: DataFrame, h: DataFrame, s: DataFra
         z = infer.infer(x, by, method)
         put(f"{name}_", linalg.nre(x, z, by))
         put(f"{name}_coherence_", metrics.coherence(by, x, n, top).agg(F.coalesce(F.avg("coherence"), F.lit(0.0)).alias("mean")))
+    for part in held:
+        for name, x, by in (("herb", herbs, h), ("symptom", symptoms, s)):
+            found = heldout.heldout_perplexity(x, by, by.select("item").distinct().count(), ratio=part, seeds=seeds, method=method)
+            put(f"{name}_held_{part:g}_", found.agg(F.avg("ppl").alias("ppl")))
+    if em:
+        for name, source, truth, by, to in (("herb2sym", herbs, symptoms, h, em["s"]), ("sym2herb", symptoms, herbs, s, em["h"])):
+            put(f"{name}_em_", heldout.predictive_perplexity(source, truth, by, to, to.select("item").distinct().count(), method=method, alpha=alpha))
+    if doses is not None and d is not None:
+        put("dose_", metrics.dose_errors(doses, infer.scores(infer.infer(symptoms, s, method), d)))
     if edges is not None:
         put("", metrics.compactness(h, edges, top).agg(F.coalesce(F.avg("tgc"), F.lit(0.0)).alias("tgc")))
     if motifs is not None:

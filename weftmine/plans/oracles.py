@@ -9,7 +9,7 @@ SHARED = {
     "x": "SELECT DISTINCT l_orderkey AS pid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey",
     "s": "SELECT DISTINCT l_orderkey AS pid, s_nationkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "dose": "SELECT l_orderkey AS pid, p_brand AS item, sum(l_quantity) AS dose FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
-    "cat": "SELECT DISTINCT p_brand AS item, p_type AS category FROM part WHERE p_size <= 25",
+    "cat": "SELECT DISTINCT p_brand AS item, p_type || ' ' || p_size AS category FROM part",
     "n": "SELECT count(DISTINCT pid) AS n FROM x",
     "h": "SELECT item, k, c / sum(c) OVER (PARTITION BY k) AS v FROM (SELECT p_brand AS item, p_type AS k, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)",
     "hs": "SELECT item, k, c / sum(c) OVER (PARTITION BY k) AS v FROM (SELECT s_nationkey AS item, p_type AS k, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)",
@@ -27,7 +27,7 @@ SHARED = {
     "every": "SELECT a.item AS i, b.item AS j, round(sum(a.u * b.u), 9) AS sim FROM unit a JOIN unit b ON a.attr = b.attr AND a.item <> b.item GROUP BY ALL",
     "kinds": "SELECT category, item, count(*) OVER (PARTITION BY category) AS size FROM cat QUALIFY count(*) OVER (PARTITION BY category) >= 2",
     "unit": "SELECT item, attr, v / sqrt(sum(v * v) OVER (PARTITION BY item)) AS u FROM (SELECT p_brand AS item, p_type AS attr, avg(p_size) AS v FROM part GROUP BY ALL)",
-    "loci": "SELECT DISTINCT p_brand AS item, p_size AS attr FROM part WHERE p_size <= 20",
+    "loci": "SELECT DISTINCT p_brand AS item, p_size AS attr FROM part",
     "jac": """SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rn FROM (
         SELECT i, j, m / (a.n + b.n - m) AS sim FROM (SELECT a.item AS i, b.item AS j, count(*) AS m FROM loci a JOIN loci b ON a.attr = b.attr AND a.item <> b.item GROUP BY ALL)
         JOIN (SELECT item, count(*) AS n FROM loci GROUP BY item) a ON i = a.item JOIN (SELECT item, count(*) AS n FROM loci GROUP BY item) b ON j = b.item)) WHERE rn <= 4""",
@@ -116,6 +116,40 @@ _BODIES = {
         q3 AS (SELECT x.pid, x.item, k, t * v AS tv, sum(t * v) OVER (PARTITION BY x.pid, x.item) AS q FROM x JOIN th USING (pid) JOIN p2 USING (item, k)),
         p3 AS (SELECT item, k, r / sum(r) OVER (PARTITION BY k) AS v FROM (SELECT item, k, sum(tv / q) AS r FROM q3 WHERE q > 1e-10 GROUP BY ALL))
         SELECT item, k, round(v, 6) AS v FROM p3""",
+    "joint_round": """WITH lo AS (SELECT 'ph' AS view, item, k, v FROM h UNION ALL SELECT 'ps', item::VARCHAR, k, v FROM hs),
+        cells AS (SELECT 'ph' AS view, pid, item FROM x UNION ALL SELECT 'ps', pid, item::VARCHAR FROM s),
+        wt AS (SELECT 'ph' AS view, 1.0::DOUBLE AS w UNION ALL SELECT 'ps', 0.25),
+        up AS (SELECT pid, k, sum(w * v) AS v FROM cells JOIN lo USING (view, item) JOIN wt USING (view) GROUP BY ALL),
+        kl AS (SELECT a.k, b.k AS l, sum(w * a.v * b.v) AS v FROM lo a JOIN lo b USING (view, item) JOIN wt USING (view) GROUP BY ALL),
+        dn AS (SELECT pid, l AS k, sum(g.v * kl.v) AS v FROM g0 g JOIN kl USING (k) GROUP BY ALL),
+        n1 AS (SELECT g.pid, g.k, g.v * up.v / (dn.v + 0.1 + 1e-10) AS v FROM g0 g JOIN up USING (pid, k) JOIN dn USING (pid, k)),
+        sizes AS (SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM n1 a JOIN n1 b USING (pid) GROUP BY ALL),
+        xg AS (SELECT view, item, k, sum(v) AS v FROM cells JOIN n1 USING (pid) GROUP BY ALL),
+        hg AS (SELECT view, item, l AS k, sum(lo.v * z.v) AS v FROM lo JOIN sizes z USING (k) GROUP BY ALL)
+        SELECT view, item, k, round(lo.v * w * xg.v / (w * hg.v + 0.1 + 1e-10), 6) AS v FROM lo JOIN xg USING (view, item, k) JOIN hg USING (view, item, k) JOIN wt USING (view) WHERE lo.v * xg.v > 0""",
+    "kl_round": """WITH lo AS (SELECT 'ph' AS view, item, k, v FROM h UNION ALL SELECT 'ps', item::VARCHAR, k, v FROM hs),
+        cells AS (SELECT 'ph' AS view, pid, item FROM x UNION ALL SELECT 'ps', pid, item::VARCHAR FROM s),
+        q0 AS (SELECT view, pid, item, sum(g.v * lo.v) + 1e-10 AS q FROM cells JOIN lo USING (view, item) JOIN g0 g USING (pid, k) GROUP BY ALL),
+        up AS (SELECT pid, k, sum(v / q) AS v FROM q0 JOIN lo USING (view, item) GROUP BY ALL),
+        dn AS (SELECT k, sum(v) AS v FROM lo GROUP BY k),
+        n1 AS (SELECT g.pid, g.k, g.v * up.v / (dn.v + 1e-10) AS v FROM g0 g JOIN up USING (pid, k) JOIN dn USING (k)),
+        q1 AS (SELECT view, pid, item, sum(n1.v * lo.v) + 1e-10 AS q FROM cells JOIN lo USING (view, item) JOIN n1 USING (pid, k) GROUP BY ALL),
+        hu AS (SELECT view, item, k, sum(v / q) AS v FROM q1 JOIN n1 USING (pid) GROUP BY ALL),
+        ns AS (SELECT k, sum(v) AS v FROM n1 GROUP BY k)
+        SELECT view, item, k, round(lo.v * hu.v / (ns.v + 1e-10), 6) AS v FROM lo JOIN hu USING (view, item, k) JOIN ns USING (k) WHERE lo.v * hu.v > 0""",
+    "graph_round": """WITH lo AS (SELECT 'ph' AS view, item, k, v FROM h UNION ALL SELECT 'ps', item::VARCHAR, k, v FROM hs),
+        cells AS (SELECT 'ph' AS view, pid, item FROM x UNION ALL SELECT 'ps', pid, item::VARCHAR FROM s),
+        edges AS (SELECT a.o_orderkey AS i, b.o_orderkey AS j, 0.5::DOUBLE AS w FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE b.o_orderkey IN (SELECT pid FROM x)),
+        near AS (SELECT i AS pid, k, sum(w * v) AS v FROM edges JOIN g0 ON j = g0.pid GROUP BY ALL),
+        deg AS (SELECT i AS pid, sum(w) AS d FROM edges GROUP BY i),
+        up AS (SELECT pid, k, sum(v) AS v FROM cells JOIN lo USING (view, item) GROUP BY ALL),
+        kl AS (SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM lo a JOIN lo b USING (view, item) GROUP BY ALL),
+        dn AS (SELECT pid, l AS k, sum(g.v * kl.v) AS v FROM g0 g JOIN kl USING (k) GROUP BY ALL),
+        n1 AS (SELECT g.pid, g.k, g.v * (up.v + 0.3 * coalesce(near.v, 0)) / (dn.v + 0.3 * coalesce(d, 0) * g.v + 1e-10) AS v FROM g0 g JOIN up USING (pid, k) JOIN dn USING (pid, k) LEFT JOIN near USING (pid, k) LEFT JOIN deg USING (pid)),
+        sizes AS (SELECT a.k, b.k AS l, sum(a.v * b.v) AS v FROM n1 a JOIN n1 b USING (pid) GROUP BY ALL),
+        xg AS (SELECT view, item, k, sum(v) AS v FROM cells JOIN n1 USING (pid) GROUP BY ALL),
+        hg AS (SELECT view, item, l AS k, sum(lo.v * z.v) AS v FROM lo JOIN sizes z USING (k) GROUP BY ALL)
+        SELECT view, item, k, round(lo.v * xg.v / (hg.v + 1e-10), 6) AS v FROM lo JOIN xg USING (view, item, k) JOIN hg USING (view, item, k) WHERE lo.v * xg.v > 0""",
     "presence_long": "SELECT pid, item, 1.0::DOUBLE AS val FROM x",
     "doc_freq": "SELECT item, df FROM df",
     "tfidf_weights": "SELECT pid, item, round(val, 6) AS val FROM w",
@@ -268,7 +302,7 @@ _BODIES = {
     "coherence": """SELECT k, round(avg(ln((coalesce(c, 0) / n::DOUBLE + 1e-10) / (coalesce(p.df, 0) / n::DOUBLE * (coalesce(q.df, 0) / n::DOUBLE) + 1e-10))), 6) AS coherence FROM (
         SELECT a.k, a.item AS i, b.item AS j FROM top10 a JOIN top10 b ON a.k = b.k AND a.item < b.item) t LEFT JOIN (SELECT i, j, support AS c FROM counts) c ON t.i = c.i AND t.j = c.j LEFT JOIN df p ON t.i = p.item LEFT JOIN df q ON t.j = q.item, n GROUP BY k""",
     "tgc": """SELECT k, round(avg(CASE WHEN s.i IS NULL THEN 0.0 ELSE 1.0 END), 6) AS tgc FROM (SELECT a.k, a.item AS i, b.item AS j FROM top8 a JOIN top8 b ON a.k = b.k AND a.item < b.item) t
-        LEFT JOIN (SELECT DISTINCT a.item AS i, b.item AS j FROM cat a JOIN cat b ON a.category = b.category AND a.item < b.item WHERE a.category < 'F') s ON t.i = s.i AND t.j = s.j GROUP BY k""",
+        LEFT JOIN (SELECT DISTINCT a.item AS i, b.item AS j FROM cat a JOIN cat b ON a.category = b.category AND a.item < b.item) s ON t.i = s.i AND t.j = s.j GROUP BY k""",
     "motif_hit": "SELECT t.k, round((SELECT count(*) FROM motif WHERE list_has_all(t.m, members)) / (SELECT count(*) FROM motif), 6) AS rate FROM (SELECT k, list(item) AS m FROM top10 GROUP BY k) t",
     "violation_rate_k": "SELECT pid, round((SELECT count(*) FROM bad WHERE list_contains(m, i) AND list_contains(m, j)) / 15.0::DOUBLE, 6) AS rate FROM (SELECT pid, list(item) AS m FROM ranked WHERE rank <= 6 GROUP BY pid)",
     "dose_errors": "SELECT round(avg(abs(dose - mean)), 6) AS mae, round(sqrt(avg((dose - mean) * (dose - mean))), 6) AS rmse, round(avg(2 * abs(dose - mean) / greatest(abs(dose) + abs(mean), 1e-10)), 6) AS smape FROM (SELECT dose, avg(dose) OVER (PARTITION BY item) AS mean FROM dose)",

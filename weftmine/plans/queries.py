@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftmine.operators import constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, neighbours, split, stats, weighting
+from weftmine.operators import baselines, constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, neighbours, split, stats, weighting
 from weftmine.plans import experiments, runner
 from weftmine.session import prepare, shared_dir, table
 from weftmine.sources import files, star
@@ -251,7 +252,7 @@ def feature_cosine_full(spark, d):
 
 
 def _loci(spark, d):
-    return table(spark, d, "part").filter("p_size <= 20").select(F.col("p_brand").alias("item"), F.col("p_size").alias("attr")).distinct()
+    return table(spark, d, "part").select(F.col("p_brand").alias("item"), F.col("p_size").alias("attr")).distinct()
 
 
 @query
@@ -530,7 +531,7 @@ def coherence(spark, d):
 @query
 def tgc(spark, d):
     h, _ = star.loadings(spark, d)
-    return metrics.compactness(h, hypergraph.by_category(star.categories(spark, d).filter("category < 'F'")), 8).select("k", r("tgc"))
+    return metrics.compactness(h, hypergraph.by_category(star.categories(spark, d)), 8).select("k", r("tgc"))
 
 
 @query
@@ -766,6 +767,56 @@ def _fitted(spark, d, mode, terms=None, views=("ph", "ps"), iterations=5, rate=1
     return spark.createDataFrame(rows, "view string, item int, k int, v double").select("view", "item", "k", r("v", 4))
 
 
+def _begun(spark, d):
+    """Brands and nations by part types: rows with five times the brands' mixtures as g, loadings, how many items each view has, and their names."""
+    h, s = star.loadings(spark, d)
+    topics = [x.k for x in h.select("k").distinct().orderBy("k").collect()]
+    names = {"ph": [x.item for x in _nodes(spark, d).orderBy("item").collect()], "ps": list(range(25))}
+    factors = {}
+    for view, m in (("ph", h), ("ps", s)):
+        factors[view] = np.zeros((len(names[view]), len(topics)))
+        for x in m.collect():
+            factors[view][names[view].index(x.item), topics.index(x.k)] = x.v
+    places = spark.createDataFrame([(x, i) for i, x in enumerate(names["ph"])], "item string, no int")
+    ph = _x(spark, d).join(places, "item").select("pid", F.col("no").alias("item"), F.lit(1.0).alias("val"))
+    ps = star.nations(spark, d).select("pid", F.col("item").cast("int").alias("item"), F.lit(1.0).alias("val"))
+    n = {view: len(x) for view, x in names.items()}
+    rows = factorize.rows_of({"ph": ph, "ps": ps}, n)
+    of = spark.createDataFrame([(k, i) for i, k in enumerate(topics)], "k string, no int")
+    cells = _g(spark, d, h).join(of, "k").groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("no", "v"))).alias("m"))
+    g = cells.select("pid", F.transform(F.sequence(F.lit(0), F.lit(len(topics) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("g"))
+    return rows, n, (rows.join(g, "pid"), factors), names, topics
+
+
+def _round(spark, found, names, topics):
+    rows = [(view, str(names[view][i]), k, float(m[i, j])) for view, m in found.factors.items() for i in range(len(m)) for j, k in enumerate(topics) if m[i, j] > 0]
+    return spark.createDataFrame(rows, "view string, item string, k string, v double").select("view", "item", "k", r("v"))
+
+
+@query
+def joint_round(spark, d):
+    """A round of one mixture for both views side by side, nations weighed by a half, with sparsity."""
+    rows, n, begin, names, topics = _begun(spark, d)
+    return _round(spark, baselines.joint(rows, n, len(topics), alpha=0.5, l1=0.2, iterations=1, begin=begin), names, topics)
+
+
+@query
+def kl_round(spark, d):
+    """A round of one mixture for both views by the Kullback-Leibler divergence."""
+    rows, n, begin, names, topics = _begun(spark, d)
+    return _round(spark, baselines.kl(rows, n, len(topics), iterations=1, begin=begin), names, topics)
+
+
+@query
+def graph_round(spark, d):
+    """A round of one mixture for both views, kept alike between orders of one customer."""
+    rows, n, begin, names, topics = _begun(spark, d)
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    edges = o.select("o_custkey", F.col("o_orderkey").alias("i")).join(o.select("o_custkey", F.col("o_orderkey").alias("j")), "o_custkey").filter("i <> j").select("i", "j", F.lit(0.5).alias("w"))
+    edges = edges.join(rows.select(F.col("pid").alias("j")), "j", "left_semi")
+    return _round(spark, baselines.graph_regularised(rows, n, edges, len(topics), weight=0.3, iterations=1, begin=begin), names, topics)
+
+
 @query
 def nmf_fit(spark, d):
     return _fitted(spark, d, "mur")
@@ -779,8 +830,6 @@ def pgd_fit(spark, d):
 @query
 def hybrid_fit(spark, d):
     """All kinds of terms: doses, graphs, groups, conflicts, sparsity, knowledge."""
-    import numpy as np
-
     _, n = _indexed(spark, d)
     names = [x.item for x in _nodes(spark, d).orderBy("item").collect()]
     at = {x: i for i, x in enumerate(names)}

@@ -16,6 +16,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,11 @@ def in_words(config: dict) -> str:
     return " + ".join(active(config)) or "views only"
 
 
+def dated(name: str, at: datetime | None = None) -> str:
+    """A folder's name by day and time, such as for a set of runs."""
+    return f"{name}-{at or datetime.now(UTC):%Y%m%d-%H%M%S}"
+
+
 def numbered_items(view: DataFrame) -> dict:
     """Items of a view from 0 in order. They come to the driver, as a model's loadings do."""
     return {r.item: i for i, r in enumerate(view.select("item").distinct().orderBy("item").collect())}

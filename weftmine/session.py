@@ -31,15 +31,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on this machine if all runs on it, else one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on this machine if all runs on it, else one in the warehouse, which must not be on a machine's own disk."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        local = context.master.startswith("local")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftmine-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/weftmine-{uuid.uuid4().hex}")
+        local, warehouse = context.master.startswith("local"), spark.conf.get("spark.sql.warehouse.dir")
+        if not local and spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftmine-") if local else f"{warehouse}/weftmine-{uuid.uuid4().hex}")
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 

@@ -31,9 +31,9 @@ def doses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, category: the part types of a brand whose parts are in size 25 or less."""
+    """item, category: which kinds of parts, by type and size, a brand has."""
     part = table(spark, sf_dir, "part")
-    return part.filter("p_size <= 25").select(F.col("p_brand").alias("item"), F.col("p_type").alias("category")).distinct()
+    return part.select(F.col("p_brand").alias("item"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("category")).distinct()
 
 
 def loadings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
