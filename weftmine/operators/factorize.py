@@ -159,8 +159,8 @@ def moved(state: DataFrame, h: Factors, terms: Terms, mode: str, rate: float = 0
     return cut(state.mapInArrow(step, state.schema))
 
 
-def sums(state: DataFrame, n_items: dict[str, int]) -> dict[str, np.ndarray]:
-    """Over all rows: X'G and |X|^2 of each view, G'G, sum of g, and for doses each item's G'G. A partition sends each once."""
+def sums(state: DataFrame, n_items: dict[str, int], width: int | None = None) -> dict[str, np.ndarray]:
+    """Over all rows: X'G and |X|^2 of each view, G'G, sum of g, and for doses each item's G'G. A partition sends each once. width: of g, looked up if not given."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -187,7 +187,7 @@ def sums(state: DataFrame, n_items: dict[str, int]) -> dict[str, np.ndarray]:
         values = np.concatenate([np.zeros(0), *(v.ravel() for v in total.values())])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(values)], names=["name", "at", "v"])
 
-    width = len(state.select("g").first()[0])
+    width = width or len(state.select("g").first()[0])
     shapes = {"gram": (width, width), "g": (width,), "own": (n_items.get("pd", 0), width, width)} | {f"xg {v}": (n, width) for v, n in n_items.items()} | {f"xx {v}": (1,) for v in n_items}
     out = {k: np.zeros(int(np.prod(s))) for k, s in shapes.items()}
     for name, at, v in state.mapInArrow(partial, "name string, at int, v double").groupBy("name", "at").agg(F.sum("v")).collect():
@@ -299,7 +299,7 @@ def step(state: DataFrame, h: Factors, terms: Terms, mode: str = "mur", *, rate:
     """
     state = moved(state, h, terms, mode, rate, scale, clip)
     n_items = {v: len(m) for v, m in h.items()}
-    s, h = sums(state, n_items), dict(h)
+    s, h = sums(state, n_items, max(m.shape[1] for m in _wide(h, terms.roles).values())), dict(h)
     for view in VIEWS:
         if view not in h:
             continue
