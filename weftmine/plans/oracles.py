@@ -317,6 +317,20 @@ _BODIES = {
     "sweep_summary": "SELECT variant, count(*) AS n, round(avg(metric), 4) AS metric_mean, round(stddev_pop(metric), 4) AS metric_std FROM res GROUP BY variant",
     "best_setting": "SELECT variant, round(avg(metric), 4) AS metric_mean FROM res GROUP BY variant ORDER BY metric_mean DESC, variant LIMIT 1",
     "alias_lookup": "SELECT alias, canonical FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY no DESC) AS rn FROM (SELECT no, trim(unnest(string_split(value, ','))) AS alias, trim(split_part(value, ',', 1)) AS canonical FROM alines)) WHERE rn = 1",
+    "loaded_views": """WITH ln AS (SELECT o_custkey AS pid, p_brand, n_name, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+        held AS (SELECT DISTINCT pid, p_brand AS item FROM ln),
+        two AS (SELECT a.pid, a.item AS i, b.item AS j, count(*) OVER (PARTITION BY a.item, b.item) AS c FROM held a JOIN held b ON a.pid = b.pid AND a.item < b.item),
+        no AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i FROM (SELECT DISTINCT p_brand FROM part)),
+        att AS (SELECT p_brand, count(DISTINCT p_type) + min(p_size) + max(p_size) AS t FROM part GROUP BY p_brand)
+        SELECT 'presence' AS view, item AS name, count(*) AS n, count(*)::DOUBLE AS total FROM held GROUP BY item
+        UNION ALL SELECT 'dosage', p_brand, count(DISTINCT pid), round(sum(l_quantity)::DOUBLE, 2) FROM ln GROUP BY p_brand
+        UNION ALL SELECT 'symptoms', n_name, count(DISTINCT pid), count(DISTINCT pid)::DOUBLE FROM ln GROUP BY n_name
+        UNION ALL SELECT 'herb_attributes', p_brand, 1, t::DOUBLE FROM att
+        UNION ALL SELECT 'symptom_features', n_name, 1, n_regionkey::DOUBLE FROM nation
+        UNION ALL SELECT 'pairs', 'pairs', count(*), sum(101 * i + 1)::DOUBLE FROM no WHERE i < (SELECT max(i) FROM no)
+        UNION ALL SELECT 'symptom_pairs', 'symptom_pairs', 24, sum(101 * r + 1)::DOUBLE FROM range(0, 24) t(r)
+        UNION ALL SELECT 'conflicts', 'conflicts', count(*), sum(100 * a.i + b.i)::DOUBLE FROM bad JOIN no a ON a.p_brand = bad.i JOIN no b ON b.p_brand = bad.j
+        UNION ALL SELECT 'pair_view', 'pair_view', count(*), count(*)::DOUBLE FROM two WHERE c >= 2""",
     "knowledge_load": "SELECT DISTINCT symptom, item FROM found WHERE item IS NOT NULL AND symptom >= 'B'",
     "anti_unmatched": "SELECT token, count(*) AS n FROM found WHERE item IS NULL GROUP BY token",
     "id_mismatch": "SELECT count(*) AS mismatches FROM (SELECT DISTINCT o_orderkey AS k FROM orders) FULL JOIN (SELECT DISTINCT pid FROM x) ON k = pid WHERE k IS NULL OR pid IS NULL",

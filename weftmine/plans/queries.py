@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftmine.operators import baselines, constraints, factorize, graph, heldout, hypergraph, infer, linalg, metrics, mining, neighbours, split, stats, weighting
 from weftmine.plans import experiments, runner
 from weftmine.session import prepare, shared_dir, table
-from weftmine.sources import files, star
+from weftmine.sources import files, loading, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -709,6 +709,49 @@ def id_mismatch(spark, d):
     return spark.range(1).select(F.lit(files.same_entities(o, _x(spark, d))).cast("long").alias("mismatches"))
 
 
+def _as_files(spark, d, folder):
+    """Customers as entities, brands and nations as items, in the files that a configuration names: wide tables, attributes, pairs."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    part, supplier, nation = table(spark, d, "part"), table(spark, d, "supplier"), table(spark, d, "nation")
+    lines = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = lines.select(F.col("o_custkey").alias("prescription_id"), "p_brand", "n_name", "l_quantity")
+    brands, nations = (sorted(x[0] for x in df.distinct().collect()) for df in (part.select("p_brand"), nation.select("n_name")))
+    put = lambda df, name: df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+    wide = lambda column, names, value: lines.groupBy("prescription_id").pivot(column, names).agg(value).na.fill(0)
+    one = F.least(F.count(F.lit(1)), F.lit(1).cast("long"))
+    put(wide("p_brand", brands, one), "presence.csv")
+    put(wide("p_brand", brands, F.sum("l_quantity")), "dosage.csv")
+    put(wide("n_name", nations, one), "symptoms.csv")
+    at = spark.createDataFrame([(i, x) for i, x in enumerate(brands)], "herb_index int, herb_name string")
+    kinds = sorted(x[0] for x in part.select("p_type").distinct().collect())
+    mine = at.join(part, F.col("herb_name") == F.col("p_brand"))
+    put(mine.groupBy("herb_index", "herb_name").pivot("p_type", kinds).agg(F.least(F.count(F.lit(1)), F.lit(1).cast("long"))).na.fill(0).orderBy("herb_index"), "categories.csv")
+    put(mine.groupBy("herb_index", "herb_name").agg(F.min("p_size").alias("least"), F.max("p_size").alias("most")).orderBy("herb_index"), "features.csv")
+    of = spark.createDataFrame([(i, x) for i, x in enumerate(nations)], "symptom_id int, symptom_name string")
+    put(of.join(nation, F.col("symptom_name") == F.col("n_name")).select("symptom_id", "symptom_name", "n_regionkey").orderBy("symptom_id"), "symptom_features.csv")
+    number = lambda df, c, to: df.join(at.select(F.col("herb_name").alias(c), F.col("herb_index").alias(to)), c)
+    put(number(number(_conflicts(spark, d).filter("i < j").select(F.col("i").alias("x"), F.col("j").alias("y")), "x", "i"), "y", "j").select("i", "j"), "conflicts.csv")
+    put(spark.range(len(brands) - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")), "pairs.csv")
+    put(spark.range(len(nations) - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")), "symptom_pairs.csv")
+    return {"data_root": folder, "dosage": True, "widths": {"categories": len(kinds), "features": 2, "symptom_features": 1}, "pair_support": 2}
+
+
+@query
+def loaded_views(spark, d):
+    """The tables written as a configuration's files and loaded again with all checks: of each view and item, how many rows and their sum."""
+    folder = f"{shared_dir(spark)}/load-{uuid.uuid4().hex}"
+    views = loading.load_all(spark, _as_files(spark, d, f"{folder}/in"), f"{folder}/out")
+    row = lambda view, df, value: df.groupBy(F.lit(view).alias("view"), F.col("name").cast("string").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum(value).cast("double"), 2).alias("total"))
+    total = F.aggregate("attr", F.lit(0.0), lambda s, x: s + x)
+    parts = [row(v, views[v], "val") for v in ("presence", "dosage", "symptoms")] + [row(v, views[v], total) for v in ("herb_attributes", "symptom_features")]
+    parts += [row(v, views[v].withColumn("name", F.lit(v)), F.col("i") * 100 + F.col("j")) for v in ("pairs", "symptom_pairs", "conflicts")]
+    parts.append(row("pair_view", views["pair_view"].withColumn("name", F.lit("pair_view")), "val"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 # Factorisation
 
 
