@@ -4,7 +4,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from llm.cases import documents, empty, texts
+from llm.cases import DOCUMENTS, documents, empty, texts
 from weftmine.llm import mixing
 from weftmine.llm.oracles import OP1
 
@@ -83,3 +83,10 @@ def test_empty_tables(spark):
     none = documents(spark, [None, "", " "])
     assert [(r.size, r.target, r.taken) for r in mixing.mix(none).collect()] == [(0, 0.0, 0)] * 3
     assert mixing.mixed(none).count() == 0
+
+
+def test_twins_are_taken_alike_in_every_rerun(spark):
+    rows = [(1, f"word{i:03d} x", None, "s", 1) for i in range(40)] + [(2, "a b c d e f", None, "t", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    taken = [sorted(r.text for r in mixing.mixed(docs.repartition(n), weights=(3, 1), share=1.4).collect()) for n in (1, 5, 9)]
+    assert taken[0] == taken[1] == taken[2] and len(set(taken[0])) < len(taken[0])

@@ -160,6 +160,15 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, root) in groups(rows, 3, 85).items() if i == root)
 
 
+def test_unlike_texts_with_one_id_all_stay(spark):
+    prose, other = "one two three four five six seven eight", "quite another text with words of its own"
+    docs = spark.createDataFrame([(1, prose, "a", None, 1), (5, prose, "b", None, 2), (5, other, "c", None, 3), (5, other.upper(), "d", None, 4), (5, "a third one, longer than the others are", "e", None, 5)], DOCUMENTS)
+    for n in (1, 4):
+        kept = sorted((r.doc_id, r.text.lower()) for r in neardup.keep(docs.repartition(n), k=3, percent=85).collect())
+        assert kept == [(1, prose), (5, "a third one, longer than the others are"), (5, other)]
+    assert len({neardup.keep(docs.repartition(n), k=3, percent=85).filter("lang IN ('c', 'd')").first().lang for n in (1, 3)}) == 1
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d", None, None, None), (3, "a b c d", None, None, None), (None, None, None, None, None)], DOCUMENTS)
     rows = neardup.near_duplicates(docs, k=3).collect()

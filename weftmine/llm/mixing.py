@@ -74,11 +74,11 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix takes it, with their own columns."""
-    twin = Window.partitionBy("doc_id", "source", "__size").orderBy("doc_id")
+    """The mix itself: the rows of docs, each as often as the mix takes it, with their own columns. Of rows with one doc_id, source and size the ones whose texts have smaller hashes are taken more often, so that reruns agree."""
+    twin = lambda order: F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(order))
     keys = {"doc_id": "__doc", "source": "__source", "__size": "__its_size", "__twin": "__its_twin"}
-    plan = mix(docs, **options).withColumnRenamed("size", "__size").withColumn("__twin", F.row_number().over(twin))
+    plan = mix(docs, **options).withColumnRenamed("size", "__size").withColumn("__twin", twin(F.desc("copies")))
     plan = plan.filter("copies > 0").select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("copies").alias("__copies"))
-    rows = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__twin", F.row_number().over(twin))
+    rows = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__twin", twin(F.xxhash64("text")))
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in keys.items()]
     return rows.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)

@@ -61,7 +61,7 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, permutations: int = PE
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
-    """doc_id, n_shingles, n_bytes, f1 and f2 (a fingerprint of the set), keys (none without shingles)."""
+    """doc_id, row (a hash of the text), n_shingles, n_bytes, f1 and f2 (a fingerprint of the set), keys (none without shingles)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = utf8(batch.column("text"))
@@ -76,11 +76,11 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, permutations: int =
                 f[1, n > 0] = np.add.reduceat(mixed(values ^ np.uint64(0x5DEECE66D)), starts)
                 keys = band_keys(full, bands, permutations)
             ends = np.cumsum(np.concatenate([[0], np.where(n > 0, bands, 0)])).astype(np.int32)
-            columns = [batch.column("doc_id"), n, np.diff(offsets), *f.view(np.int64)]
+            columns = [batch.column("doc_id"), batch.column("row"), n, np.diff(offsets), *f.view(np.int64)]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists], names=["doc_id", "n_shingles", "n_bytes", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists], names=["doc_id", "row", "n_shingles", "n_bytes", "f1", "f2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, n_bytes long, f1 long, f2 long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(rows, "doc_id long, row long, n_shingles long, n_bytes long, f1 long, f2 long, keys array<long>")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -236,8 +236,8 @@ def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int
     return out.union(near).union(_met(docs, placed, "block2 >= 0", k, percent, block))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked where their sets' similarity is ``percent`` of 100 or more."""
+def judged(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row, n_shingles, f1, f2, component_id, kept of each document; row is a hash of its text, f1 and f2 one of its set."""
     signed = cut(signatures(docs, k))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "f1", "f2"]
@@ -251,11 +251,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     roots = roots.select(*same, F.coalesce("component", "id").alias("__root"))
     found = signed.drop("keys", "n_bytes").join(roots, same, "left")
     found = found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("__root", "doc_id")).otherwise(F.col("doc_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "row", *same, "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents linked where their sets' similarity is ``percent`` of 100 or more."""
+    return judged(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """One document for each group, with its own columns; of rows that share a doc_id one stays, and all without one."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__doc")).distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__doc")).dropDuplicates(["doc_id"])
+    """One document for each group, with its own columns, and all without a doc_id. Of rows that share the kept doc_id, those with unlike sets of shingles all stay, and of those with one set the one whose text has the smallest hash."""
+    found = judged(docs, **options).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc"), "n_shingles", "f1", "f2").agg(F.min("row").alias("__row")).select("__doc", "__row")
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__text") == F.col("__row"))).dropDuplicates(["doc_id", "__text"])
     return rows.select(docs.columns).union(docs.filter("doc_id IS NULL"))
