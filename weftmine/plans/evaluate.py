@@ -31,14 +31,14 @@ def evaluate_all(herbs: DataFrame, symptoms: DataFrame, h: DataFrame, s: DataFra
             put(f"{name}_calibrated_", metrics.predictive(found, truth, source, max(ks), length_ratio=length_ratio, frequency=frequency if name == "sym2herb" else None))
         n_items = to.select("item").distinct().count()
         put(f"{name}_", metrics.perplexity(found, truth, n_items))
-        smooth = infer.scores(infer.smoothed(z, by, alpha), to)
+        smooth = cut(infer.scores(infer.smoothed(z, by, alpha), to))
         put(f"{name}_smoothed_", metrics.perplexity(smooth, truth, n_items))
         if conflict is not None and name == "sym2herb":
             out["violation"] = float(metrics.violations_at_k(found, conflict, top).agg(F.coalesce(F.avg("rate"), F.lit(0.0))).first()[0])
             best = infer.ranked(found, top).select(F.col("pid").alias("set_id"), "item")
             out["compatible"] = float(constraints.compatible_rate(truth.select(F.col("pid").alias("set_id"), "item"), best, conflict).first()[0])
     for name, x, by in (("herb", herbs, h), ("symptom", symptoms, s)):
-        z = infer.infer(x, by, method)
+        z = cut(infer.infer(x, by, method))
         put(f"{name}_", linalg.nre(x, z, by))
         put(f"{name}_coherence_", metrics.coherence(by, x, n, top).agg(F.coalesce(F.avg("coherence"), F.lit(0.0)).alias("mean")))
     for part in held:
