@@ -102,10 +102,38 @@ def test_tasks_of_a_hot_cluster_hold_bounded_texts(spark, monkeypatch, rows):
 
 def test_many_short_texts_with_one_key(spark):
     """Short texts that share most words: all in one cluster, many in one bucket, linked two by two."""
-    rows = [f"all of these share the first few words {i // 2} {'x' * (i % 2)}" for i in range(4_000)]
+    rows = [f"all of these share the first few words {i // 2} {'x' * (i % 2)}" for i in range(20_000)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(8)
     # Nine or ten words; the seven shingles of the one are among the eight of the other.
-    assert found(neardup.near_duplicates(docs, k=3, percent=85)) == {i: (7 + i % 2, i - i % 2) for i in range(4_000)}
+    assert found(neardup.near_duplicates(docs, k=3, percent=85)) == {i: (7 + i % 2, i - i % 2) for i in range(20_000)}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_linked_sets_meet_within_prefixes(percent):
+    for n in range(1, 60):
+        for m in range(1, n + 1):
+            # The fewest shingles that linked sets of n and m have in common.
+            common = -(-percent * (n + m) // (100 + percent))
+            if common <= m:
+                looked_for, looked_in = int(neardup.prefixes(np.array([n]), percent)[0][0]), int(neardup.prefixes(np.array([m]), percent)[1][0])
+                assert looked_for >= n - common + 1 and looked_in >= m - common + 1
+
+
+def test_cuts_of_a_cluster_keep_links_together(spark):
+    """One cluster of texts around one text: linked ones stay together, those just below the threshold don't."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    rows = [" ".join(base + [f"o{i}x{j}" for j in range(12)]) for i in range(40)]
+    rows += [" ".join(base[: r.randint(50, 60)] + [f"o{i}x{j}" for j in range(r.randint(0, 12))]) for i in range(40) for _ in range(2)]
+    want = groups(rows, 3, 85)
+    sets = [plain_set(t, 3) for t in rows]
+    docs = documents(spark, rows, clash=False)
+    clusters = spark.createDataFrame([(i, 7, len(s), len(t)) for i, (s, t) in enumerate(zip(sets, rows, strict=True))], "id long, cluster long, n_shingles long, n_bytes long")
+    cut = {x.id: x.cluster for x in neardup.refined(docs, clusters, 3, 85).collect()}
+    for i, (_, root) in want.items():
+        assert i == root or cut[i] == cut[root]
+    apart = spark.createDataFrame([(i, 7, len(sets[i]), len(rows[i])) for i in range(40)], "id long, cluster long, n_shingles long, n_bytes long")
+    assert neardup.refined(docs, apart, 3, 85).collect() == []
 
 
 def test_links_of_a_block_join_what_is_linked():

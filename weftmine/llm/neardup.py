@@ -92,32 +92,45 @@ def candidates(classes: DataFrame) -> DataFrame:
     return shared.select("a", "b").union(more).filter("a < b").distinct()
 
 
+def prefixes(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first shingles of a set of each size to look for, and how many of them to look in.
+
+    Sets of n >= m shingles that are linked have at least percent of n in common, and at least 2 percent / (100 + percent) of m. So their first common
+    shingle, in any order of all shingles, is among the first n - ceil(percent of n) + 1 of the larger one and among the fewer
+    first m - ceil(2 percent / (100 + percent) of m) + 1 of the smaller one.
+    """
+    return (100 - percent) * sizes // 100 + 1, (100 - percent) * sizes // (100 + percent) + 1
+
+
 def forest_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked. Pairs within a side other than 0 are left to another block.
+    """Links (larger place, smaller place) that join what is linked. Pairs within a side other than 0 are left to another block.
 
-    Each set's shingles stand by the number of sets that hold them. Two linked sets have one in common among the first
-    n - ceil(percent of n) + 1 of each, so that only sets that meet there are compared, and only while they aren't joined yet.
+    Sets stand by size, each set's shingles by the number of sets that hold them. A set is compared with those before it only where its ``prefixes`` and
+    theirs meet, and only while they aren't joined yet.
     """
     n = len(sets)
+    by = np.argsort([*map(len, sets)], kind="stable")
+    sets, side = [sets[i] for i in by], side[by]
     sizes = np.array([*map(len, sets)])
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(n), sizes)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     frequency = np.bincount(ids)
     ids = ids[np.lexsort((ids, frequency[ids], owner))]
-    first = (100 - percent) * sizes // 100 + 1
-    probes = (np.arange(len(ids)) - starts[owner] < first[owner]) & (frequency[ids] > 1)
-    order = np.argsort(ids[probes], kind="stable")
-    holders, held = owner[probes][order], np.bincount(ids[probes], minlength=len(frequency))
+    first, looked_in = prefixes(sizes, percent)
+    place = np.arange(len(ids)) - starts[owner]
+    kept = (place < looked_in[owner]) & (frequency[ids] > 1)
+    order = np.argsort(ids[kept], kind="stable")
+    holders, held = owner[kept][order], np.bincount(ids[kept], minlength=len(frequency))
     begin = np.cumsum(held) - held
     mark = np.zeros(len(frequency), bool)
     label = np.arange(n)
     out = []
-    for i in np.flatnonzero(np.bincount(owner[probes], minlength=n)).tolist():
+    for i in np.unique(owner[(place < first[owner]) & (held[ids] > 0)]).tolist():
         own = ids[starts[i] : starts[i] + sizes[i]]
         some = own[: first[i]]
         met = np.unique(holders[stretches(begin[some], held[some])])
-        met = met[(met < i) & (100 * np.minimum(sizes[met], sizes[i]) >= percent * np.maximum(sizes[met], sizes[i]))]
+        met = met[(met < i) & (100 * sizes[met] >= percent * sizes[i])]
         if side[i]:
             met = met[side[met] != side[i]]
         mark[own] = True
@@ -128,7 +141,7 @@ def forest_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
             common = np.add.reduceat(mark[ids[stretches(starts[now], sizes[now])]], np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
             for j in now[100 * common >= percent * (sizes[i] + sizes[now] - common)].tolist():
                 if label[i] != label[j]:
-                    out.append((i, j))
+                    out.append((int(max(by[i], by[j])), int(min(by[i], by[j]))))
                     label[label == label[j]] = label[i]
         mark[own] = False
     return out
@@ -137,8 +150,8 @@ def forest_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
 def refined(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """Clusters (id, cluster, n_shingles, n_bytes) cut into smaller ones, so that all that is linked stays together.
 
-    A cluster's shingles stand by the number of its classes that hold them. Of two linked sets, each has a shingle in common with
-    the other among its first n - ceil(percent of n) + 1, so that classes joined by such shingles are enough. What no other class of the
+    A cluster's shingles stand by the number of its classes that hold them. Linked sets meet where ``prefixes`` says, so that
+    of the classes that look in a shingle the smallest one is joined to all that look for it and aren't smaller. What no other class of the
     cluster holds stands first and joins nothing; a class with so many of these that nothing else is among its first ones goes.
     """
 
@@ -155,10 +168,13 @@ def refined(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataF
     shingles = stored(texts.select("cluster", "id", "row", "text").mapInArrow(rows, "cluster long, id long, row long, size long, shingle long"))
     held = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
     shared = shingles.join(held, ["cluster", "shingle"]).groupBy("cluster", "id", "row", "size").agg(F.sort_array(F.collect_set(F.struct("n", "shingle"))).alias("shared"))
-    # n - ceil(percent of n) + 1 first ones, less those that no other class holds.
-    length = F.expr(f"greatest(0, (100 - {percent}) * size DIV 100 + 1 - (size - size(shared)))").cast("int")
-    keys = F.transform(F.slice("shared", F.lit(1), length), lambda x: F.xxhash64(F.col("cluster"), x.shingle))
-    finer = components(candidates(shared.select("id", keys.alias("keys")))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    # The first ones, less those that no other class holds.
+    first, looked_in = (f"((100 - {percent}) * size DIV {n}) + 1 - (size - size(shared))" for n in (100, 100 + percent))
+    some = shared.select("cluster", "id", "size", F.expr(looked_in).alias("looked_in"), F.posexplode(F.slice("shared", F.lit(1), F.expr(f"greatest(0, {first})").cast("int"))).alias("place", "held"))
+    some = cut(some.select("cluster", "held.shingle", "id", "size", F.expr("place < looked_in").alias("kept")))
+    smallest = some.filter("kept").groupBy("cluster", "shingle").agg(F.min(F.struct("size", "id")).alias("least"))
+    edges = some.join(smallest, ["cluster", "shingle"]).filter("size >= least.size AND id != least.id").select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    finer = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     out = cut(clusters.drop("cluster").join(finer, "id").select(clusters.columns))
     drop(shingles)
     return out
