@@ -39,6 +39,22 @@ def test_same_as_brute_force(spark, block):
     assert sorted(map(tuple, got.collect())) == plain(data, 10, 10)
 
 
+def test_blocks_meet_in_any_number_of_tasks(spark):
+    """Without small tasks joined into one: a query's row in one block and its candidates in another are dealt to the same task."""
+    data = rows(200)
+    vectors = spark.createDataFrame([(i, v, 0, "x") for i, v in data], VECTORS)
+    coalesce, parts = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c) for c in (coalesce, parts)}
+    try:
+        spark.conf.set(coalesce, "false")
+        spark.conf.set(parts, "7")
+        got = topk.top_k(vectors, F.col("id") % 10 == 0, 10, block=40)
+        assert sorted(map(tuple, got.collect())) == plain(data, 10, 10)
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def test_bounds_hold_and_leave_less_to_compute():
     r = np.random.default_rng(2)
     x = r.integers(-1000, 1000, (50, 64)).astype(float)

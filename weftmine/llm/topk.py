@@ -191,7 +191,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "ve
         return pa.table({"a": pa.array([a], pa.int64()), "n": pa.array([n], pa.int32()), "least": pa.array([floor], pa.int64()), **{f"a_{c}": pa.array([v], pa.list_(pa.float64())) for c, v in (("low", low), ("high", high), ("deviation", deviation))}})
 
     shapes = asked.groupBy("a", "n").applyInArrow(boxed, "a long, n int, least long, a_low array<double>, a_high array<double>, a_deviation array<double>")
-    pairs = shapes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(boxes, ["n", "b"]).filter(_may_reach())
+    # b is long on both sides of what follows: numbers of other widths are dealt to other tasks, and blocks would miss their queries.
+    pairs = shapes.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(boxes, ["n", "b"]).filter(_may_reach())
     pairs = cut(pairs.select("a", "b", "n"))
 
     def meet(asked: pa.Table, candidates: pa.Table) -> pa.Table:
