@@ -45,6 +45,15 @@ def test_same_as_sql(spark, con, name):
     same(plain([tuple(r) for r in got.collect()], got.columns), plain(want.fetchall(), want.columns))
 
 
+def test_corr_regr_takes_all_groups(spark, con):
+    """Months with the dearest orders among them."""
+    groups = "SELECT count(*) AS size, round(avg(o_totalprice), 2) AS metric FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_orderpriority, year(o_orderdate), month(o_orderdate)"
+    ((most, *want),) = con.sql(f"SELECT max(metric), corr(size, metric), regr_slope(metric, size), regr_intercept(metric, size) FROM ({groups})").fetchall()
+    assert most >= 160000
+    got = entry_point.queries()["corr_regr"](spark, DATA).first()
+    assert (got.pearson, got.slope, got.intercept) == pytest.approx(want, rel=1e-4, abs=2e-5)
+
+
 def test_every_sql_has_its_query():
     assert set(ORACLES) <= set(entry_point.queries())
 

@@ -313,7 +313,7 @@ _BODIES = {
     "holm": "SELECT seed, p, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm FROM (SELECT *, row_number() OVER (ORDER BY p, seed) AS rn, count(*) OVER () AS m FROM (SELECT seed, round(1 - abs(effect), 6) AS p FROM effect))",
     "interpretation": "SELECT seed, p, effect, CASE WHEN p >= 0.7 AND abs(effect) < 0.4 THEN 'not significant, negligible' WHEN p >= 0.7 THEN 'not significant' WHEN abs(effect) < 0.4 THEN 'significant, negligible' WHEN effect > 0 THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT seed, round(1 - abs(effect), 6) AS p, round(effect, 6) AS effect FROM effect)",
     "corr_regr": """SELECT round(corr(x, y), 5) AS pearson, round(corr(rx, ry), 5) AS spearman, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM (
-        SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT size::DOUBLE AS x, metric AS y FROM res WHERE metric < 160000))""",
+        SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM (SELECT size::DOUBLE AS x, metric AS y FROM res))""",
     "sweep_summary": "SELECT variant, count(*) AS n, round(avg(metric), 4) AS metric_mean, round(stddev_pop(metric), 4) AS metric_std FROM res GROUP BY variant",
     "best_setting": "SELECT variant, round(avg(metric), 4) AS metric_mean FROM res GROUP BY variant ORDER BY metric_mean DESC, variant LIMIT 1",
     "alias_lookup": "SELECT alias, canonical FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY no DESC) AS rn FROM (SELECT no, trim(unnest(string_split(value, ','))) AS alias, trim(split_part(value, ',', 1)) AS canonical FROM alines)) WHERE rn = 1",
