@@ -57,6 +57,17 @@ def test_neighbours_across_zero(spark, k):
         assert sorted(got[i]) == sorted(alike)[:k]
 
 
+def test_items_that_look_the_same_are_compared_once(spark, monkeypatch):
+    """3,000 items of six looks: 36 pairs of looks at most are made, not nine million of items."""
+    made, real = [], graph.cosine
+    monkeypatch.setattr(graph, "cosine", lambda *a, **options: made.append(real(*a, **options)) or made[-1])
+    rows = spark.range(3000).selectExpr("id AS item", "'a' || id % 6 AS attr", "1.0D AS v").union(spark.range(3000).selectExpr("id", "'all'", "id % 3 - 1.0D"))
+    got = graph.feature_neighbours(rows, 5)
+    assert made[0].count() <= 36
+    found = {(x.i, x.j): x.sim for x in got.collect()}
+    assert len(found) == 15000 and {j for i, j in found if i == 7} == {1, 13, 19, 25, 31} and all(sim == pytest.approx(1) for sim in found.values())
+
+
 def test_leading_values_are_those_of_the_whole(spark):
     r = np.random.default_rng(2)
     x = np.maximum(sum(np.outer(r.normal(size=80), r.normal(size=60)) * 3.0**-j for j in range(6)), 0)
