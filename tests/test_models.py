@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftmine.operators import baselines, hypergraph, infer, linalg, stats
+from weftmine.operators import baselines, hypergraph, infer, linalg, mining, stats
 
 
 def table(spark, rows, schema):
@@ -81,3 +81,11 @@ def test_families(spark):
 def test_unknown_names_raise(spark):
     with pytest.raises(ValueError, match="variant"):
         baselines.run("other", None, {}, 2)
+
+
+def test_item_pairs_without_a_join(spark):
+    """A table of entities whose files are small is not broadcast to meet itself."""
+    x = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (2, "a"), (None, "a"), (None, "b"), (3, "b"), (3, None)], "pid long, item string")
+    pairs = mining.item_pairs(x)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(1, "a", "b"), (1, "a", "c"), (1, "b", "c")]
