@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftmine.operators import baselines, hypergraph, infer, linalg, mining, stats
+from weftmine.operators import baselines, hypergraph, infer, linalg, metrics, mining, stats
 
 
 def table(spark, rows, schema):
@@ -89,3 +89,23 @@ def test_item_pairs_without_a_join(spark):
     pairs = mining.item_pairs(x)
     assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, pairs.collect())) == [(1, "a", "b"), (1, "a", "c"), (1, "b", "c")]
+
+
+@pytest.mark.parametrize("cells", [10**6, 0])
+def test_rankings_give_what_scores_give_and_are_never_dealt_out(spark, monkeypatch, cells):
+    monkeypatch.setattr(linalg, "CELLS", cells)
+    r = random.Random(3)
+    queries = spark.createDataFrame([(p, i, 1.0) for p in range(40) for i in r.sample(range(8), 3)] + [(90, 77, 1.0)], "pid long, item int, val double")
+    by = spark.createDataFrame([(i, f"t{k}", r.randrange(3) / 4) for i in range(8) for k in range(3) if r.random() < 0.7], "item int, k string, v double")
+    to = spark.createDataFrame([(f"b{i}", f"t{k}", r.randrange(3) / 4) for i in range(9) for k in range(3) if r.random() < 0.7], "item string, k string, v double")
+    truth = spark.createDataFrame([(p, f"b{i}", float(i + 1)) for p in range(5, 60) for i in r.sample(range(12), 4)], "pid long, item string, val double")
+    foes = spark.createDataFrame([("b1", "b2", 1.0), ("b2", "b1", 1.0), ("b3", "b7", 1.0)], "i string, j string, w double")
+    long, rows = infer.scores(infer.by_dot(queries, by), to), infer.ranking(queries, by, to)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(infer.ranked(rows, 4)) == plain(infer.ranked(long, 4).select("pid", "item", "score", "rank"))
+    for f in (lambda x: metrics.at_k(x, truth, 3), lambda x: metrics.average_precision(x, truth), lambda x: metrics.ndcg(x, truth, 3), lambda x: metrics.violations_at_k(x, foes, 4)):
+        for a, b in zip(plain(f(rows)), plain(f(long)), strict=True):
+            assert a == pytest.approx(b)
+    assert tuple(metrics.recommendation(rows, truth, (2, 4)).first()) == pytest.approx(tuple(metrics.recommendation(long, truth, (2, 4)).first()))
+    plan = metrics.recommendation(rows, truth)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and (cells == 0 or plan.count("MapInArrow") == 2)
