@@ -20,6 +20,8 @@ from weftmine.session import cut, drop, stored
 CENTRES, SAMPLE = 256, 16384
 #: Of similarities, which are rounded to nine digits.
 SLACK = 1e-8
+#: Bytes of a block's vectors, and products that a task holds at a time (16 MB).
+BLOCK, SLICE = 1 << 23, 1 << 21
 
 
 @dataclass
@@ -62,23 +64,49 @@ def fitted(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, sim: of each row of x the k most similar rows of y with another id, ties to the smaller id. others must be in order."""
-    sim = np.round(x @ y.T, 9) + 0.0
-    sim[ids[:, None] == others[None]] = -np.inf
-    at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-    found = np.take_along_axis(sim, at, 1)
-    keep = np.isfinite(found)
-    return np.repeat(ids, at.shape[1])[keep.ravel()], others[at][keep], found[keep]
+def best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, sim: of each row of x the k most similar rows of y with another id, ties to the smaller id. others must be in order, each id once. least: what similarities of a row must reach.
 
-
-def open_pairs(vectors: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, Cells, dict[int, int]]:
+    Of a slice of rows at a time only products that may be among the k are rounded and sorted.
+    """
+    found, step = [], max(1, SLICE // max(1, len(y)))
+    for begin in range(0, len(x) if len(y) else 0, step):
+        part = slice(begin, begin + step)
+        sim = x[part] @ y.T
+        if least is not None:
+            floor = least[part]
+        elif len(y) > k + 1:  # one of them may be the row itself
+            floor = np.partition(sim, len(y) - k - 1, axis=1)[:, len(y) - k - 1]
+        else:
+            floor = np.full(len(sim), -np.inf)
+        row, col = np.nonzero(sim >= floor[:, None] - SLACK)
+        value, row = np.round(sim[row, col], 9) + 0.0, row + begin
+        use = ids[row] != others[col]
+        if least is not None:
+            use &= value >= least[row]
+        row, col, value = row[use], col[use], value[use]
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((ids[row[first]], others[col[first]], value[first]))
+    if not found:
+        return ids[:0], others[:0], np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def block_of(n: int, width: int) -> int:
+    """How many vectors a block has, if not told: a 24th of all, so that what moves grows as they do, within 2048 and BLOCK bytes."""
+    return max(1, min(max(2048, -(-n // 24)), BLOCK // (8 * width)))
+
+
+def open_pairs(vectors: DataFrame, k: int, block: int | None) -> tuple[DataFrame, DataFrame, DataFrame, Cells, dict[int, int]]:
     """Of vectors (id, vector): all by cell and block (id, x, cell, block); within blocks, each one's k nearest, k-th similarity and open cells (id, x, cell, block, ids, sims, least, open); the pairs of
     blocks (a_cell, a_block, cell, block) that are still to meet; the cells and how many blocks each has."""
     spark = vectors.sparkSession
     rows = stored(vectors.select("id", F.col("vector").cast("array<double>").alias("x")))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
     n, width = shape.n, shape.width or 1
+    block = block or block_of(n, width)
     wanted = min(SAMPLE, max(1, (1 << 25) // (8 * width)))
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     sample = rows.filter(hashed < int(min(1.0, wanted / max(1, n)) * (1 << 30))).select("x", hashed.alias("h")).limit(2 * wanted).toArrow().sort_by([("h", "ascending")])
@@ -130,24 +158,41 @@ def open_pairs(vectors: DataFrame, k: int, block: int) -> tuple[DataFrame, DataF
     return dealt, looked, cut(pairs), cells, blocks
 
 
-def vector_neighbours(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def meetings(looked: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (a_cell, a_block, cell, block, id, x, least) of the blocks that meet. Two blocks meet once, whichever asks; a row goes there if it asks, or if the other block does. least is infinite for rows that only answer."""
+    one, other = F.struct(F.col("a_cell").alias("cell"), F.col("a_block").alias("block")), F.struct("cell", "block")
+    met = pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), (one < other).alias("up"))
+    met = met.groupBy("a", "b").agg(F.max("up").alias("up"), F.max(~F.col("up")).alias("down"))
+    met = cut(met.select(F.col("a.cell").alias("a_cell"), F.col("a.block").alias("a_block"), F.col("b.cell").alias("cell"), F.col("b.block").alias("block"), "up", "down"))
+
+    def side(own: list[str], far: str, asks: str, answers: str) -> DataFrame:
+        rows = looked.select(F.col("cell").alias(own[0]), F.col("block").alias(own[1]), "id", "x", "least", "open").join(met, own)
+        asking = F.col(asks) & F.array_contains("open", F.col(far))
+        kept = [F.col(c).alias(c) for c in ("a_cell", "a_block", "cell", "block", "id", "x")]  # columns of its own, as both sides are of one table
+        return rows.filter(asking | F.col(answers)).select(*kept, F.when(asking, F.col("least")).otherwise(F.lit(float("inf"))).alias("least"))
+
+    return side(["a_cell", "a_block"], "cell", "up", "down"), side(["cell", "block"], "a_cell", "down", "up")
+
+
+def vector_neighbours(vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """i, j, sim: the k nearest others of each vector (id, vector) by cosine, ties to the smaller id; all, if fewer.
 
-    ids are whole numbers, each once. Vectors of zeros have similarity 0 with all. Blocks hold about ``block`` vectors of one cell; a cell of many, copies of one vector among them, has several. A task holds
-    the vectors of two blocks.
+    ids are whole numbers, each once. Vectors of zeros have similarity 0 with all. Blocks hold about ``block`` vectors of one cell (if not given, ``block_of``); a cell of many, copies of one vector among them, has several. A task holds
+    the vectors of two blocks, which answer each other in one meeting.
     """
-    dealt, looked, pairs, _, _ = open_pairs(vectors, k, block)
+    _, looked, pairs, _, _ = open_pairs(vectors, k, block)
     kind = dict(looked.dtypes)["id"]
     key = ["a_cell", "a_block", "cell", "block"]
-    left = looked.select(F.col("cell").alias("a_cell"), F.col("block").alias("a_block"), "id", "x", "open").join(pairs, ["a_cell", "a_block"]).filter(F.array_contains("open", F.col("cell"))).select(*key, "id", "x")
-    right = dealt.join(pairs, ["cell", "block"]).select(*key, "id", "x")
+    left, right = meetings(looked, pairs)
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
-            b = b.sort_by("id")
-            found = best(a.column("id").to_numpy(), matrix(a.column("x")), b.column("id").to_numpy(), matrix(b.column("x")), k)
-        return pa.table(dict(zip(("i", "j", "sim"), found, strict=True)))
+            (i, x, at), (j, y, bt) = ((t.column("id").to_numpy(), matrix(t.column("x")), t.column("least").to_numpy()) for t in (a.sort_by("id"), b.sort_by("id")))
+            for ids, rows, least, others, far in ((i, x, at, j, y), (j, y, bt, i, x)):
+                asks = least < np.inf
+                found.append(best(ids[asks], rows[asks], others, far, k, least[asks]))
+        return pa.table(dict(zip(("i", "j", "sim"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
     near = looked.select(F.col("id").alias("i"), F.explode(F.arrays_zip(F.col("ids").alias("j"), F.col("sims").alias("sim"))).alias("r")).select("i", "r.j", "r.sim")
     far = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "i long, j long, sim double")
@@ -156,7 +201,7 @@ def vector_neighbours(vectors: DataFrame, k: int, block: int = 2048) -> DataFram
     return found.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= k).drop("__rn")
 
 
-def visited_share(vectors: DataFrame, k: int, block: int = 2048) -> float:
+def visited_share(vectors: DataFrame, k: int, block: int | None = None) -> float:
     """What part of all pairs of vectors is compared: the blocks' own, and those of vectors with the blocks of cells that their bounds leave open."""
     dealt, looked, _, _, _ = open_pairs(vectors, k, block)
     sizes = dealt.groupBy("cell", "block").agg(F.count("*").alias("n"))
